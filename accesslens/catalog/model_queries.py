@@ -1 +1,263 @@
-"""To come."""
+"""Trained detectors, classifiers, attributions, saved models and the log generator.
+
+Forest sizes are parameters; the registered queries use smaller ones than the defaults so that a run on one
+machine stays short. Rows, tables and texts are always whole.
+"""
+
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.sql import functions as F
+
+from accesslens import constants as C
+from accesslens.catalog.base_queries import _SPLIT
+from accesslens.catalog.registry import Views, query
+from accesslens.catalog.sql_base import sql
+from accesslens.operators import classify as M, detectors as D, encode as E, explain as X, profiles as P, queue as Q
+from accesslens.operators import evaluate as V, risk
+from accesslens.plans.segments import KEY
+from accesslens.session import materialize, scratch_path
+from accesslens.sources.generator import attack_events, entity_profiles, generate_access_log, normal_events
+
+TREES, ROUNDS, DEPTH = 20, 3, 4
+Z = [f"{f}_z" for f in C.FEATURES]
+
+
+def scaled_features(v: Views):
+    """Scaled features of all events, the scaler fitted on the train part; written once."""
+    stored = v.stored_features
+    parts = Q.temporal_split(stored)
+    stats = E.fit_scaler(parts.where("split = 'train'"), C.FEATURES)
+    scaled = E.scale(parts, stats, C.FEATURES)
+    return materialize(scaled.select("event_id", KEY, "timestamp", "label", "label_enc", "split", *Z), "scaled")
+
+
+def fit_isolation(scaled, trees=C.ISOLATION_TREES):
+    train = scaled.where("split = 'train' and label = 'normal'")
+    return materialize(D.fit_isolation_forest(train, Z, trees), "isolation-forest")
+
+
+def detector_scores(v: Views, scaled):
+    """The four detector scores per event, joined by event key."""
+    forest = fit_isolation(scaled, 100)
+    iso = D.minmax(materialize(D.score_isolation_forest(scaled, forest, Z), "iso"), "isolation_raw", "isolation_forest_score")
+    model = D.fit_one_class(scaled.where("split = 'train' and label = 'normal'"), Z)
+    one = D.minmax(materialize(D.one_class_score(scaled, model, Z), "one"), "one_class_raw", "one_class_svm_score")
+    features = v.stored_features
+    profiles = P.entity_profiles(features, v.segments, v.log)
+    stat = P.with_statistical_score(features, profiles, v.segments).select("event_id", "statistical_score")
+    joined = iso.join(one, "event_id").join(stat, "event_id")
+    return joined.withColumn("baseline_combined_score", risk.baseline_combined(
+        F.col("statistical_score"), F.col("isolation_forest_score"), F.col("one_class_svm_score")))
+
+
+def augmented(v: Views, scaled):
+    """28 scaled features and four scores: the classifier input."""
+    scores = detector_scores(v, scaled).select("event_id", *C.SCORE_FEATURES)
+    return materialize(scaled.join(scores, "event_id"), "augmented")
+
+
+INPUTS = [*Z, *C.SCORE_FEATURES]
+
+
+@query("d2_isolation_forest")
+def d2(v: Views):
+    """Score and flag: above the score that 97.5 % of the normal training events stay below."""
+    scaled = scaled_features(v)
+    forest = fit_isolation(scaled)
+    raw = materialize(D.score_isolation_forest(scaled, forest, Z, keep=("label", "split")), "isolation")
+    train = raw.where("split = 'train' and label = 'normal'")
+    cut = V.exact_quantiles(train, [], "isolation_raw", [1 - C.ISOLATION_CONTAMINATION]).select(F.col("q").alias("_cut"))
+    scored = D.minmax(raw, "isolation_raw", "isolation_forest_score").crossJoin(F.broadcast(cut))
+    return scored.select("event_id", "isolation_forest_score", (F.col("isolation_raw") > F.col("_cut")).cast("long").alias("flagged"))
+
+
+@query("d3_one_class_kernel")
+def d3(v: Views):
+    scaled = scaled_features(v)
+    model = D.fit_one_class(scaled.where("split = 'train' and label = 'normal'"), Z)
+    raw = materialize(D.one_class_score(scaled, model, Z), "one-class")
+    return D.minmax(raw, "one_class_raw", "one_class_svm_score").select("event_id", "one_class_svm_score")
+
+
+def _sequence(v, kind):
+    scaled = scaled_features(v)
+    return sequence_query(D.score_sequences(scaled, Z, v.segments, kind))
+
+
+def sequence_query(scored):
+    cut = F.col("threshold") / F.greatest(2 * F.col("threshold"), F.lit(1e-6))
+    return scored.select("event_id", "event_error", "sequence_score", (F.col("sequence_score") > cut).cast("long").alias("flagged"))
+
+
+@query("d5_sequence_principal")
+def d5(v: Views):
+    return _sequence(v, "principal")
+
+
+@query("d6_sequence_prototype")
+def d6(v: Views):
+    return _sequence(v, "prototype")
+
+
+@query("c1_augment_features")
+def c1(v: Views):
+    return augmented(v, scaled_features(v)).select("event_id", *INPUTS)
+
+
+@query("c2_smote_oversample", sql("log", "SELECT label, n AS real, max(n) OVER () AS total FROM (SELECT label, count(*) AS n FROM split WHERE split.split = 'train' GROUP BY label)", _SPLIT))
+def c2(v: Views):
+    """Class sizes before and after; synthetic rows lie between members of their class."""
+    train = scaled_features(v).where("split = 'train'")
+    balanced = M.smote_oversample(train, Z)
+    return balanced.groupBy("label").agg(F.count_if(F.col("synthetic") == 0).alias("real"), F.count("*").alias("total"))
+
+
+def _train_test(v):
+    full = augmented(v, scaled_features(v))
+    return full.where("split = 'train'"), full.where("split = 'test'")
+
+
+def _forest(v, train):
+    weighted = M.with_class_weights(materialize(M.training_frame(train, INPUTS), "train"))
+    return M.fit_forest(weighted, TREES, 6)
+
+
+@query("c3_weighted_training")
+def c3(v: Views):
+    """Class weights as row weights of a single-tree forest; predictions per label on the test part."""
+    train, test = _train_test(v)
+    weighted = M.with_class_weights(materialize(M.training_frame(train, INPUTS), "train"))
+    model = M.fit_forest(weighted, 1, 6)
+    return M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "label", "predicted_label")
+
+
+@query("c4_boosted_trees")
+def c4(v: Views):
+    train, test = _train_test(v)
+    balanced = materialize(M.training_frame(M.smote_oversample(train, INPUTS), INPUTS), "balanced")
+    model = M.fit_boosted(balanced, ROUNDS, DEPTH)
+    return M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "label", "predicted_label", "confidence")
+
+
+@query("c5_random_forest")
+def c5(v: Views):
+    train, test = _train_test(v)
+    model = _forest(v, train)
+    return M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "label", "predicted_label", "confidence")
+
+
+@query("c6_anomaly_confidence")
+def c6(v: Views):
+    """Confidence of every event, train and test."""
+    train, test = _train_test(v)
+    model = _forest(v, train)
+    both = M.training_frame(train, INPUTS).unionByName(M.training_frame(test, INPUTS))
+    return M.predict(model, both).select("event_id", "confidence")
+
+
+@query("c7_feature_importance")
+def c7(v: Views):
+    train, _ = _train_test(v)
+    names = [c[:-2] if c.endswith("_z") else c for c in INPUTS]
+    return M.feature_importance(v.spark, _forest(v, train), names, 15)
+
+
+@query("s6_model_persistence")
+def s6(v: Views):
+    """Save and load the classifier, the isolation forest table and the profiles; score with the loaded ones."""
+    train, test = _train_test(v)
+    path = scratch_path(v.spark, "forest")
+    _forest(v, train).write().overwrite().save(path)
+    model = RandomForestClassificationModel.load(path)
+    nodes = scratch_path(v.spark, "nodes")
+    D.fit_isolation_forest(train.where("label = 'normal'"), Z, 50).write.parquet(nodes)
+    iso = D.score_isolation_forest(test, v.spark.read.parquet(nodes), Z)
+    return M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "predicted_label").join(iso, "event_id")
+
+
+def _attributed(v, minimum_confidence=0.5):
+    train, test = _train_test(v)
+    path = scratch_path(v.spark, "forest")
+    _forest(v, train).write().overwrite().save(path)
+    model = RandomForestClassificationModel.load(path)
+    scored = materialize(M.predict(model, M.training_frame(test, INPUTS)).select(
+        "event_id", "label", "predicted_label", "prediction", "confidence", "features"), "predicted")
+    flagged = scored.where((F.col("predicted_label") != "normal") | (F.col("confidence") > minimum_confidence))
+    paths = M.attribute_paths(flagged, M.tree_nodes(v.spark, path), INPUTS)
+    names = [c[:-2] if c.endswith("_z") else c for c in INPUTS]
+    raw = v.stored_features.select("event_id", *C.FEATURES)
+    rows = materialize(paths, "paths").join(raw, "event_id").join(
+        test.select("event_id", *C.SCORE_FEATURES), "event_id").join(scored.drop("features"), "event_id")
+    parts = [(f, F.element_at("contributions", i + 1), F.col(f).cast("double")) for i, f in enumerate(names)]
+    return rows, parts
+
+
+@query("x1_attribute_paths")
+def x1(v: Views):
+    """Top three factors of every flagged test event, from the raw feature values."""
+    rows, parts = _attributed(v)
+    out = rows.withColumn("factors", X.factor_struct(X.ranked_factors(parts, 3)))
+    return X.explode_factors(out, ("event_id", "predicted_label"))
+
+
+@query("b5_top_alert_factors")
+def b5(v: Views):
+    """Factors of the most confident alert."""
+    rows, parts = _attributed(v)
+    top = Q.argmax_event(materialize(rows, "attributed"), "confidence")
+    out = top.withColumn("factors", X.factor_struct(X.ranked_factors(parts, 10)))
+    return X.explode_factors(out, ("event_id", "predicted_label"))
+
+
+@query("x3_fallback_by_importance")
+def x3i(v: Views):
+    """The most important features of the forest, for every event, with their values and texts."""
+    train, _ = _train_test(v)
+    names = [c[:-2] if c.endswith("_z") else c for c in INPUTS]
+    ranked = M.feature_importance(v.spark, _forest(v, train), names).where(F.col("feature").isin(C.FEATURES)).limit(3)
+    top = {r["feature"]: r["importance"] for r in ranked.collect()}
+    return X.explode_factors(X.attribute_by_importance(v.stored_features, top))
+
+
+@query("r1_trained_risk")
+def r1t(v: Views):
+    """Risk and severity from the trained parts: isolation, sequence, classifier confidence and history."""
+    scaled = scaled_features(v)
+    full = augmented(v, scaled)
+    model = _forest(v, full.where("split = 'train'"))
+    test = full.where("split = 'test'")
+    conf = M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "predicted_label", "confidence")
+    seq = D.score_sequences(scaled, Z, v.segments, "principal").select("event_id", "sequence_score")
+    history = P.entity_risk_history(v.log)
+    parts = test.select("event_id", KEY, "timestamp", "label", "isolation_forest_score").join(seq, "event_id").join(conf, "event_id")
+    return risk.fuse(P.with_risk_history(parts, history, v.segments)).select(
+        "event_id", KEY, "label", "predicted_label", "risk_score", "severity")
+
+
+# --- generator ---
+
+def _entities(v):
+    """One generated entity per customer."""
+    customers = v.spark.read.parquet(f"{v.sf_dir}/customer.parquet")
+    return customers.select((F.col("c_custkey") - 1).alias("entity_no"))
+
+
+def _volume(v):
+    """As many events as there are orders."""
+    return v.spark.read.parquet(f"{v.sf_dir}/orders.parquet").count()
+
+
+@query("s7_generate_access_log")
+def s7(v: Views):
+    return normal_events(entity_profiles(_entities(v)), _volume(v))
+
+
+@query("s8_inject_attacks")
+def s8(v: Views):
+    return attack_events(entity_profiles(_entities(v)), _volume(v))
+
+
+@query("s8_generated_label_mix")
+def s8m(v: Views):
+    """Label mix of the whole generated log."""
+    log = generate_access_log(_entities(v), _volume(v))
+    return log.groupBy("label").agg(F.count("*").alias("events"), F.count_distinct(KEY).alias("entities"))

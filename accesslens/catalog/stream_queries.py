@@ -1 +1,69 @@
-"""To come."""
+"""Streaming queries, run to the end of the available data; their final state has SQL twins."""
+
+from pyspark.sql import functions as F
+
+from accesslens import constants as C
+from accesslens.catalog.registry import Views, query, rnd, sql_rnd, sql_time, text_time
+from accesslens.catalog.sql_base import sql
+from accesslens.plans.segments import KEY
+from accesslens.session import materialize, scratch_path
+from accesslens.streaming.entity_state import track_entities
+from accesslens.streaming.monitor import latest_feed, totals_to_table
+from accesslens.streaming.replay import event_stream, run_to_table, table_stream, write_replay_files
+from accesslens.streaming.rules import brute_force_windows, credential_stuffing_windows
+
+
+def _alert_stream(v: Views):
+    """A finished alert table, replayed."""
+    path = scratch_path(v.spark, "replay-alerts")
+    alerts = v.alerts.select("event_id", KEY, "timestamp", "risk_score", "severity")
+    alerts.write.parquet(path)
+    return table_stream(v.spark, path, alerts.schema, files_per_trigger=4)
+
+
+@query("u1_replay", sql("log", "SELECT event_id, entity_id FROM access_log"))
+def u1(v: Views):
+    """Files of bounded size in time order, a few per tick, read to the end."""
+    path = scratch_path(v.spark, "replay-log")
+    rows = v.log.select("event_id", KEY, "timestamp")
+    write_replay_files(rows, path, 100_000)
+    return run_to_table(table_stream(v.spark, path, rows.schema, files_per_trigger=4), "replayed").select("event_id", KEY)
+
+
+@query("u2_running_totals", sql("alerts", f"SELECT count(*) AS processed, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, {sql_rnd('100 * count(*) FILTER (risk_score > 40) / count(*)', 'anomaly_rate_pct', 4)} FROM alerts"))
+def u2(v: Views):
+    return totals_to_table(_alert_stream(v)).select("processed", "critical", "high", rnd("anomaly_rate_pct", 4))
+
+
+@query("u3_latest_feed", sql("alerts", f"SELECT event_id, entity_id, {sql_time()}, risk_score, severity FROM alerts ORDER BY alerts.\"timestamp\" DESC, event_id DESC LIMIT 20"))
+def u3(v: Views):
+    return latest_feed(_alert_stream(v)).select("event_id", KEY, text_time(), "risk_score", "severity")
+
+
+_STATE_SQL = """st1 AS (SELECT *, session_duration / 1000 AS x, avg(session_duration / 1000) OVER o AS m FROM features WINDOW o AS (PARTITION BY entity_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING)),
+st2 AS (SELECT *, sum(x - m - 0.005) OVER (PARTITION BY entity_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS c FROM st1),
+st3 AS (SELECT *, c - min(c) OVER (PARTITION BY entity_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS ph FROM st2)"""
+
+
+@query("u4_entity_state", sql("features", f"SELECT event_id, entity_id, {sql_rnd('time_gap_seconds', digits=4)}, {sql_rnd('geo_distance_km', digits=4)}, cumulative_unique_resources, entity_event_count, {sql_rnd('ph', digits=4)}, cast(ph > 0.05 AS bigint) AS drift FROM st3", _STATE_SQL))
+def u4(v: Views):
+    """Causal features from state; the event file arrives as one batch, so the result equals the batch windows."""
+    tracked = run_to_table(track_entities(event_stream(v.spark, v.sf_dir), scale=1000.0), "tracked")
+    return tracked.select("event_id", KEY, rnd("time_gap_seconds", 4), rnd("geo_distance_km", 4),
+                          "cumulative_unique_resources", "entity_event_count", rnd("ph", 4), "drift")
+
+
+# A window is final once the watermark (latest event - 10 minutes) has passed its end.
+@query("u5_brute_force_windows", sql("log", """SELECT window_start, entity_id, source_ip, fails FROM (
+  SELECT cast(floor(epoch("timestamp")) AS bigint) // 300 * 300 AS window_start, entity_id, source_ip, count(*) AS fails FROM access_log WHERE NOT auth_success GROUP BY 1, 2, 3)
+  WHERE fails >= 10 AND window_start + 300 <= (SELECT epoch(max("timestamp")) - 600 FROM access_log WHERE NOT auth_success)"""))
+def u5(v: Views):
+    return run_to_table(brute_force_windows(event_stream(v.spark, v.sf_dir)), "brute-force")
+
+
+@query("u5_credential_stuffing_windows", sql("log", """SELECT window_start, source_ip, count(*) AS entities, cast(sum(n) AS bigint) AS attempts, cast(sum(f) AS bigint) AS fails
+  FROM (SELECT source_ip, cast(floor(epoch("timestamp")) AS bigint) // 1800 * 1800 AS window_start, entity_id, count(*) AS n, count(*) FILTER (NOT auth_success) AS f FROM access_log GROUP BY ALL)
+  WHERE window_start + 1800 <= (SELECT epoch(max("timestamp")) - 600 FROM access_log)
+  GROUP BY source_ip, window_start HAVING count(*) >= 15 AND sum(f) / sum(n) >= 0.7"""))
+def u5b(v: Views):
+    return run_to_table(credential_stuffing_windows(event_stream(v.spark, v.sf_dir)), "stuffing")

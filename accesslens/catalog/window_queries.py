@@ -308,11 +308,11 @@ def x2(v: Views):
     return out.select("event_id", "rank", "feature", "display_name", rnd("attribution", 4), "impact")
 
 
-@query("x3_fallback_by_value", sql("features", f"""SELECT event_id, rank, feature, {sql_rnd('value', 'feature_value', 4)} FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(value), 6) DESC, i) AS rank FROM (""" + " UNION ALL ".join(
+@query("x3_fallback_by_value", sql("features", f"""SELECT event_id, rank, feature, {sql_rnd('value', 'feature_value', 6)} FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(value), 6) DESC, i) AS rank FROM (""" + " UNION ALL ".join(
     f"SELECT event_id, '{c}' AS feature, {i} AS i, cast({c} AS double) AS value FROM features" for i, c in enumerate(C.FEATURES)) + ")) WHERE rank <= 3"))
 def x3(v: Views):
     out = X.explode_factors(X.attribute_by_value(v.features, C.FEATURES))
-    return out.select("event_id", "rank", "feature", rnd("feature_value", 4))
+    return out.select("event_id", "rank", "feature", rnd("feature_value", 6))
 
 
 @query("x4_feature_description", sql("alerts", f"SELECT event_id, rank, feature, {_DESC} AS description FROM factors", _FACTORS))
@@ -383,13 +383,12 @@ def k5(v: Views):
 
 # --- drift ---
 
-@query("g1_drift_deviation", sql("log", f"SELECT v.event_id, {sql_rnd('coalesce(abs(v.x - a.mean) / greatest(a.std, 1e-6), 0.0)', 'deviation', 3)} FROM vals v LEFT JOIN adaptive a USING (event_id) WHERE a.std IS NULL OR a.std > 1e-3 OR v.x = a.mean", _adaptive("ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING")))
+@query("g1_drift_deviation", sql("log", f"SELECT v.event_id, {sql_rnd('coalesce(abs(v.x - a.mean) / greatest(a.std, 1e-6), 0.0)', 'deviation', 3)} FROM vals v LEFT JOIN adaptive a USING (event_id)", _adaptive("ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING")))
 def g1(v: Views):
-    """Deviation from the baseline of the events before. A practically constant baseline (second event) is left out."""
+    """Deviation of every event from the decayed baseline of the events before it."""
     out = G.adaptive_baseline(v.log.select("event_id", KEY, "timestamp", "session_duration"), "session_duration", v.segments, previous=True)
     z = F.coalesce(G.deviation("session_duration"), F.lit(0.0))
-    keep = F.col("adaptive_std").isNull() | (F.col("adaptive_std") > 1e-3) | (F.col("session_duration") == F.col("adaptive_mean"))
-    return out.where(keep).select("event_id", rnd(z, 3, "deviation"))
+    return out.select("event_id", rnd(z, 3, "deviation"))
 
 
 @query("g2_drift_events")

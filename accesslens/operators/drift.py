@@ -17,7 +17,8 @@ def decayed_mean_std(values, decay=C.DRIFT_DECAY):
     weight = lambda i: F.pow(F.lit(decay), (n - 1 - i).cast("double"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     norm = total(F.transform(values, lambda x, i: weight(i)))
-    mean = total(F.transform(values, lambda x, i: weight(i) * x)) / norm
+    # An empty window has no baseline: null rather than a division by zero.
+    mean = F.try_divide(total(F.transform(values, lambda x, i: weight(i) * x)), norm)
     return mean, norm, weight, total
 
 
@@ -25,7 +26,8 @@ def _with_decayed(df, values, prefix, decay):
     mean, norm, _, _ = decayed_mean_std(F.col(values), decay)
     df = df.withColumn(f"{prefix}_mean", mean)
     _, norm, weight, total = decayed_mean_std(F.col(values), decay)
-    spread = total(F.transform(F.col(values), lambda x, i: weight(i) * F.pow(x - F.col(f"{prefix}_mean"), 2))) / norm
+    spread = F.try_divide(
+        total(F.transform(F.col(values), lambda x, i: weight(i) * F.pow(x - F.col(f"{prefix}_mean"), 2))), norm)
     return df.withColumn(f"{prefix}_std", F.sqrt(spread))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from accesslens import constants as C
-from accesslens.plans.ranks import exact_quantiles, mark_first, prefix_by_value
+from accesslens.plans.ranks import cut_rows, exact_quantiles, prefix_by_value, within_cut
 from accesslens.plans.tables import local_table
 
 
@@ -57,15 +57,20 @@ def roc_curve(df: DataFrame, score, actual="y_true") -> DataFrame:
 
 
 def precision_at(df: DataFrame, score, fractions, actual="y_true", key="event_id") -> DataFrame:
-    """Share of anomalies among the top share of events; ties are cut by key."""
-    out = None
-    for fraction in fractions:
-        size = lambda n, f=fraction: F.greatest(F.lit(1), F.floor(n * f)).cast("long")
-        top = mark_first(df, score, key, size, "_top", descending=True).where("_top")
-        row = top.agg(F.lit(float(fraction)).alias("fraction"), F.count("*").alias("k"),
-                      F.avg(F.col(actual).cast("double")).alias("precision"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Share of anomalies among the top max(1, int(n * fraction)) events; ties are cut by key.
+
+    All cuts come from one selection and all shares from one aggregation pass.
+    """
+    total = df.count()
+    order = F.col(score).cast("double")
+    sizes = {f: min(max(1, int(total * f)), total) for f in fractions}
+    cuts = cut_rows(df, order, key, list(sizes.values()), descending=True) if total else {}
+    rows = df.agg(*[
+        F.avg(F.when(within_cut(order, key, cuts.get(k), True), F.col(actual).cast("double"))).alias(f"p{i}")
+        for i, k in enumerate(sizes.values())])
+    return rows.select(F.explode(F.array(*[
+        F.struct(F.lit(float(f)).alias("fraction"), F.lit(k).cast("long").alias("k"), F.col(f"p{i}").alias("precision"))
+        for i, (f, k) in enumerate(sizes.items())])).alias("x")).select("x.*")
 
 
 def pair_counts(df: DataFrame, actual="label", predicted="predicted_label") -> DataFrame:

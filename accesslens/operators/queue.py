@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from accesslens import constants as C
-from accesslens.functions.scalar import geo_part, hash_uniform
-from accesslens.plans.ranks import mark_first, minute_bin
+from accesslens.functions.scalar import epoch_micros, geo_part, hash_uniform
+from accesslens.plans.ranks import cut_rows, minute_of_micros, within_cut
 from accesslens.plans.segments import ID, KEY, TS, EntitySegments, with_lead
 
 
@@ -48,17 +48,21 @@ def history_of_alerted(alerts: DataFrame, minimum, segments: EntitySegments) ->
     return segments.lookup(alerts, flagged).where("entity_alerts is not null")
 
 
+def _time_cut(log: DataFrame, size):
+    """The row that ends the first ``size`` events by time."""
+    return cut_rows(log, epoch_micros(TS), ID, [size], minute_of_micros).get(size) if size > 0 else None
+
+
 def temporal_split(log: DataFrame, share=0.8) -> DataFrame:
     """Mark the first int(n * share) events by time as train, the rest as test: no global sort."""
-    size = lambda n: F.floor(n * share).cast("long")
-    marked = mark_first(log, TS, ID, size, "_train", bin_expr=minute_bin(F.col(TS)))
-    return marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
+    cut = _time_cut(log, int(log.count() * share))
+    return log.withColumn("split", F.when(within_cut(epoch_micros(TS), ID, cut), "train").otherwise("test"))
 
 
 def replay_prefix(log: DataFrame, rows) -> DataFrame:
     """The first ``rows`` events by time."""
-    size = lambda n: F.least(n, F.lit(rows)).cast("long")
-    return mark_first(log, TS, ID, size, "_in", bin_expr=minute_bin(F.col(TS))).where("_in").drop("_in")
+    cut = _time_cut(log, min(rows, log.count()))
+    return log.where(within_cut(epoch_micros(TS), ID, cut))
 
 
 def argmax_event(df: DataFrame, score) -> DataFrame:

@@ -6,6 +6,8 @@ shuffle), prefix over the bins, and touch single rows only inside the bins that
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from accesslens.plans.tables import local_table
+
 BINS_PER_OCTAVE = 4096
 
 
@@ -16,8 +18,8 @@ def magnitude_bin(value, per_octave=BINS_PER_OCTAVE):
     return F.when(v < 0, -size - 1).otherwise(size)
 
 
-def minute_bin(ts):
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / 60).cast("long")
+def minute_of_micros(value):
+    return F.floor(value / 60_000_000).cast("long")
 
 
 def bin_prefix(counts: DataFrame, keys, measures):
@@ -100,31 +102,34 @@ def exact_quantiles(df: DataFrame, keys, value, probabilities, bin_expr=None):
     return ends.select(*keys, "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("q"))
 
 
-def cut_row(df: DataFrame, order_col, id_col, size, bin_expr=None, descending=False):
-    """The last row of the first ``size`` rows under (order_col, id): one row (cut_value, cut_id).
+def cut_rows(df: DataFrame, order, id_col, sizes, bin_expr=None, descending=False):
+    """For each size k, the k-th row under (order, id): ``{k: (order value, id)}``.
 
-    ``size`` is a function of the row count column. Ties on the value are cut by ascending id, found by
-    a second selection among the tied rows only, so no sort of the whole input happens.
+    ``order`` is a numeric column expression. Two selections over bins find the value and then, among the
+    rows tied on it, the id; only one row per size reaches the driver and nothing is sorted as a whole.
     """
-    total = df.agg(F.count("*").alias("n"))
-    want = total.select(F.lit("cut").alias("tag"), (size(F.col("n")) - 1).cast("long").alias("rank"))
-    want = want.where(F.col("rank") >= 0)
-    first = values_at_ranks(df, [], order_col, want, bin_expr, descending)
-    edge = first.select(F.col("v").alias("cut_value"), (F.col("rank") - F.col("v_before")).alias("rank"))
-    tied = df.join(F.broadcast(edge), F.col(order_col) == F.col("cut_value")).select(id_col)
-    second = values_at_ranks(tied, [], id_col, edge.select(F.lit("cut").alias("tag"), "rank"))
-    return edge.select("cut_value").crossJoin(F.broadcast(second.select(F.col("v").alias("cut_id"))))
-
-
-def mark_first(df: DataFrame, order_col, id_col, size, name, bin_expr=None, descending=False):
-    """Flag the first ``size`` rows under (order_col, id) by comparing with the cut row."""
-    cut = cut_row(df, order_col, id_col, size, bin_expr, descending)
-    value, edge = F.col(order_col), F.col("cut_value")
-    ahead = (value > edge) if descending else (value < edge)
-    flag = ahead | ((value == edge) & (F.col(id_col) <= F.col("cut_id")))
-    # A left join on true keeps all rows when the cut is empty (size 0).
-    return (df.join(F.broadcast(cut), F.lit(True), "left")
-            .withColumn(name, F.coalesce(flag, F.lit(False))).drop("cut_value", "cut_id"))
+    spark = df.sparkSession
+    data = df.select(order.alias("v"), F.col(id_col).alias("id"))
+    kind = dict(data.dtypes)["v"].replace("bigint", "long")
+    table = local_table(spark, [(k, k - 1) for k in sorted(set(sizes))], "tag long, rank long")
+    bins = bin_expr(F.col("v")) if bin_expr else None
+    edges = values_at_ranks(data, [], "v", table, bins, descending).collect()
+    values = sorted({r["v"] for r in edges})
+    # Rows tied with an edge value; a tie may be large, so its ids go through bins as well.
+    tied = data.where(F.col("v").isin(values)).select(F.col("v").alias("edge"), "id")
+    spots = local_table(spark, [(r["v"], r["tag"], r["rank"] - r["v_before"]) for r in edges],
+                        f"edge {kind}, tag long, rank long")
+    found = values_at_ranks(tied, ["edge"], "id", spots).collect()
+    return {r["tag"]: (r["edge"], r["v"]) for r in found}
+
+
+def within_cut(order, id_col, cut, descending=False):
+    """True for rows up to the cut row: a row-local comparison with two literals."""
+    if cut is None:
+        return F.lit(False)
+    value, last = cut
+    ahead = (order > value) if descending else (order < value)
+    return ahead | ((order == value) & (F.col(id_col) <= last))
 
 
 def dense_codes(df: DataFrame, column, prefix=10):
