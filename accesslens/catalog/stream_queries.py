@@ -40,16 +40,16 @@ def u3(v: Views):
     return latest_feed(_alert_stream(v)).select("event_id", KEY, text_time(), "risk_score", "severity")
 
 
-_STATE_SQL = """st1 AS (SELECT *, session_duration / 1000 AS x, avg(session_duration / 1000) OVER o AS m FROM features WINDOW o AS (PARTITION BY entity_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING)),
+_STATE_SQL = """st1 AS (SELECT *, log_session_duration AS x, avg(log_session_duration) OVER o AS m FROM features WINDOW o AS (PARTITION BY entity_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING)),
 st2 AS (SELECT *, sum(x - m - 0.005) OVER (PARTITION BY entity_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS c FROM st1),
 st3 AS (SELECT *, c - min(c) OVER (PARTITION BY entity_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS ph FROM st2)"""
 
 
-@query("u4_entity_state", sql("features", f"SELECT event_id, entity_id, {sql_rnd('time_gap_seconds', digits=4)}, {sql_rnd('geo_distance_km', digits=4)}, cumulative_unique_resources, entity_event_count, {sql_rnd('ph', digits=4)}, cast(ph > 0.05 AS bigint) AS drift FROM st3", _STATE_SQL))
+@query("u4_entity_state", sql("features", f"SELECT event_id, entity_id, {sql_rnd('time_gap_seconds')}, {sql_rnd('geo_distance_km', digits=4)}, cumulative_unique_resources, entity_event_count, {sql_rnd('ph', digits=4)}, cast(ph > 0.05 AS bigint) AS drift FROM st3", _STATE_SQL))
 def u4(v: Views):
     """Causal features from state; the event file arrives as one batch, so the result equals the batch windows."""
-    tracked = run_to_table(track_entities(event_stream(v.spark, v.sf_dir), scale=1000.0), "tracked")
-    return tracked.select("event_id", KEY, rnd("time_gap_seconds", 4), rnd("geo_distance_km", 4),
+    tracked = run_to_table(track_entities(event_stream(v.spark, v.sf_dir)), "tracked")
+    return tracked.select("event_id", KEY, rnd("time_gap_seconds"), rnd("geo_distance_km", 4),
                           "cumulative_unique_resources", "entity_event_count", rnd("ph", 4), "drift")
 
 

@@ -438,9 +438,9 @@ def q1(v: Views):
     return PT.brute_force(v.log)
 
 
-@query("q2_impossible_travel", sql("features", f"SELECT event_id, entity_id, {sql_time()}, geo_city, {sql_rnd('time_gap_seconds', digits=4)}, {sql_rnd('geo_distance_km', digits=4)} FROM features WHERE geo_distance_km > 500 AND time_gap_seconds <= 2700"))
+@query("q2_impossible_travel", sql("features", f"SELECT event_id, entity_id, {sql_time()}, geo_city, {sql_rnd('time_gap_seconds')}, {sql_rnd('geo_distance_km', digits=4)} FROM features WHERE geo_distance_km > 500 AND time_gap_seconds <= 2700"))
 def q2(v: Views):
-    return PT.impossible_travel(v.features).select("event_id", KEY, text_time(), "geo_city", rnd("time_gap_seconds", 4), rnd("geo_distance_km", 4))
+    return PT.impossible_travel(v.features).select("event_id", KEY, text_time(), "geo_city", rnd("time_gap_seconds"), rnd("geo_distance_km", 4))
 
 
 @query("q2_impossible_speed", sql("features", f"SELECT event_id, entity_id, geo_city, {sql_rnd('geo_distance_km', digits=4)} FROM features WHERE geo_velocity_kmh > 500"))

@@ -4,13 +4,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from accesslens import constants as C
-from accesslens.functions.scalar import coordinates, epoch_micros
+from accesslens.functions.scalar import coordinates, epoch_micros, log_duration
 from accesslens.plans.segments import ID, KEY, TS
 
-OUTPUT = StructType.fromDDL(
+OUTPUT = (
     f"{KEY} string, {ID} long, time_gap_seconds double, geo_distance_km double, geo_velocity_kmh double, "
     "cumulative_unique_resources long, entity_event_count long, ph double, drift long")
 STATE = "micros long, lat double, lon double, n long, seen long, total double, cum double, low double"
@@ -76,10 +75,13 @@ class EntityTracker(StatefulProcessor):
         pass
 
 
-def track_entities(log: DataFrame, value="session_duration", scale=1.0, threshold=C.DRIFT_LAMBDA) -> DataFrame:
-    """Causal features of each event, from the state of its entity in arrival order."""
+def track_entities(log: DataFrame, value=None, threshold=C.DRIFT_LAMBDA) -> DataFrame:
+    """Causal features of each event, from the state of its entity in arrival order.
+
+    ``value`` is the monitored number, by default the logarithm of the session duration.
+    """
     cols = log.withColumns(coordinates()).select(
         KEY, ID, epoch_micros(TS).alias("micros"), "latitude", "longitude", "resource_accessed",
-        (F.col(value) / scale).cast("double").alias("x"))
+        (log_duration() if value is None else value.cast("double")).alias("x"))
     return cols.groupBy(KEY).transformWithStateInPandas(
         statefulProcessor=EntityTracker(threshold), outputStructType=OUTPUT, outputMode="Append", timeMode="None")

@@ -1,6 +1,7 @@
 """Compare a registered query with its SQL twin: columns by name, rows in any order, values exactly."""
 
 import math
+import os
 import sys
 import time
 
@@ -61,7 +62,9 @@ def difference(df, con, text):
 def main(names, sf_dir):
     import __spark_entry__ as E
     from accesslens.session import build_session
-    spark = build_session(master="local[8]")
+    # HOT_ROWS=100 sends entities above 100 events through the segmented plans.
+    extra = {"accesslens.hotRows": os.environ["HOT_ROWS"]} if "HOT_ROWS" in os.environ else {}
+    spark = build_session(master="local[8]", **extra)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sqls, bad = E.oracle_sql(), 0
