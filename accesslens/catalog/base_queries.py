@@ -8,7 +8,7 @@ from accesslens.catalog.sql_base import sql
 from accesslens.functions import scalar as S
 from accesslens.operators import coldstart as K, encode as E, evaluate as V, patterns as PT, profiles as P, queue as Q
 from accesslens.operators import summary as A
-from accesslens.operators.features import build_features, feature_matrix, scalar_features
+from accesslens.operators.features import feature_matrix, plain_features, scalar_features
 from accesslens.plans.segments import KEY, EntitySegments
 from accesslens.session import materialize, scratch_path
 from accesslens.sources import access_log as L
@@ -81,7 +81,7 @@ def feature_query(name, ints=(), doubles=(), extra=None):
 
     @query(name, sql("features", f"SELECT {text} FROM features"))
     def run(v: Views):
-        return v.features.select("event_id", *ints, *[rnd(d) for d in doubles])
+        return v.plain.select("event_id", *ints, *[rnd(d) for d in doubles])
     return run
 
 
@@ -204,14 +204,14 @@ def f8(v: Views):
     """The key filter reaches the scan: only the entity's rows enter the profile."""
     own = P.profile_of(v.log, "USR_0003")
     segments = EntitySegments.probe(own)
-    return P.entity_profiles(build_features(own, segments), segments, own).select(KEY, "event_count", rnd("duration_p95"))
+    return P.entity_profiles(plain_features(own, segments), segments, own).select(KEY, "event_count", rnd("duration_p95"))
 
 
 # --- joins and set operations ---
 
 @query("j1_event_profile", sql("scored", f"SELECT event_id, {sql_rnd('statistical_score')} FROM stat"))
 def j1(v: Views):
-    return P.with_statistical_score(v.features, v.profiles, v.segments).select("event_id", rnd("statistical_score"))
+    return P.with_statistical_score(v.plain, v.profiles, v.segments).select("event_id", rnd("statistical_score"))
 
 
 @query("j2_event_history", sql("scored", f"SELECT event_id, {sql_rnd('entity_risk')} FROM stat"))
@@ -397,7 +397,7 @@ def a20(v: Views):
 @query("a20_feature_box_stats", sql("features", "SELECT label, " + ", ".join(sql_rnd(f"quantile_cont(greatest(least(duration_deviation, 5.0), -5.0), {p})", n, 4) for n, p in [("low", 0.0), ("q1", .25), ("median", .5), ("q3", .75), ("high", 1.0)]) + " FROM features GROUP BY label"))
 def a20b(v: Views):
     """Deviation clipped to five sigmas, by label."""
-    stored = materialize(v.features.select("label", "duration_deviation"), "deviation")
+    stored = materialize(v.plain.select("label", "duration_deviation"), "deviation")
     box = A.box_stats(stored, ["label"], "duration_deviation", clip=5)
     return box.select("label", *[rnd(c, 4) for c in ("low", "q1", "median", "q3", "high")])
 

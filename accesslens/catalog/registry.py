@@ -5,8 +5,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from accesslens.operators import profiles as P
-from accesslens.operators.encode import CategoryEncoder
-from accesslens.operators.features import ENCODED, build_features
+from accesslens.operators.features import build_features, plain_features
 from accesslens.operators.risk import alerts as build_alerts
 from accesslens.plans.segments import EntitySegments
 from accesslens.session import materialize
@@ -34,6 +33,11 @@ class Views:
     def features(self):
         return build_features(self.log, self.segments)
 
+    @cached_property
+    def plain(self):
+        """Features without category codes."""
+        return plain_features(self.log, self.segments)
+
     @cached_property
     def stored_features(self):
         """Features written once, for queries that pass over them several times."""
@@ -41,7 +45,7 @@ class Views:
 
     @cached_property
     def profiles(self):
-        return P.entity_profiles(self.features, self.segments, self.log)
+        return P.entity_profiles(self.plain, self.segments, self.log)
 
     @cached_property
     def stored_profiles(self):
@@ -53,7 +57,8 @@ class Views:
 
     @cached_property
     def alerts(self):
-        return build_alerts(self.features, self.segments, self.log)
+        """Profiles, scores and the speed range each pass over the features, so these are written once."""
+        return build_alerts(materialize(self.plain, "plain-features"), self.segments, self.log)
 
     def stored_alerts(self, *columns):
         """The named alert columns written once; only they are computed."""
@@ -79,10 +84,9 @@ def query(name, sql=None):
 
 
 def rnd(column, digits=6, name=None):
-    """Rounded double, without a negative zero."""
+    """Rounded double (rounding never yields a negative zero here)."""
     c = F.col(column) if isinstance(column, str) else column
-    out = F.round(c.cast("double"), digits)
-    return F.when(out == 0, F.lit(0.0)).otherwise(out).alias(name or column)
+    return F.round(c.cast("double"), digits).alias(name or column)
 
 
 def sql_rnd(expr, name=None, digits=6):

@@ -91,7 +91,7 @@ ph3 AS (SELECT *, cumulative_sum - min(cumulative_sum) OVER (PARTITION BY entity
 
 
 def _page_hinkley(v):
-    cols = v.features.select("event_id", KEY, "timestamp", "duration_deviation")
+    cols = v.plain.select("event_id", KEY, "timestamp", "duration_deviation")
     return G.page_hinkley(cols, "duration_deviation", v.segments)
 
 
@@ -238,7 +238,7 @@ st AS (SELECT """ + ", ".join(f"avg({c}) AS {c}__m, CASE WHEN stddev_pop({c}) =
 @query("e3_standard_scale", sql("features", "SELECT event_id, " + ", ".join(sql_rnd(f"({c} - {c}__m) / {c}__s", f"{c}_z", 4) for c in _SCALED) + " FROM rankedf CROSS JOIN st WHERE rn > cast(floor(total * 0.8) AS bigint)", _SPLIT_F))
 def e3(v: Views):
     """Statistics of the train part applied to the test part."""
-    parts = Q.temporal_split(materialize(v.features.select("event_id", "timestamp", *_SCALED), "scaled"))
+    parts = Q.temporal_split(materialize(v.plain.select("event_id", "timestamp", *_SCALED), "scaled"))
     stats = E.fit_scaler(parts.where("split = 'train'"), _SCALED)
     out = E.scale(parts.where("split = 'test'"), stats, _SCALED)
     return out.select("event_id", *[rnd(f"{c}_z", 4) for c in _SCALED])
@@ -246,7 +246,7 @@ def e3(v: Views):
 
 @query("e4_minmax_invert", sql("scored", f"SELECT event_id, {sql_rnd('CASE WHEN max(statistical_score) OVER () > min(statistical_score) OVER () THEN 1 - (statistical_score - min(statistical_score) OVER ()) / (max(statistical_score) OVER () - min(statistical_score) OVER ()) ELSE 0.5 END', 'inverted')} FROM stat"))
 def e4(v: Views):
-    scored = materialize(P.with_statistical_score(v.features, v.profiles, v.segments).select("event_id", "statistical_score"), "stat")
+    scored = materialize(P.with_statistical_score(v.plain, v.profiles, v.segments).select("event_id", "statistical_score"), "stat")
     return E.minmax_inverted(scored, "statistical_score", "inverted").select("event_id", rnd("inverted"))
 
 
@@ -254,13 +254,13 @@ def e4(v: Views):
 
 @query("d1_statistical_score", sql("scored", f"SELECT event_id, entity_id, {sql_rnd('statistical_score')} FROM stat"))
 def d1(v: Views):
-    return P.with_statistical_score(v.features, v.profiles, v.segments).select("event_id", KEY, rnd("statistical_score"))
+    return P.with_statistical_score(v.plain, v.profiles, v.segments).select("event_id", KEY, rnd("statistical_score"))
 
 
 @query("d4_baseline_combined", sql("scored", f"SELECT event_id, {sql_rnd('0.3 * statistical_score + 0.4 * isolation_forest_score + 0.3 * confidence', 'baseline_combined_score')} FROM scored"))
 def d4(v: Views):
     """The fixed mix, here over the closed-form parts."""
-    scored = risk.closed_form_scores(v.features, v.segments, v.log)
+    scored = risk.closed_form_scores(v.plain, v.segments, v.log)
     mix = risk.baseline_combined(F.col("statistical_score"), F.col("isolation_forest_score"), F.col("confidence"))
     return scored.select("event_id", rnd(mix, 6, "baseline_combined_score"))
 
@@ -271,14 +271,14 @@ _NORM = "seqscore AS (SELECT *, greatest(least(geo_velocity_kmh / greatest(max(g
 @query("d7_sequence_normalise", sql("features", f"SELECT event_id, {sql_rnd('sequence_norm')} FROM seqscore", _NORM))
 def d7(v: Views):
     """An error scaled by the larger of the batch maximum and twice the normal threshold."""
-    stored = materialize(v.features.select("event_id", "label", "geo_velocity_kmh"), "errors")
+    stored = materialize(v.plain.select("event_id", "label", "geo_velocity_kmh"), "errors")
     threshold = normal_threshold(stored, "geo_velocity_kmh")
     return normalise_error(stored, "geo_velocity_kmh", threshold, "sequence_norm").select("event_id", rnd("sequence_norm"))
 
 
 @query("d8_sequence_predict", sql("features", "SELECT event_id, cast(sequence_norm > t / greatest(2 * t, 1e-6) AS bigint) AS flagged FROM seqscore", _NORM))
 def d8(v: Views):
-    stored = materialize(v.features.select("event_id", "label", "geo_velocity_kmh"), "errors")
+    stored = materialize(v.plain.select("event_id", "label", "geo_velocity_kmh"), "errors")
     threshold = normal_threshold(stored, "geo_velocity_kmh")
     scored = normalise_error(stored, "geo_velocity_kmh", threshold, "sequence_norm")
     return sequence_predict(scored, "sequence_norm", threshold).select("event_id", "flagged")
@@ -367,12 +367,12 @@ _COLD_SQL = """cold AS (SELECT f.event_id, f.entity_event_count, least((
 
 @query("k3_cold_start_score", sql("peers", f"SELECT event_id, {sql_rnd('cold_start_score')} FROM cold", _COLD_SQL))
 def k3(v: Views):
-    return K.with_cold_start_score(v.features, v.peers).select("event_id", rnd("cold_start_score"))
+    return K.with_cold_start_score(v.plain, v.peers).select("event_id", rnd("cold_start_score"))
 
 
 @query("k4_blended_score", sql("scored_peers", f"SELECT event_id, {sql_rnd('(1 - least(c.entity_event_count / 20, 1.0)) * cold_start_score + least(c.entity_event_count / 20, 1.0) * statistical_score', 'blended_score')} FROM cold c JOIN stat USING (event_id)", _COLD_SQL))
 def k4(v: Views):
-    scored = P.with_statistical_score(K.with_cold_start_score(v.features, v.peers), v.stored_profiles, v.segments)
+    scored = P.with_statistical_score(K.with_cold_start_score(v.plain, v.peers), v.stored_profiles, v.segments)
     return K.blended_score(scored).select("event_id", rnd("blended_score"))
 
 
@@ -440,12 +440,12 @@ def q1(v: Views):
 
 @query("q2_impossible_travel", sql("features", f"SELECT event_id, entity_id, {sql_time()}, geo_city, {sql_rnd('time_gap_seconds')}, {sql_rnd('geo_distance_km', digits=4)} FROM features WHERE geo_distance_km > 500 AND time_gap_seconds <= 2700"))
 def q2(v: Views):
-    return PT.impossible_travel(v.features).select("event_id", KEY, text_time(), "geo_city", rnd("time_gap_seconds"), rnd("geo_distance_km", 4))
+    return PT.impossible_travel(v.plain).select("event_id", KEY, text_time(), "geo_city", rnd("time_gap_seconds"), rnd("geo_distance_km", 4))
 
 
 @query("q2_impossible_speed", sql("features", f"SELECT event_id, entity_id, geo_city, {sql_rnd('geo_distance_km', digits=4)} FROM features WHERE geo_velocity_kmh > 500"))
 def q2b(v: Views):
-    return PT.impossible_speed(v.features).select("event_id", KEY, "geo_city", rnd("geo_distance_km", 4))
+    return PT.impossible_speed(v.plain).select("event_id", KEY, "geo_city", rnd("geo_distance_km", 4))
 
 
 @query("q3_credential_stuffing", sql("log", f"""SELECT source_ip, window_start, count(*) AS entities, cast(sum(n) AS bigint) AS attempts, cast(sum(f) AS bigint) AS fails, {sql_rnd('sum(f) / sum(n)', 'fail_rate')}

@@ -131,7 +131,7 @@ def minmax(df: DataFrame, column, name) -> DataFrame:
 
 # --- one-class kernel rule --------------------------------------------------------------------------------
 
-def random_fourier(dims, components=128, seed=42):
+def random_fourier(dims, components=512, seed=42):
     """Weights of random Fourier features (Rahimi and Recht 2007) for the RBF kernel with gamma = 1 / dims.
 
     That is gamma = 1 / (dims * variance) for features scaled to unit variance.

@@ -78,17 +78,20 @@ def entity_features(df: DataFrame, segments: EntitySegments) -> DataFrame:
 ENCODED = {"entity_type": "entity_type_enc", "auth_method": "auth_method_enc", "resource_accessed": "resource_enc"}
 
 
+def plain_features(log: DataFrame, segments: EntitySegments = None) -> DataFrame:
+    """All features but the category codes: no dictionary has to be fitted."""
+    segments = segments or EntitySegments.probe(log)
+    return entity_features(scalar_features(log), segments).withColumn("label_enc", label_code())
+
+
 def build_features(log: DataFrame, segments: EntitySegments = None, encoder: CategoryEncoder = None) -> DataFrame:
     """Access log -> log columns, 28 features, day_of_month, label_enc and the segment column.
 
     Entity statistics cover exactly the given frame, as scoring a batch on its own does. Pass the encoder
     fitted on the training frame to score another batch.
     """
-    segments = segments or EntitySegments.probe(log)
     encoder = encoder or CategoryEncoder.fit(log, list(ENCODED))
-    df = entity_features(scalar_features(log), segments)
-    df = encoder.transform(df, ENCODED)
-    return df.withColumn("label_enc", label_code())
+    return encoder.transform(plain_features(log, segments), ENCODED)
 
 
 def feature_matrix(features: DataFrame, names=None) -> DataFrame:
