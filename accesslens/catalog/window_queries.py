@@ -8,8 +8,7 @@ from accesslens.catalog.registry import Views, query, rnd, sql_rnd, sql_time, te
 from accesslens.catalog.sql_base import sql
 from accesslens.functions import scalar as S
 from accesslens.operators import coldstart as K, drift as G, encode as E, evaluate as V, explain as X
-from accesslens.operators import patterns as PT, profiles as P, queue as Q, reports as R, risk, summary as A
-from accesslens.operators.features import feature_matrix
+from accesslens.operators import patterns as PT, profiles as P, queue as Q, reports as R, risk
 from accesslens.operators.sequences import (
     event_sequences, map_window_error, normal_threshold, normalise_error, sequence_predict)
 from accesslens.plans.segments import KEY

@@ -1,7 +1,6 @@
 """Short literal tables as local relations (no Python worker in the plan)."""
 
 import pyarrow as pa
-from pyspark.sql import types as T
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 

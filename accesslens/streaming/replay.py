@@ -12,7 +12,7 @@ from accesslens.sources.access_log import access_log_from_events
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, sf_dir, files_per_trigger=1000) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir, files_per_trigger=16) -> DataFrame:
     """The access log as a stream over the event files; derivation is row-local, so it needs no state."""
     raw = (spark.readStream.schema(C.EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))

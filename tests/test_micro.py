@@ -3,11 +3,11 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import Row, functions as F
+from pyspark.sql import functions as F
 
 from accesslens import constants as C
 from accesslens.functions import scalar as S
-from accesslens.operators import coldstart as K, drift as G, encode as E, evaluate as V, profiles as P, queue as Q
+from accesslens.operators import coldstart as K, drift as G, encode as E, evaluate as V, profiles as P
 from accesslens.operators.features import build_features
 from accesslens.operators.sequences import event_sequences
 from accesslens.plans.ranks import exact_quantiles
