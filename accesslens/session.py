@@ -29,9 +29,16 @@ def build_session(app="accesslens", master=None, cpus=8, **conf):
 
 
 def scratch_path(spark, name):
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """A fresh path below the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local master may run without that setting; it then gets a temporary folder. Elsewhere a machine-local
+    folder would be seen by one host only, so an unset folder is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="accesslens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
