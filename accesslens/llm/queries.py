@@ -54,3 +54,35 @@ def op10_sharding(spark, sf_dir):
     return shuffle_to_shards(rows, 16, seed=10).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from accesslens.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_fingerprints(spark, sf_dir):
+    from accesslens.llm.fingerprints import fingerprints_with_edits
+
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_personal_data(spark, sf_dir):
+    """Counts and digest of the base spans, and all spans with those that the corpus statistics add."""
+    from pyspark.sql import functions as F
+
+    from accesslens.llm.pii import KINDS, detect
+
+    found = detect(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
