@@ -86,3 +86,17 @@ def op9_personal_data(spark, sf_dir):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_line_dedup(spark, sf_dir):
+    from accesslens.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
+@query
+def op5_near_vectors(spark, sf_dir):
+    from accesslens.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -104,6 +104,13 @@ def shingle_sets(texts, n):
     return [np.unique(shingles(w, n)) for w in words_of(texts)]
 
 
+def run_values(values, starts, ends):
+    """Hashes of the stretches values[start:end]; equal stretches have equal hashes wherever they stand."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix(values) * _power(_BASE, len(values)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 def window_hashes(raw, width):
     """Hashes of all windows of ``width`` bytes; a shorter, non-empty text is one window."""
     if not raw:
