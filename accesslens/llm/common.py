@@ -1,5 +1,6 @@
 """Helpers shared by the text operators: scratch tables, Arrow batches in pieces, connected components."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from accesslens.session import materialize
@@ -52,3 +53,20 @@ def connected_components(edges, name="components"):
             labels = stored(labels.join(moved, "component", "left")
                             .select("node", F.coalesce("to", "component").alias("component")), name)
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def join_labels(labels, i, j):
+    """Merge the label trees of linked nodes; afterwards every label is the smallest index of its tree."""
+    while True:
+        a, b = labels[i], labels[j]
+        open_ = a != b
+        if not open_.any():
+            return
+        i, j = i[open_], j[open_]
+        low, high = np.minimum(a[open_], b[open_]), np.maximum(a[open_], b[open_])
+        np.minimum.at(labels, high, low)
+        while True:
+            up = labels[labels]
+            if (up == labels).all():
+                break
+            labels[:] = up

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from accesslens.llm.common import connected_components, stored
+from accesslens.llm.common import connected_components, join_labels, stored
 
 #: Vectors in a group; every pair of groups is one unit of work.
 GROUP_ROWS = 4096
@@ -67,23 +67,6 @@ def tile_links(x, y, threshold):
     return i, j, values
 
 
-def _join_labels(labels, i, j):
-    """Merge the label trees of linked nodes; afterwards every label is the smallest index of its tree."""
-    while True:
-        a, b = labels[i], labels[j]
-        open_ = a != b
-        if not open_.any():
-            return
-        i, j = i[open_], j[open_]
-        low, high = np.minimum(a[open_], b[open_]), np.maximum(a[open_], b[open_])
-        np.minimum.at(labels, high, low)
-        while True:
-            up = labels[labels]
-            if (up == labels).all():
-                break
-            labels[:] = up
-
-
 def group_links(x, y, weights_x, weights_y, same, threshold, axes):
     """Links between two groups: (links of x, links of y, label of each node of both); y is x if ``same``."""
     norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
@@ -108,7 +91,7 @@ def group_links(x, y, weights_x, weights_y, same, threshold, axes):
             if len(i):
                 np.add.at(links_x, i, weights_y[j])
                 np.add.at(links_x if same else links_y, j, weights_x[i])
-                _join_labels(labels, i, j if same else j + len(x))
+                join_labels(labels, i, j if same else j + len(x))
     return links_x, links_y, labels
 
 

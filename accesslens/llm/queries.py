@@ -13,6 +13,7 @@ def query(fn=None, sql=None):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             # Text rows are long: small Arrow batches bound a Python worker's memory.
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run
@@ -100,3 +101,10 @@ def op5_near_vectors(spark, sf_dir):
     from accesslens.llm.near_vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_ngram_join(spark, sf_dir):
+    from accesslens.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
