@@ -108,3 +108,19 @@ def op4_ngram_join(spark, sf_dir):
     from accesslens.llm.ngram_join import ngram_join
 
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_piece_dropout(spark, sf_dir):
+    """Every document encoded with merge-dropout and decoded again: number and crc32 of its ids, and if nothing was lost."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from accesslens.llm.piece_dropout import decode_column, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = encode(table(spark, sf_dir, "documents"), path, seed=3)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
+                      F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+                      F.coalesce(decode_column(F.col("ids"), path), F.lit("")).eqNullSafe(F.coalesce("text", F.lit("")))
+                      .alias("lossless"))
