@@ -233,8 +233,8 @@ def _open_links(sets, index, links, percent, rare):
     return found.unionByName(rows.mapInArrow(run, "a long, b long"))
 
 
-def ngram_join(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PERCENT, rare=RARE):
-    """(doc_id, n_shingles, component_id) of every row: its set's size and the smallest id reachable by links.
+def linked_rows(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PERCENT, rare=RARE):
+    """(doc_id, text_key, n_shingles, component) of every row; rows of one component are linked, null is an empty set.
 
     1. Every text becomes its set of shingles; rows of equal sets are one node from here on.
     2. A node whose posted shingles are its own beyond its slack has no partner and goes (exact, most nodes).
@@ -243,9 +243,7 @@ def ngram_join(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PERC
        by matrix products. Nodes already connected need no comparison, so a group of near copies costs little.
     Every pair that could change a component is compared exactly; there is no cap.
 
-    Nulls and texts without words have an empty set, linked with nothing. Null ids are kept and take the smallest id of
-    their component, null if it has none. Repeated rows and ids are separate rows with the same component if their sets
-    are linked. Other columns are ignored; an empty input gives an empty result.
+    Other columns are ignored; an empty input gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"),
                          F.col(text_col).alias("text"))
@@ -270,9 +268,42 @@ def ngram_join(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PERC
     links = stored(_verified(stars, sets, percent), "ngram-links")
     more = stored(_open_links(sets, index, links, percent, rare), "ngram-more")
     labels = connected_components(links.unionByName(more), "ngram-components")
-    rows = (summary.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component")))
+    return (summary.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+            .select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component")))
+
+
+def ngram_join(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PERCENT, rare=RARE):
+    """(doc_id, n_shingles, component_id) of every row: its set's size and the smallest id reachable by links.
+
+    See ``linked_rows`` for the method. Nulls and texts without words have an empty set, linked with nothing. Null ids
+    are kept and take the smallest id of their component, null if it has none. Repeated rows and ids are separate rows
+    with the same component if their sets are linked. Other columns are ignored; an empty input gives an empty result.
+    """
+    rows = linked_rows(docs, id_col, text_col, words, percent, rare)
     names = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = rows.where("component is not null").join(names, "component")
     return (linked.select("doc_id", "n_shingles", "component_id")
             .unionByName(rows.where("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+
+
+def keep_first(docs, id_col="doc_id", text_col="text", **options):
+    """The rows of ``docs`` but for those linked with a document of smaller id (null last), then smaller text hash.
+
+    Of rows equal in id and text one stays, whichever; rows without words all stay. Rows are named by id and text hash,
+    so ids may repeat or be null. All columns are kept; input columns ``_k1``, ``_k2`` and ``_once`` are reserved.
+    """
+    last = (1 << 63) - 1
+    rows = (linked_rows(docs, id_col, text_col, **options).where("component is not null")
+            .groupBy("component", F.coalesce("doc_id", F.lit(last)).alias("_k1"), F.col("text_key").alias("_k2"))
+            .agg(F.count("*").alias("copies")))
+    first = rows.groupBy("component").agg(F.min(F.struct("_k1", "_k2")).alias("first"), F.sum("copies").alias("m"))
+    # Only rows of groups matter from here on: the first one stays (once, if it repeats), the others go.
+    acts = stored(rows.join(first.where("m > 1"), "component")
+                  .withColumn("_once", F.struct("_k1", "_k2") == F.col("first"))
+                  .where("not _once or copies > 1").select("_k1", "_k2", "_once"), "ngram-acts")
+    marked = docs.withColumns({"_k1": F.coalesce(F.col(id_col).cast("long"), F.lit(last)),
+                               "_k2": F.xxhash64(F.col(text_col))}).join(acts, ["_k1", "_k2"], "left")
+    out = marked.where("_once is null")
+    if not acts.where("_once").isEmpty():
+        out = out.unionByName(marked.where("_once").dropDuplicates(["_k1", "_k2"]))
+    return out.select(*docs.columns)

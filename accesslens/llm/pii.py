@@ -217,22 +217,48 @@ def detect(docs, id_col="doc_id", text_col="text", threshold=0.8, remove_at=0.95
     an empty input gives an empty result; other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    disclosing = {}
-    for row in disclosing_terms(source, threshold, **options).collect():     # bounded, see disclosing_terms
-        disclosing.setdefault(row["term"], {})[row["kind"]] = row["disclosure"]
+    disclosing = _collected(source, threshold, options)
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
         for ids, texts in pieces(batches):
-            found, clean = [], []
-            for text in texts:
-                spans = base_spans(text) if text else []
-                if spans:
-                    spans = sorted(spans + term_spans(text, spans, disclosing), key=lambda s: (s[1], _RANK[s[0]], s[2]))
-                    text = sanitised(text, spans, disclosing, remove_at)
-                found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                clean.append(text)
+            clean, found = _cleaned(texts, disclosing, remove_at)
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(clean, pa.string()),
-                                              pa.array(found, pa.list_(span))], names=["doc_id", "text", "spans"])
+                                              pa.array(spans, pa.list_(span))], names=["doc_id", "text", "spans"])
 
     return source.mapInArrow(run, "doc_id long, text string, spans array<struct<kind:string,start:int,end:int>>")
+
+
+def sanitise(docs, text_col="text", threshold=0.8, remove_at=0.95, **options):
+    """All rows and columns of ``docs``, the text sanitised as by ``detect``; a null text stays null."""
+    disclosing = _collected(docs.select(F.col(text_col).alias("text")), threshold, options)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            clean, _ = _cleaned(batch.column(at).to_pylist(), disclosing, remove_at)
+            yield batch.set_column(at, text_col, pa.array(clean, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _collected(docs, threshold, options):
+    """{term: {kind: disclosure}}; see ``disclosing_terms`` for its bound."""
+    out = {}
+    for row in disclosing_terms(docs, threshold, **options).collect():
+        out.setdefault(row["term"], {})[row["kind"]] = row["disclosure"]
+    return out
+
+
+def _cleaned(texts, disclosing, remove_at):
+    """The sanitised texts and their spans."""
+    clean, found = [], []
+    for text in texts:
+        spans = base_spans(text) if text else []
+        if spans:
+            spans = sorted(spans + term_spans(text, spans, disclosing), key=lambda s: (s[1], _RANK[s[0]], s[2]))
+            text = sanitised(text, spans, disclosing, remove_at)
+        clean.append(text)
+        found.append(spans)
+    return clean, found

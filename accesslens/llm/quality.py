@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from accesslens.llm.common import pieces, stored
 from accesslens.llm.labels import training_labels
@@ -63,6 +64,20 @@ def statistics_table(docs, id_col="doc_id", text_col="text"):
             .mapInArrow(run, "doc_id long, statistics array<double>"))
 
 
+def with_statistics(docs, name, text_col="text"):
+    """All columns of ``docs`` and the statistics of its text, computed in one pass over the texts."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        masks = _masks()
+        for batch in batches:
+            values = [text_statistics(t or "", masks) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))],
+                                             names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))]))
+
+
 def tree_rules(tree):
     """Every path of a Spark ML tree from its root to an inner node or leaf, as a set of (feature, is_above, threshold)."""
     rules, path = [], []
@@ -124,6 +139,11 @@ class RuleEnsemble:
         return cls([r for r, _ in kept], [w for _, w in kept], fitted.intercept)
 
 
+def _fitted(table, labels, label_col):
+    return RuleEnsemble.fit(stored(table.join(training_labels(labels, label_col), "doc_id")
+                                   .select("label", "statistics"), "quality-training"))
+
+
 def quality_scores(docs, labels, id_col="doc_id", text_col="text", label_col="quality", cut=0.3):
     """(doc_id, held_out, score, predicted) of every row of ``docs``; learned from the labels outside fold 0.
 
@@ -134,8 +154,20 @@ def quality_scores(docs, labels, id_col="doc_id", text_col="text", label_col="qu
     from accesslens.llm.labels import held_out
 
     table = stored(statistics_table(docs, id_col, text_col), "quality-statistics")
-    model = RuleEnsemble.fit(stored(table.join(training_labels(labels, label_col), "doc_id")
-                                    .select("label", "statistics"), "quality-training"))
+    model = _fitted(table, labels, label_col)
     score = model.score(F.col("statistics"))
     return (table.select("doc_id", held_out().alias("held_out"), score.alias("score"))
             .withColumn("predicted", (F.col("score") >= cut).cast("int")))
+
+
+def keep_good(docs, labels, id_col="doc_id", text_col="text", label_col="quality", cut=0.3):
+    """The rows of ``docs`` whose own text scores ``cut`` or more, with all their columns.
+
+    The model is that of ``quality_scores``. Each row is judged by its text alone, so repeated and null ids need no
+    care; no text is shuffled. An input column ``_statistics`` is dropped while scoring.
+    """
+    rows = docs.drop("_statistics")
+    table = stored(statistics_table(rows, id_col, text_col), "quality-statistics")
+    model = _fitted(table, labels, label_col)
+    scored = with_statistics(rows, "_statistics", text_col)
+    return scored.where(model.score(F.col("_statistics")) >= cut).drop("_statistics")
