@@ -110,16 +110,18 @@ class FactorizationMachine:
         return cls(bins, float(params[0][0]), params[1], params[2])
 
 
-def fit_toxicity(docs, labels, max_rows=30_000, max_terms=2048, least_documents=5, least_z=4.0, seed=5):
-    """Learn from labelled rows outside fold 0 (docs: doc_id, text).
+def fit_toxicity(docs, labels, max_rows=40_000, max_terms=2048, least_documents=5, least_z=4.0, seed=5):
+    """Learn from at most ``max_rows`` labelled documents outside fold 0, chosen by hash (docs: doc_id, text).
 
-    Step 1 counts every term bin over all of these rows. Bins whose rate among toxic documents differs from that among
-    the others (two-proportion z of ``least_z``, ``max_terms`` strongest) become features. Step 2 fits the machine on the
-    driver from a sample of at most ``max_rows`` labelled rows, chosen by hash; a sampled row brings only the positions
-    of its features, so the driver's memory is bounded by max_rows * max_terms.
+    The chosen ids and labels are bounded, so they are broadcast and the texts need no shuffle. Step 1 counts every term
+    bin over the chosen documents. Bins whose rate among toxic documents differs from that among the others
+    (two-proportion z of ``least_z``, the ``max_terms`` strongest) become features. Step 2 fits the machine on the driver;
+    a document brings only the positions of its features, so the driver holds max_rows * max_terms numbers at most.
     """
-    rows = stored(docs.join(training_labels(labels, "toxic"), "doc_id").select("doc_id", "text", "label"),
-                  "toxic-training")
+    known = stored(training_labels(labels, "toxic"), "toxic-labels")
+    share = min(1.0, 0.97 * max_rows / max(1, known.count()))
+    chosen_rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).limit(max_rows)
+    rows = stored(docs.join(F.broadcast(chosen_rows), "doc_id").select("doc_id", "text", "label"), "toxic-training")
     total = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1 = sum(c for k, c in total.items() if k)
     n0 = sum(total.values()) - n1
@@ -132,7 +134,6 @@ def fit_toxicity(docs, labels, max_rows=30_000, max_terms=2048, least_documents=
               .select("bin", z.alias("z")).where(F.abs("z") >= least_z)
               .orderBy(F.abs("z").desc(), "bin").limit(max_terms).collect())
     bins = sorted(r["bin"] for r in chosen)
-    share = min(1.0, 0.95 * max_rows / (n0 + n1))
     empty = FactorizationMachine(bins, 0.0, np.zeros(len(bins)), np.zeros((len(bins), 1)))
 
     def encode(batches):
@@ -143,9 +144,8 @@ def fit_toxicity(docs, labels, max_rows=30_000, max_terms=2048, least_documents=
                  pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32())),
                  pa.array(labels_, pa.int32())], names=["positions", "amounts", "label"])
 
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000) \
-        .select("text", "label").mapInArrow(encode, "positions array<int>, amounts array<float>, label int") \
-        .limit(max_rows).toArrow()
+    sample = rows.select("text", "label").mapInArrow(
+        encode, "positions array<int>, amounts array<float>, label int").toArrow()
     positions, amounts = sample.column("positions").combine_chunks(), sample.column("amounts").combine_chunks()
     offsets, y = positions.offsets.to_numpy(), sample.column("label").to_numpy()
     flat, values = positions.values.to_numpy(), amounts.values.to_numpy()
