@@ -1,4 +1,4 @@
-"""Trained detectors, classifiers, attributions, saved models and the log generator.
+"""Trained detectors, classifiers, attributions and saved models.
 
 Forest sizes are parameters; the registered queries use smaller ones than the defaults so that a run on one
 machine stays short. Rows, tables and texts are always whole.
@@ -13,9 +13,8 @@ from accesslens.catalog.registry import Views, query
 from accesslens.catalog.sql_base import sql
 from accesslens.operators import classify as M, detectors as D, encode as E, explain as X, profiles as P, queue as Q
 from accesslens.operators import evaluate as V, risk
-from accesslens.plans.segments import KEY
+from accesslens.plans.segments import KEY, EntitySegments
 from accesslens.session import materialize, scratch_path
-from accesslens.sources.generator import attack_events, entity_profiles, generate_access_log, normal_events
 
 TREES, ROUNDS, DEPTH = 20, 3, 4
 Z = [f"{f}_z" for f in C.FEATURES]
@@ -30,6 +29,11 @@ def scaled_features(v: Views):
     return materialize(scaled.select("event_id", KEY, "timestamp", "label", "label_enc", "split", *Z), "scaled")
 
 
+def train_part(events):
+    """The first events by time, of which profiles and histories are learned."""
+    return Q.temporal_split(events).where("split = 'train'").drop("split")
+
+
 def fit_isolation(scaled, trees=C.ISOLATION_TREES):
     train = scaled.where("split = 'train' and label = 'normal'")
     return materialize(D.fit_isolation_forest(train, Z, trees), "isolation-forest")
@@ -42,7 +46,8 @@ def detector_scores(v: Views, scaled):
     model = D.fit_one_class(scaled.where("split = 'train' and label = 'normal'"), Z)
     one = D.minmax(materialize(D.one_class_score(scaled, model, Z), "one"), "one_class_raw", "one_class_svm_score")
     features = v.stored_features
-    profiles = P.entity_profiles(features, v.segments, v.log)
+    known = train_part(features)
+    profiles = P.entity_profiles(known, EntitySegments.probe(known), train_part(v.log))
     stat = P.with_statistical_score(features, profiles, v.segments).select("event_id", "statistical_score")
     joined = iso.join(one, "event_id").join(stat, "event_id")
     return joined.withColumn("baseline_combined_score", risk.baseline_combined(
@@ -227,37 +232,7 @@ def r1t(v: Views):
     test = full.where("split = 'test'")
     conf = M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "predicted_label", "confidence")
     seq = D.score_sequences(scaled, Z, v.segments, "principal").select("event_id", "sequence_score")
-    history = P.entity_risk_history(v.log)
+    history = P.entity_risk_history(train_part(v.log))
     parts = test.select("event_id", KEY, "timestamp", "label", "isolation_forest_score").join(seq, "event_id").join(conf, "event_id")
     return risk.fuse(P.with_risk_history(parts, history, v.segments)).select(
         "event_id", KEY, "label", "predicted_label", "risk_score", "severity")
-
-
-# --- generator ---
-
-def _entities(v):
-    """One generated entity per customer."""
-    customers = v.spark.read.parquet(f"{v.sf_dir}/customer.parquet")
-    return customers.select((F.col("c_custkey") - 1).alias("entity_no"))
-
-
-def _volume(v):
-    """As many events as there are orders."""
-    return v.spark.read.parquet(f"{v.sf_dir}/orders.parquet").count()
-
-
-@query("s7_generate_access_log")
-def s7(v: Views):
-    return normal_events(entity_profiles(_entities(v)), _volume(v))
-
-
-@query("s8_inject_attacks")
-def s8(v: Views):
-    return attack_events(entity_profiles(_entities(v)), _volume(v))
-
-
-@query("s8_generated_label_mix")
-def s8m(v: Views):
-    """Label mix of the whole generated log."""
-    log = generate_access_log(_entities(v), _volume(v))
-    return log.groupBy("label").agg(F.count("*").alias("events"), F.count_distinct(KEY).alias("entities"))

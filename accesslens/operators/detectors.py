@@ -144,8 +144,8 @@ def fourier(x, weights, shifts):
     return np.cos(x @ weights.T + shifts) * math.sqrt(2.0 / len(shifts))
 
 
-def fit_one_class(normal: DataFrame, features, sample=C.ONE_CLASS_SAMPLE, seed=42):
-    """Mean embedding of the normal events: per-batch sums on the executors, one vector on the driver."""
+def fit_one_class(normal: DataFrame, features, sample=None, seed=42):
+    """Mean embedding of all normal events (or of a uniform ``sample``): per-batch sums on the executors, one vector on the driver."""
     weights, shifts = random_fourier(len(features), seed=seed)
     names = list(features)
     train = normal.select(ID, *names) if sample is None else uniform_sample(normal.select(ID, *names), sample, seed)
@@ -228,22 +228,23 @@ def prototype_error(windows: DataFrame, model, name="error") -> DataFrame:
     return windows.select(*cols, vector_to_array("window").alias("_w")).mapInPandas(score, schema)
 
 
-def training_windows(scaled: DataFrame, features, segments: EntitySegments, sample=50_000, seed=42) -> DataFrame:
-    """Windows over normal events only (gaps bridged), as a uniform sample of bounded size.
+def training_windows(scaled: DataFrame, features, segments: EntitySegments) -> DataFrame:
+    """Windows over the normal events of the train part (column ``split``), gaps bridged.
 
-    Normal events are a subset with positions of their own, so their segments are probed anew.
+    These events are a subset with positions of their own, so their segments are probed anew.
     """
-    normal = scaled.where("label = 'normal'")
+    normal = scaled.where("split = 'train' and label = 'normal'")
     own = EntitySegments.probe(normal) if segments.hot else EntitySegments.none(scaled.sparkSession)
-    return uniform_sample(sequence_vectors(normal, features, own), sample, seed)
+    return sequence_vectors(normal, features, own)
 
 
-def score_sequences(scaled: DataFrame, features, segments: EntitySegments, kind="principal", sample=50_000) -> DataFrame:
+def score_sequences(scaled: DataFrame, features, segments: EntitySegments, kind="principal") -> DataFrame:
     """Event scores 0..1 from window reconstruction; threshold = 97.5th percentile of the training errors.
 
-    ``kind``: ``principal`` (linear autoencoder) or ``prototype`` (nearest typical window).
+    ``kind``: ``principal`` (linear autoencoder) or ``prototype`` (nearest typical window). Fitted on all windows of
+    the normal train events.
     """
-    train = materialize(training_windows(scaled, features, segments, sample), "train-windows")
+    train = materialize(training_windows(scaled, features, segments), "train-windows")
     windows = sequence_vectors(scaled, features, segments)
     if kind == "principal":
         model, errors = fit_principal(train), principal_error

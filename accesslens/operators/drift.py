@@ -214,17 +214,17 @@ def drift_events(df: DataFrame, value, segments: EntitySegments, threshold=C.DRI
         return clean(cold.groupBy(KEY, SEG).applyInPandas(run, out_schema))
 
     befores = segments.table().select(KEY, SEG, "_before")
-    data = (data.join(F.broadcast(befores), [KEY, SEG], "left")
+    data = (data.join(segments.small(befores), [KEY, SEG], "left")
             .withColumn("_before", F.coalesce("_before", F.lit(0)).cast("long")))
     state_schema = f"{KEY} string, {SEG} int, " + ", ".join(f"s_{f} double" for f in _FIELDS)
     entry = {(e, n): _FRESH for e, parts in segments.cuts.items() for n, _, _ in parts}
     todo = dict(entry)
-    done = data.join(F.broadcast(segments.hot_names()), KEY, "left_anti").select("*", *fresh)
+    done = data.join(segments.small(segments.hot_names()), KEY, "left_anti").select("*", *fresh)
     results = [clean(done.groupBy(KEY, SEG).applyInPandas(run, out_schema))]
     hot_rows, ends = {}, {}
     while todo:
         table = local_table(spark, [(e, s, *st) for (e, s), st in todo.items()], state_schema)
-        ran = (data.join(F.broadcast(table), [KEY, SEG]).groupBy(KEY, SEG).applyInPandas(run, out_schema))
+        ran = (data.join(segments.small(table), [KEY, SEG]).groupBy(KEY, SEG).applyInPandas(run, out_schema))
         ran = materialize(ran, "drift-run")
         for key in todo:
             hot_rows[key] = ran
@@ -242,7 +242,7 @@ def drift_events(df: DataFrame, value, segments: EntitySegments, threshold=C.DRI
         frames.setdefault(id(ran), (ran, []))[1].append(key)
     for ran, keys in frames.values():
         valid = local_table(spark, keys, f"{KEY} string, {SEG} int")
-        results.append(clean(ran.join(F.broadcast(valid), [KEY, SEG], "left_semi")))
+        results.append(clean(ran.join(segments.small(valid), [KEY, SEG], "left_semi")))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

@@ -29,7 +29,7 @@ def cumulative_unique(df: DataFrame, segments: EntitySegments, value="resource_a
         seen = (segments.only_hot(df).groupBy(KEY, value).agg(F.min(SEG).alias(SEG))
                 .withColumn("_fresh", F.lit(True)))
         hot = segments.hot_names().withColumn("_hot", F.lit(True))
-        df = (df.join(F.broadcast(hot), KEY, "left").join(seen, [KEY, value, SEG], "left")
+        df = (df.join(segments.small(hot), KEY, "left").join(seen, [KEY, value, SEG], "left")
               .withColumn("_new", F.col("_new") & (F.col("_hot").isNull() | F.coalesce("_fresh", F.lit(False))))
               .drop("_hot", "_fresh"))
     return segments.running(df, name, F.col("_new").cast("long")).drop("_new")

@@ -58,12 +58,12 @@ def entity_profiles(features: DataFrame, segments: EntitySegments = None, log: D
     else:
         # Exact percentiles hold all distinct values of a group: for hot entities they come from bins.
         names = segments.hot_names()
-        hot = normal.join(F.broadcast(names), KEY, "left_semi")
-        cold = normal.join(F.broadcast(names), KEY, "left_anti")
+        hot = normal.join(segments.small(names), KEY, "left_semi")
+        cold = normal.join(segments.small(names), KEY, "left_anti")
         q = lambda c, n: exact_quantiles(hot, [KEY], c, [0.95]).select(KEY, F.col("q").alias(n))
         hot_profile = (hot.groupBy(KEY).agg(*base)
-                       .join(F.broadcast(q("session_duration", "duration_p95")), KEY)
-                       .join(F.broadcast(q("geo_distance_km", "geo_distance_p95")), KEY))
+                       .join(segments.small(q("session_duration", "duration_p95")), KEY)
+                       .join(segments.small(q("geo_distance_km", "geo_distance_p95")), KEY))
         profile = cold.groupBy(KEY).agg(*base, *tails).unionByName(hot_profile)
 
     # Resource counts serve both the distinct number and the top ten.

@@ -1,14 +1,16 @@
 """Ordered per-entity work that survives one entity holding a large share of all rows.
 
 An ordered window over ``entity_id`` puts all rows of an entity into one task. ``EntitySegments`` first
-counts rows per entity (one column, combined before the shuffle). Entities above a row limit are "hot":
-the limit is a fixed share of the total, so at most ``MAX_HOT`` entities can be hot. Each hot entity is
-cut by time into segments of bounded size; windows then run per (entity, segment), and what must pass
-from one segment to the next is carried over:
+counts rows per entity (one column, combined before the shuffle). Entities above a fixed number of rows
+are "hot", however many they are. Each hot entity is cut by time into segments of that size; windows then
+run per (entity, segment), and what must pass from one segment to the next is carried over:
 
 * running sums and minima: per-segment totals, prefixed over segments, joined back by broadcast;
 * lag and ROWS frames: the last rows of the earlier segments are copied in front ("halo").
 
+The segment table has one row for every ``MIN_HOT_ROWS`` rows of hot entities. It is broadcast while it
+has at most ``MAX_BROADCAST`` rows and joined by key beyond.
+
 Without hot entities every helper collapses to the plain window plan: one exchange, no extra join.
 """
 
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from accesslens.plans.tables import local_table
 
-MAX_HOT = 1024
 MIN_HOT_ROWS = 4_000_000
+MAX_BROADCAST = 200_000
 
 KEY, TS, ID = "entity_id", "timestamp", "event_id"
 SEG = "_seg"
@@ -27,7 +29,7 @@ class EntitySegments:
     """Segment plan of one frame; the same rows must be used for the probe and for the windows."""
 
     def __init__(self, spark, cuts):
-        # cuts: {entity: [(segment number, first epoch second, rows before it), ...]}, bounded by MAX_HOT.
+        # cuts: {entity: [(segment number, first epoch second, rows before it), ...]}, total rows / limit entries.
         self.spark = spark
         self.cuts = cuts
 
@@ -37,18 +39,16 @@ class EntitySegments:
 
     @classmethod
     def probe(cls, df: DataFrame, hot_rows=None, segment_rows=None):
-        """Find hot entities and their cut points. Only bounded summaries reach the driver."""
+        """Find hot entities and their cut points: at most total rows / limit of each reach the driver."""
         spark = df.sparkSession
-        floor = hot_rows or int(spark.conf.get("accesslens.hotRows", str(MIN_HOT_ROWS)))
-        counts = df.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") > floor)
-        over = counts.agg(F.count("*").alias("c"), F.sum("n").alias("s")).first()
-        if over["c"] == 0:
-            return cls(spark, {})
-        limit = max(floor, over["s"] // MAX_HOT)
+        limit = hot_rows or int(spark.conf.get("accesslens.hotRows", str(MIN_HOT_ROWS)))
+        counts = df.groupBy(KEY).agg(F.count("*").alias("n"))
         hot = [r[KEY] for r in counts.where(F.col("n") > limit).select(KEY).collect()]
         if not hot:
             return cls(spark, {})
-        names = F.broadcast(local_table(spark, [(h,) for h in hot], f"{KEY} string"))
+        names = local_table(spark, [(h,) for h in hot], f"{KEY} string")
+        if len(hot) <= MAX_BROADCAST:
+            names = F.broadcast(names)
         size = segment_rows or limit
         second = F.unix_seconds(F.col(TS).cast("timestamp"))
         # Rows per second of the hot entities only; the per-entity prefix runs over seconds, not rows.
@@ -64,6 +64,10 @@ class EntitySegments:
             parts.append((len(parts), r["s"], r["before"]))
         return cls(spark, cuts)
 
+    def small(self, df):
+        """Mark a table of at most one row per segment for broadcast, unless there are too many segments."""
+        return F.broadcast(df) if sum(map(len, self.cuts.values())) <= MAX_BROADCAST else df
+
     @property
     def hot(self):
         return bool(self.cuts)
@@ -85,7 +89,7 @@ class EntitySegments:
             return df.withColumn(SEG, F.lit(0))
         starts = self.table().groupBy(KEY).agg(F.sort_array(F.collect_list("_from")).alias("_starts"))
         second = F.unix_seconds(F.col(TS).cast("timestamp"))
-        return (df.join(F.broadcast(starts), KEY, "left")
+        return (df.join(self.small(starts), KEY, "left")
                 .withColumn(SEG, F.coalesce(
                     F.size(F.filter("_starts", lambda s: s <= second)) - 1, F.lit(0)))
                 .withColumn(SEG, F.greatest(F.col(SEG), F.lit(0)))
@@ -105,7 +109,7 @@ class EntitySegments:
         return local_table(self.spark, [(e,) for e in self.cuts], f"{KEY} string")
 
     def only_hot(self, df):
-        return df.join(F.broadcast(self.hot_names()), KEY, "left_semi")
+        return df.join(self.small(self.hot_names()), KEY, "left_semi")
 
     def position(self, df, name="_pos"):
         """1-based running position of a row within its entity."""
@@ -114,7 +118,7 @@ class EntitySegments:
         if not self.hot:
             return df.withColumn(name, inside)
         before = self.table().select(KEY, SEG, "_before")
-        return (df.join(F.broadcast(before), [KEY, SEG], "left")
+        return (df.join(self.small(before), [KEY, SEG], "left")
                 .withColumn(name, inside + F.coalesce("_before", F.lit(0)))
                 .drop("_before"))
 
@@ -128,7 +132,7 @@ class EntitySegments:
         w = Window.partitionBy(KEY).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
         carry = (self.only_hot(df).groupBy(KEY, SEG).agg(fn(value).alias("_part"))
                  .select(KEY, SEG, fn("_part").over(w).alias("_carry")))
-        joined = df.join(F.broadcast(carry), [KEY, SEG], "left")
+        joined = df.join(self.small(carry), [KEY, SEG], "left")
         if how == "sum":
             total = inside + F.coalesce("_carry", F.lit(0))
         else:
@@ -145,7 +149,7 @@ class EntitySegments:
         totals = self.only_hot(df).groupBy(KEY).agg(*[a.alias(f"_all_{n}") for n, a in aggs.items()])
         totals = totals.withColumn("_is_hot", F.lit(True))
         out = df.select("*", *[a.over(w).alias(f"_in_{n}") for n, a in aggs.items()])
-        out = out.join(F.broadcast(totals), KEY, "left")
+        out = out.join(self.small(totals), KEY, "left")
         for n in aggs:
             out = out.withColumn(n, F.when(F.col("_is_hot"), F.col(f"_all_{n}")).otherwise(F.col(f"_in_{n}")))
         return out.drop("_is_hot", *[f"_all_{n}" for n in aggs], *[f"_in_{n}" for n in aggs])
@@ -164,7 +168,7 @@ class EntitySegments:
             F.collect_list(F.struct(F.col(SEG).alias("seg"), F.col("_before").alias("before"))).alias("_starts"))
         later = F.filter("_starts", lambda s: (s["seg"] > F.col(SEG)) & (F.col("_pos") > s["before"] - rows))
         targets = F.concat(F.array(F.col(SEG)), F.coalesce(F.transform(later, lambda s: s["seg"]), F.array().cast("array<int>")))
-        return (placed.join(F.broadcast(starts), KEY, "left")
+        return (placed.join(self.small(starts), KEY, "left")
                 .withColumn("_target", F.explode(targets))
                 .withColumn("_halo", F.col("_target") != F.col(SEG))
                 .withColumn(SEG, F.col("_target"))
@@ -175,7 +179,7 @@ class EntitySegments:
         df = self.tag(df)
         if not self.hot:
             return df.join(dim, KEY, "left")
-        parts = F.broadcast(self.table().groupBy(KEY).agg(F.collect_list(SEG).alias("_parts")))
+        parts = self.small(self.table().groupBy(KEY).agg(F.collect_list(SEG).alias("_parts")))
         spread = (dim.join(parts, KEY, "left")
                   .withColumn(SEG, F.explode(F.coalesce("_parts", F.array(F.lit(0))))).drop("_parts"))
         return df.join(spread, [KEY, SEG], "left")
@@ -200,7 +204,7 @@ def with_lead(df, columns, segments):
         return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     placed = segments.position(df, "_pos")
     ends = segments.table().select(KEY, F.col(SEG).alias("_end_seg"), "_before")
-    firsts = (segments.only_hot(placed).join(F.broadcast(ends), KEY)
+    firsts = (segments.only_hot(placed).join(segments.small(ends), KEY)
               .where((F.col("_pos") == F.col("_before") + 1) & (F.col("_end_seg") > 0))
               .withColumn(SEG, F.col("_end_seg") - 1).drop("_end_seg", "_before").withColumn("_halo", F.lit(True)))
     both = placed.withColumn("_halo", F.lit(False)).unionByName(firsts)

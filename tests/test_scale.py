@@ -99,3 +99,16 @@ def test_generated_log(spark):
     normal = log.where("label = 'normal'").groupBy("entity_id").count()
     assert normal.count() == 60 and normal.agg(F.min("count")).first()[0] >= 5
     assert log.select("event_id").distinct().count() == log.count()
+
+
+def test_many_medium_entities_are_all_cut(spark):
+    """The row limit is fixed: thousands of entities above it are all cut, none into a segment over twice the limit."""
+    from pyspark.sql import functions as F
+
+    log = spark.range(3000 * 200).select(
+        F.col("id").alias("event_id"), F.concat(F.lit("e"), F.col("id") % 3000).alias("entity_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 3000)).alias("timestamp"))
+    plan = EntitySegments.probe(log, hot_rows=100)
+    assert len(plan.cuts) == 3000
+    assert {len(parts) for parts in plan.cuts.values()} == {2}
+    assert plan.tag(log).groupBy("entity_id", "_seg").count().agg(F.max("count")).first()[0] == 100
