@@ -68,47 +68,63 @@ def _summary(docs, words):
 
 
 def _unshared(docs, words, buckets):
-    """(set_id, unshared): how many of a set's posted shingles no other set has.
+    """(set_id, unshared): how many of a set's posted shingles surely no other set has.
 
     Posted are the shingles below a quarter of the hash range. A piece of a partition sends each of them once: with its
     set if one set of the piece has it, without if several do. So a shingle of many documents costs a task few bytes.
+    What a piece knows to be shared it counts itself; the buckets of shingles add those that other pieces have too. If
+    equal sets stand in several pieces, the least count of a piece holds: each further one is met in a bucket.
     """
     def post(batches):
         for (texts,) in pieces(batches, 0):
             different = {s.tobytes(): s for s in shingle_sets(texts, words) if len(s)}
-            posted = [s[s >> _POSTED == 0] for s in different.values()]
-            if not posted:
+            if not different:
                 continue
-            owner = np.repeat(np.array([set_id(s) for s in different.values()], np.int64), [len(s) for s in posted])
-            token = np.concatenate(posted)
+            ids = np.array([set_id(s) for s in different.values()], np.int64)
+            posted = [s[s >> _POSTED == 0] for s in different.values()]
+            size = np.array([len(p) for p in posted])
+            at, token = np.repeat(np.arange(len(ids)), size), np.concatenate(posted)
             order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
-            first = np.concatenate(([True], token[1:] != token[:-1]))
-            single = first & np.concatenate((first[1:], [True]))
-            shared = token[first & ~single]
-            token, owner = token[single], owner[single]
-            ends = (np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 62) // buckets))
-            cuts, more = np.searchsorted(token, ends), np.searchsorted(shared, ends)
-            blobs = [[x.tobytes() for x in np.split(v, c)] for v, c in ((token, cuts), (owner, cuts), (shared, more))]
-            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]],
-                                             names=["bucket", "tokens", "owners", "shared"])
+            token, at = token[order], at[order]
+            first = np.concatenate(([True], token[1:] != token[:-1]))[:len(token)]
+            single = first & np.concatenate((first[1:], [True]))[:len(token)]
+            known = np.bincount(at[~single], minlength=len(ids))
+            shared, token, owner = token[first & ~single], token[single], ids[at[single]]
+            ends = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 62) // buckets)
+            rows = [np.split(v, np.searchsorted(by, ends)) for v, by in ((token, token), (owner, token), (shared, shared))]
+            # The counts of the piece go to buckets of sets, which follow those of shingles.
+            home = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            parts = np.searchsorted(home[order], np.arange(1, buckets))
+            for column, v in zip(rows, (ids, size, known)):
+                column += np.split(v[order].astype(np.int64), parts)
+            filled = [k for k in range(2 * buckets) if any(len(column[k]) for column in rows)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(filled, pa.int32()), *[pa.array([column[k].tobytes() for k in filled], pa.binary()) for column in rows]],
+                names=["bucket", "tokens", "owners", "shared"])
 
     def count(t):
-        token, owner, shared = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in
-                                (("tokens", np.uint64), ("owners", np.int64), ("shared", np.uint64)))
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        if not len(token):
-            return pa.table({"set_id": pa.array([], pa.int64()), "unshared": pa.array([], pa.int64())})
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        ends = np.concatenate((starts[1:], [len(token)])) - 1
-        lone = (owner[starts] == owner[ends]) & ~np.isin(token[starts], shared)
-        sets, n = np.unique(owner[starts[lone]], return_counts=True)
-        return pa.table({"set_id": sets, "unshared": n})
+        x, y, z = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("tokens", "owners", "shared"))
+        if t.column("bucket")[0].as_py() >= buckets:
+            order = np.lexsort((z, x))
+            x, y, z = x[order], y[order], z[order]
+            least = np.concatenate(([True], x[1:] != x[:-1]))
+            return pa.table({"set_id": x[least], "posted": y[least], "shared": z[least]})
+        order = np.lexsort((y, x))
+        token, owner = x[order], y[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        token, owner = token[new], owner[new]               # equal sets of several pieces count once
+        same = token[1:] == token[:-1]
+        often = np.isin(token, z)
+        often[1:] |= same
+        often[:-1] |= same
+        sets, n = np.unique(owner[often], return_counts=True)
+        return pa.table({"set_id": sets, "posted": np.zeros(len(sets), np.int64), "shared": n.astype(np.int64)})
 
     return (docs.select("text").mapInArrow(post, "bucket int, tokens binary, owners binary, shared binary")
-            .groupBy("bucket").applyInArrow(count, "set_id long, unshared long")
-            .groupBy("set_id").agg(F.sum("unshared").alias("unshared")))
+            .groupBy("bucket").applyInArrow(count, "set_id long, posted long, shared long")
+            .groupBy("set_id").agg((F.sum("posted") - F.sum("shared")).alias("unshared")))
 
 
 def _token_sets(rows, words):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from accesslens.llm.common import pieces
 
 #: Blank-separated pieces whose ids a worker remembers at most; beyond, the memory starts anew. It changes speed only.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 _known, _tokenizers = {}, {}
 
 
