@@ -124,3 +124,10 @@ def op3_piece_dropout(spark, sf_dir):
                       F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
                       F.coalesce(decode_column(F.col("ids"), path), F.lit("")).eqNullSafe(F.coalesce("text", F.lit("")))
                       .alias("lossless"))
+
+
+@query
+def op13_main_text(spark, sf_dir):
+    from accesslens.llm.main_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
