@@ -159,3 +159,39 @@ def op12_hard_negatives(spark, sf_dir):
     from accesslens.llm.hard_negatives import mine_embeddings
 
     return mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(k=16, rounds=3, dim=64, scale=64, seed=1):
+    """Integer Lloyd rounds as chained common table expressions."""
+    near = ("SELECT p.n, p.vec_id, p.v, c.cluster, "
+            "CAST(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance "
+            "FROM points p, c{r} c QUALIFY row_number() OVER (PARTITION BY p.n ORDER BY distance, c.cluster) = 1")
+    steps = [f"""points AS MATERIALIZED (
+        SELECT row_number() OVER () AS n, vec_id,
+               list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""c0 AS MATERIALIZED (
+        SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS INTEGER) AS cluster, v FROM points
+        QUALIFY cluster < {k})"""]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r=r)})")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+        SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+            SELECT cluster, list(m ORDER BY i) AS v FROM (
+                SELECT cluster, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+                FROM (SELECT cluster, unnest(v) AS x, unnest(range({dim})) AS i FROM a{r}) GROUP BY cluster, i)
+            GROUP BY cluster) m USING (cluster))""")
+    steps.append(f"final AS MATERIALIZED ({near.format(r=rounds)})")
+    return f"""WITH {", ".join(steps)}
+        SELECT f.vec_id, f.cluster, f.distance,
+               CAST(sum(f.distance) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(f.distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM final f JOIN c{rounds} c USING (cluster)"""
+
+
+@query(sql=_lloyd_sql())
+def op11_centroids(spark, sf_dir):
+    from accesslens.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
