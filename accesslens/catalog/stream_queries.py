@@ -1,30 +1,39 @@
 """Streaming queries, run to the end of the available data; their final state has SQL twins."""
 
+from pyspark.sql import functions as F
+
 from accesslens.catalog.registry import Views, query, rnd, sql_rnd, sql_time, text_time
 from accesslens.catalog.sql_base import sql
+from accesslens.functions.scalar import epoch_micros, hash_uniform
 from accesslens.plans.segments import KEY
 from accesslens.session import scratch_path
 from accesslens.streaming.entity_state import track_entities
 from accesslens.streaming.monitor import latest_feed, totals_to_table
-from accesslens.streaming.replay import event_stream, run_to_table, table_stream, write_replay_files
+from accesslens.streaming.replay import event_stream, replay_stream, run_available, run_to_table
 from accesslens.streaming.rules import brute_force_windows, credential_stuffing_windows
 
 
 def _alert_stream(v: Views):
-    """A finished alert table, replayed."""
-    path = scratch_path(v.spark, "replay-alerts")
-    alerts = v.alerts.select("event_id", KEY, "timestamp", "risk_score", "severity")
-    alerts.write.parquet(path)
-    return table_stream(v.spark, path, alerts.schema, files_per_trigger=4)
+    """A finished alert table, replayed in time order in four micro-batches."""
+    return replay_stream(v.alerts.select("event_id", KEY, "timestamp", "risk_score", "severity"), 25, None, name="replay-alerts")
+
 
+_REPLAY_SQL = """rp AS (SELECT event_id, entity_id, row_number() OVER (ORDER BY "timestamp", event_id) - 1 AS rank FROM access_log),
+rt AS (SELECT max(rank) // 25 + 1 AS ticks FROM rp)"""
 
-@query("u1_replay", sql("log", "SELECT event_id, entity_id FROM access_log"))
+
+@query("u1_replay", sql("log", "SELECT event_id, entity_id, rank, rank // 25 AS tick, (rank // 25) // ((ticks + 3) // 4) AS batch FROM rp, rt", _REPLAY_SQL))
 def u1(v: Views):
-    """Files of bounded size in time order, a few per tick, read to the end."""
-    path = scratch_path(v.spark, "replay-log")
-    rows = v.log.select("event_id", KEY, "timestamp")
-    write_replay_files(rows, path, 100_000)
-    return run_to_table(table_stream(v.spark, path, rows.schema, files_per_trigger=4), "replayed").select("event_id", KEY)
+    """25 events a tick in time order, in four micro-batches: the tick of each event and the micro-batch that brought it."""
+    path = scratch_path(v.spark, "replayed")
+    stream = replay_stream(v.log.select("event_id", KEY, "timestamp"), 25, None)
+
+    def keep(rows, number):
+        rows.select("event_id", KEY, "rank", "tick").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available(stream, "replayed", each_batch=keep, ordered=True)
+    schema = f"event_id long, {KEY} string, rank long, tick long, batch long"
+    return v.spark.read.schema(schema).parquet(path)
 
 
 @query("u2_running_totals", sql("alerts", f"SELECT count(*) AS processed, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, {sql_rnd('100 * count(*) FILTER (risk_score > 40) / count(*)', 'anomaly_rate_pct', 4)} FROM alerts"))
@@ -42,10 +51,18 @@ st2 AS (SELECT *, sum(x - m - 0.005) OVER (PARTITION BY entity_id ORDER BY "time
 st3 AS (SELECT *, c - min(c) OVER (PARTITION BY entity_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS ph FROM st2)"""
 
 
-@query("u4_entity_state", sql("features", f"SELECT event_id, entity_id, {sql_rnd('time_gap_seconds')}, {sql_rnd('geo_distance_km', digits=4)}, cumulative_unique_resources, entity_event_count, {sql_rnd('ph', digits=4)}, cast(ph > 0.05 AS bigint) AS drift FROM st3", _STATE_SQL))
+_DELAY_DAYS, _BUCKET = 2, 86_400
+
+
+@query("u4_entity_state", sql("features", f"""SELECT event_id, entity_id, {sql_rnd('time_gap_seconds')}, {sql_rnd('geo_distance_km', digits=4)}, cumulative_unique_resources, entity_event_count, {sql_rnd('ph', digits=4)}, cast(ph > 0.05 AS bigint) AS drift FROM st3
+  WHERE (epoch_ms("timestamp") // {_BUCKET * 1000} + 1) * {_BUCKET * 1000} <= (SELECT epoch_ms(max("timestamp")) - {_DELAY_DAYS * _BUCKET * 1000} FROM access_log)""", _STATE_SQL))
 def u4(v: Views):
-    """Causal features from state; the event file arrives as one batch, so the result equals the batch windows."""
-    tracked = run_to_table(track_entities(event_stream(v.spark, v.sf_dir)), "tracked")
+    """Causal features from state. Events arrive up to two days out of order in four micro-batches; days that the
+    watermark has not passed are still waiting."""
+    late = hash_uniform(F.col("event_id"), seed=4) * (_DELAY_DAYS * 86_400_000_000)
+    arriving = v.log.withColumn("arrival", epoch_micros("timestamp") + F.floor(late).cast("long"))
+    stream = replay_stream(arriving, 25, None, order=("arrival", "event_id"))
+    tracked = run_to_table(track_entities(stream, delay=f"{_DELAY_DAYS} days", bucket_seconds=_BUCKET), "tracked", ordered=True)
     return tracked.select("event_id", KEY, rnd("time_gap_seconds"), rnd("geo_distance_km", 4),
                           "cumulative_unique_resources", "entity_event_count", rnd("ph", 4), "drift")
 

@@ -7,6 +7,7 @@ shuffle), prefix over the bins, and touch single rows only inside the bins that
 from pyspark.sql import DataFrame, Window, functions as F
 
 from accesslens.plans.tables import local_table
+from accesslens.session import materialize
 
 BINS_PER_OCTAVE = 4096
 
@@ -132,21 +133,30 @@ def within_cut(order, id_col, cut, descending=False):
     return ahead | ((order == value) & (F.col(id_col) <= last))
 
 
-def dense_codes(df: DataFrame, column, prefix=10):
-    """0-based rank of each distinct text value, in binary order: (column, ``code``).
+def ranked_by_range(df: DataFrame, order, name="rank", partitions=None) -> DataFrame:
+    """Add the 0-based rank of each row by the ``order`` columns, without any window.
 
-    Values are bucketed by leading characters, so ranking a large dictionary stays distributed.
+    Pass one cuts the rows into ranges of about equal size at sampled boundaries of the whole key, sorts each range and
+    writes it with its position, which fixes the ranges. Pass two counts the ranges (one row per partition) and shifts
+    the positions by the rows of the ranges before. A range splits anywhere between two keys, so a prefix, a minute or
+    any other group that many rows share never lands in one task as a whole; only rows equal in every key stay together.
     """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    # The number of a row: its partition in the upper bits, its place in the sorted partition in the lower 33.
+    placed = materialize(ranged.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    before, offsets = 0, []
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["n"]
+    table = local_table(df.sparkSession, offsets, "_part long, _before long")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (placed.withColumn("_part", part).join(F.broadcast(table), "_part")
+            .withColumn(name, (F.col("_before") + place).cast("long")).drop("_at", "_part", "_before"))
+
+
+def dense_codes(df: DataFrame, column) -> DataFrame:
+    """0-based rank of each distinct text value, in binary order: (column, ``code``)."""
     words = df.select(column).where(F.col(column).isNotNull()).distinct()
-    words = words.withColumn("_head", F.substring(column, 1, prefix))
-    heads = words.groupBy("_head").agg(F.count("*").alias("n"))
-    heads = heads.withColumn("_first", F.substring("_head", 1, max(1, prefix // 2)))
-    firsts = heads.groupBy("_first").agg(F.sum("n").alias("n"))
-    w0 = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.select("_first", F.coalesce(F.sum("n").over(w0), F.lit(0)).alias("_b0"))
-    w1 = Window.partitionBy("_first").orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("_b1", F.coalesce(F.sum("n").over(w1), F.lit(0))).join(firsts, "_first")
-    w2 = Window.partitionBy("_head").orderBy(column)
-    return (words.withColumn("_b2", F.row_number().over(w2) - 1)
-            .join(heads.select("_head", (F.col("_b0") + F.col("_b1")).alias("_offset")), "_head")
-            .select(column, (F.col("_offset") + F.col("_b2")).cast("long").alias("code")))
+    return ranked_by_range(words, [column], "code").select(column, "code")
