@@ -382,37 +382,74 @@ def k5(v: Views):
 
 # --- drift ---
 
-@query("g1_drift_deviation", sql("log", f"SELECT v.event_id, {sql_rnd('coalesce(abs(v.x - a.mean) / greatest(a.std, 1e-6), 0.0)', 'deviation', 3)} FROM vals v LEFT JOIN adaptive a USING (event_id)", _adaptive("ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING")))
+# Vectors of the 28 features by position, and decayed baselines of the last rows of an entity (weights 0.95^age).
+_VECTORS = f"""vec AS (SELECT event_id, entity_id, "timestamp", row_number() OVER (PARTITION BY entity_id ORDER BY "timestamp", event_id) AS pos,
+  [{", ".join(f"cast({f} AS double)" for f in C.FEATURES)}] AS x FROM features)"""
+
+
+def _vector_base(frame, name="base"):
+    return f"""{name}_rows AS (SELECT *, list(x) OVER (PARTITION BY entity_id ORDER BY pos {frame}) AS xs FROM vec),
+{name}_means AS (SELECT *, list_transform(range(1, {len(C.FEATURES) + 1}), lambda j: list_sum(list_transform(xs, lambda r, i: r[j] * pow(0.95, len(xs) - i))) / list_sum(list_transform(xs, lambda r, i: pow(0.95, len(xs) - i)))) AS mean FROM {name}_rows),
+{name} AS (SELECT * EXCLUDE (xs), list_transform(range(1, {len(C.FEATURES) + 1}), lambda j: sqrt(list_sum(list_transform(xs, lambda r, i: pow(r[j] - mean[j], 2) * pow(0.95, len(xs) - i))) / list_sum(list_transform(xs, lambda r, i: pow(0.95, len(xs) - i))))) AS std FROM {name}_means)"""
+
+
+def _sql_deviation(x, mean, std):
+    return f"list_avg(list_transform(range(1, {len(C.FEATURES) + 1}), lambda j: abs({x}[j] - {mean}[j]) / greatest({std}[j], 1e-6)))"
+
+
+@query("g1_drift_deviation", sql("features", f"SELECT event_id, {sql_rnd('ln(1 + coalesce(d, 0.0))', 'log_deviation', 4)} FROM (SELECT event_id, {_sql_deviation('x', 'mean', 'std')} AS d FROM base)",
+       _VECTORS, _vector_base("ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING")))
 def g1(v: Views):
-    """Deviation of every event from the decayed baseline of the events before it."""
-    out = G.adaptive_baseline(v.log.select("event_id", KEY, "timestamp", "session_duration"), "session_duration", v.segments, previous=True)
-    z = F.coalesce(G.deviation("session_duration"), F.lit(0.0))
-    return out.select("event_id", rnd(z, 3, "deviation"))
+    """Mean deviation of the 28 features of every event from the decayed baseline of the 20 events before it."""
+    out = G.vector_baseline(v.features.select("event_id", KEY, "timestamp", *C.FEATURES), C.FEATURES, v.segments, previous=True)
+    return out.select("event_id", rnd(F.log1p(F.coalesce(G.deviation(), F.lit(0.0))), 4, "log_deviation"))
+
+
+# One row an entity and position: the state after the event. The baseline is that of event 20 or of the last drift event.
+_WALK = f"""walk AS (
+  SELECT entity_id, 20::bigint AS pos, 20::bigint AS base_pos, 0.0::double AS n, 0.0::double AS total, 0.0::double AS cum, 'infinity'::double AS low, false AS hit, 0.0::double AS d FROM vec WHERE pos = 20
+  UNION ALL
+  SELECT entity_id, pos, CASE WHEN c - l > 0.05 THEN pos ELSE base_pos END, CASE WHEN c - l > 0.05 THEN 0.0 ELSE n END, CASE WHEN c - l > 0.05 THEN 0.0 ELSE total END,
+    CASE WHEN c - l > 0.05 THEN 0.0 ELSE c END, CASE WHEN c - l > 0.05 THEN 'infinity'::double ELSE l END, c - l > 0.05, d
+  FROM (SELECT *, least(low, c) AS l FROM (SELECT entity_id, pos, base_pos, n, total, cum + d - total / n - 0.005 AS c, low, d FROM (
+    SELECT w.entity_id, v.pos, w.base_pos, w.n + 1 AS n, w.total + {_sql_deviation('v.x', 'b.mean', 'b.std')} AS total, w.cum, w.low, {_sql_deviation('v.x', 'b.mean', 'b.std')} AS d
+    FROM walk w JOIN vec v ON v.entity_id = w.entity_id AND v.pos = w.pos + 1 JOIN base b ON b.entity_id = w.entity_id AND b.pos = w.base_pos))))"""
+_DRIFT = [_VECTORS, _vector_base("ROWS 499 PRECEDING").replace("base_rows AS (", "base_rows AS MATERIALIZED (").replace("base AS (SELECT * EXCLUDE", "base AS MATERIALIZED (SELECT * EXCLUDE"), _WALK,
+          """drifts AS (SELECT v.event_id, v.entity_id, v."timestamp", w.d AS deviation FROM walk w JOIN vec v USING (entity_id, pos) WHERE w.hit)"""]
+
+
+def _recursive(text):
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _drift_log(v: Views):
+    return G.drift_events(v.features.select("event_id", KEY, "timestamp", *C.FEATURES), C.FEATURES, v.segments)
 
 
-@query("g2_drift_events")
+@query("g2_drift_events", _recursive(sql("features", f"SELECT event_id, entity_id, {sql_time()}, {sql_rnd('ln(1 + deviation)', 'log_deviation', 4)} FROM drifts", *_DRIFT)))
 def g2(v: Views):
-    """Page-Hinkley with reset and re-fitted baseline: sequential state per entity."""
-    return G.drift_events(v.log, "session_duration", v.segments)
+    """Page-Hinkley with reset on the mean deviation of the 28 features, baseline set anew at every drift event."""
+    return _drift_log(v).select("event_id", KEY, text_time(), rnd(F.log1p("deviation"), 4, "log_deviation"))
 
 
-_BASE = """recent AS (SELECT entity_id, "timestamp", cast(session_duration AS double) AS x, row_number() OVER (PARTITION BY entity_id ORDER BY "timestamp" DESC, event_id DESC) AS r FROM access_log QUALIFY r <= 500),
-bm AS (SELECT entity_id, count(*) AS n_events, max("timestamp") AS last_updated, sum(pow(0.95, r - 1) * x) / sum(pow(0.95, r - 1)) AS mean FROM recent GROUP BY entity_id),
-bs AS (SELECT b.entity_id, any_value(n_events) AS n_events, any_value(last_updated) AS last_updated, any_value(mean) AS mean, sqrt(sum(pow(0.95, r - 1) * pow(x - mean, 2)) / sum(pow(0.95, r - 1))) AS std FROM recent JOIN bm b USING (entity_id) GROUP BY b.entity_id)"""
+_LAST = """last AS (SELECT entity_id, max(pos) AS n, max("timestamp") AS last_updated FROM vec GROUP BY entity_id),
+vec_last AS (SELECT v.* FROM vec v JOIN last l ON l.entity_id = v.entity_id AND v.pos > l.n - 500)"""
 
 
-@query("g3_adaptive_threshold", sql("log", f"SELECT entity_id, n_events, {sql_time('last_updated', 'last_updated')}, {sql_rnd('mean', 'baseline_mean', 4)}, {sql_rnd('std', 'baseline_std', 4)}, {sql_rnd('CASE WHEN std > 1.0 THEN 0.5 * (1 + std * 0.1) ELSE 0.5 END', 'threshold', 4)} FROM bs", _BASE))
+@query("g3_adaptive_threshold", sql("features", f"SELECT entity_id, least(n, 500) AS n_events, {sql_time('last_updated', 'last_updated')}, {sql_rnd('list_avg(mean)', 'baseline_mean', 4)}, {sql_rnd('list_avg(std)', 'baseline_std', 4)}, {sql_rnd('CASE WHEN list_avg(std) > 1.0 THEN 0.5 * (1 + list_avg(std) * 0.1) ELSE 0.5 END', 'threshold', 4)} FROM base JOIN last USING (entity_id) WHERE pos = n",
+       _VECTORS, _LAST, _vector_base("ROWS 499 PRECEDING").replace("FROM vec)", "FROM vec_last)")))
 def g3(v: Views):
-    """Current decayed baseline (last 500 values) of each entity and its widened threshold."""
-    base = G.entity_baselines(v.log, "session_duration")
-    return base.select(KEY, "n_events", text_time("last_updated"), rnd("baseline_mean", 4), rnd("baseline_std", 4),
+    """Current decayed baseline vectors (last 500 events) of each entity, as means over the features, and its widened threshold."""
+    base = G.entity_baselines(v.features, C.FEATURES)
+    return base.select(KEY, "n_events", text_time("last_updated"), rnd(G.vector_mean(F.col("baseline_mean")), 4, "baseline_mean"),
+                       rnd(G.vector_mean(F.col("baseline_std")), 4, "baseline_std"),
                        rnd(G.adaptive_threshold(F.lit(0.5), F.col("baseline_std")), 4, "threshold"))
 
 
-@query("g4_drift_summary", sql("features", "SELECT count(*) AS total_drift_events, count(DISTINCT entity_id) AS entities_with_drift, (SELECT string_agg(cast(event_id AS varchar), ',' ORDER BY \"timestamp\" DESC, event_id DESC) FROM (SELECT * FROM ph3 WHERE ph > 0.05 ORDER BY \"timestamp\" DESC, event_id DESC LIMIT 10)) AS recent_event_ids FROM ph3 WHERE ph > 0.05", _PH))
+@query("g4_drift_summary", _recursive(sql("features", "SELECT count(*) AS total_drift_events, count(DISTINCT entity_id) AS entities_with_drift, (SELECT string_agg(cast(event_id AS varchar), ',' ORDER BY \"timestamp\" DESC, event_id DESC) FROM (SELECT * FROM drifts ORDER BY \"timestamp\" DESC, event_id DESC LIMIT 10)) AS recent_event_ids FROM drifts", *_DRIFT)))
 def g4(v: Views):
-    hits = materialize(_page_hinkley(v).where("drift = 1").select("event_id", KEY, "timestamp"), "drift-hits")
-    return G.drift_summary(hits)
+    """Summary of the log of drift events with reset."""
+    return G.drift_summary(materialize(_drift_log(v), "drift-log"))
 
 
 @query("g5_baseline_comparison", sql("log", f"""SELECT CASE WHEN position <= 40 THEN '1 stable' WHEN position <= 70 THEN '2 shift' ELSE '3 new normal' END AS phase, count(*) AS points,

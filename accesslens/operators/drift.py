@@ -1,7 +1,7 @@
 """Changing behaviour: decayed baselines, Page-Hinkley tests and their comparison with static bands."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from accesslens import constants as C
@@ -10,39 +10,48 @@ from accesslens.plans.tables import local_table
 from accesslens.session import materialize
 
 
-def decayed_mean_std(values, decay=C.DRIFT_DECAY):
-    """Weighted mean and population deviation of an array column; the last value weighs most."""
-    n = F.size(values)
-    # The weight function runs inside a lambda of the array expression, so it stays in the JVM.
-    weight = lambda i: F.pow(F.lit(decay), (n - 1 - i).cast("double"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    norm = total(F.transform(values, lambda x, i: weight(i)))
-    # An empty window has no baseline: null rather than a division by zero.
-    mean = F.try_divide(total(F.transform(values, lambda x, i: weight(i) * x)), norm)
-    return mean, norm, weight, total
+def decayed_sum(rows, zero, value, decay=C.DRIFT_DECAY):
+    """Sum of an array of vectors, each weighing ``decay`` times the next: acc * decay + value(row) in one pass."""
+    return F.aggregate(rows, zero, lambda acc, row: F.zip_with(acc, value(row), lambda a, v: a * F.lit(decay) + v))
 
 
-def _with_decayed(df, values, prefix, decay):
-    mean, norm, _, _ = decayed_mean_std(F.col(values), decay)
-    df = df.withColumn(f"{prefix}_mean", mean)
-    _, norm, weight, total = decayed_mean_std(F.col(values), decay)
-    spread = F.try_divide(
-        total(F.transform(F.col(values), lambda x, i: weight(i) * F.pow(x - F.col(f"{prefix}_mean"), 2))), norm)
-    return df.withColumn(f"{prefix}_std", F.sqrt(spread))
+def with_decayed(df: DataFrame, rows, width, prefix, decay=C.DRIFT_DECAY) -> DataFrame:
+    """Add ``<prefix>_mean`` and ``<prefix>_std``: decayed mean and population deviation vectors of an array column of
+    vectors, the last of which weighs most. An empty array has no baseline: null vectors."""
+    zero = F.array_repeat(F.lit(0.0), width)
+    norm = F.aggregate(rows, F.lit(0.0), lambda acc, row: acc * F.lit(decay) + 1.0)
+    share = lambda total: F.when(F.size(rows) > 0, F.transform(total, lambda t: t / F.col("_norm")))
+    df = df.withColumn("_norm", norm)
+    df = df.withColumn(f"{prefix}_mean", share(decayed_sum(F.col(rows), zero, lambda row: row, decay)))
+    gap = lambda row: F.zip_with(row, F.col(f"{prefix}_mean"), lambda v, m: (v - m) * (v - m))
+    spread = share(decayed_sum(F.col(rows), zero, gap, decay))
+    return df.withColumn(f"{prefix}_std", F.transform(spread, lambda v: F.sqrt(v))).drop("_norm")
 
 
-def adaptive_baseline(df: DataFrame, value, segments: EntitySegments, window=C.DRIFT_DEMO_WINDOW, decay=C.DRIFT_DECAY,
-                      previous=False) -> DataFrame:
-    """Decayed mean, deviation and +/-2 sigma band over the last ``window`` values per entity.
+def _vector(values):
+    return F.array(*[F.col(v).cast("double") for v in ([values] if isinstance(values, str) else values)])
+
+
+def vector_baseline(df: DataFrame, values, segments: EntitySegments, window=C.DRIFT_DEMO_WINDOW, decay=C.DRIFT_DECAY,
+                    previous=False) -> DataFrame:
+    """``x`` (the vector of ``values``), ``adaptive_mean`` and ``adaptive_std`` of the last ``window`` events per entity.
 
-    ``previous`` leaves the current event out. Arrays never exceed ``window`` entries.
+    ``previous`` leaves the current event out. Arrays never exceed ``window`` vectors.
     """
+    names = [values] if isinstance(values, str) else list(values)
     rows = (-window, -1) if previous else (-(window - 1), 0)
-    out = segments.halo(df, window)
-    out = out.withColumn("_values", F.collect_list(F.col(value).cast("double")).over(segments.window().rowsBetween(*rows)))
+    out = segments.halo(df, window).withColumn("x", _vector(names))
+    out = out.withColumn("_rows", F.collect_list("x").over(segments.window().rowsBetween(*rows)))
     if segments.hot:
         out = out.where(~F.col("_halo"))
-    out = _with_decayed(out, "_values", "adaptive", decay).drop("_values", "_halo")
+    return with_decayed(out, "_rows", len(names), "adaptive", decay).drop("_rows", "_halo")
+
+
+def adaptive_baseline(df: DataFrame, value, segments: EntitySegments, window=C.DRIFT_DEMO_WINDOW, decay=C.DRIFT_DECAY,
+                      previous=False) -> DataFrame:
+    """Decayed mean, deviation and +/-2 sigma band over the last ``window`` numbers per entity."""
+    out = vector_baseline(df, value, segments, window, decay, previous).drop("x").withColumns({
+        "adaptive_mean": F.get("adaptive_mean", F.lit(0)), "adaptive_std": F.get("adaptive_std", F.lit(0))})
     return out.withColumns({
         "adaptive_upper": F.col("adaptive_mean") + 2 * F.col("adaptive_std"),
         "adaptive_lower": F.col("adaptive_mean") - 2 * F.col("adaptive_std"),
@@ -65,14 +74,15 @@ def last_events(df: DataFrame, n, name="recency") -> DataFrame:
     return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= n)
 
 
-def entity_baselines(df: DataFrame, value, window=C.DRIFT_WINDOW, decay=C.DRIFT_DECAY) -> DataFrame:
-    """Current decayed baseline of each entity from its last ``window`` values (arrays of that size at most)."""
-    recent = last_events(df.select(KEY, TS, ID, F.col(value).cast("double").alias("_x")), window)
+def entity_baselines(df: DataFrame, values, window=C.DRIFT_WINDOW, decay=C.DRIFT_DECAY) -> DataFrame:
+    """Current decayed baseline vectors of each entity from its last ``window`` events (arrays of that size at most)."""
+    names = [values] if isinstance(values, str) else list(values)
+    recent = last_events(df.select(KEY, TS, ID, _vector(names).alias("_x")), window)
     lists = recent.groupBy(KEY).agg(
         F.count("*").alias("n_events"), F.max(TS).alias("last_updated"),
         F.reverse(F.sort_array(F.collect_list(F.struct("recency", "_x")))).alias("_s"))
-    lists = lists.withColumn("_values", F.col("_s._x")).drop("_s")
-    return _with_decayed(lists, "_values", "baseline", decay).drop("_values")
+    lists = lists.withColumn("_rows", F.col("_s._x")).drop("_s")
+    return with_decayed(lists, "_rows", len(names), "baseline", decay).drop("_rows")
 
 
 def page_hinkley(df: DataFrame, value, segments: EntitySegments, threshold=C.DRIFT_LAMBDA, delta=C.DRIFT_DELTA) -> DataFrame:
@@ -86,14 +96,20 @@ def page_hinkley(df: DataFrame, value, segments: EntitySegments, threshold=C.DRI
             .withColumn("drift", (F.col("ph") > threshold).cast("long")).drop("_n", "_sum"))
 
 
-def deviation(value):
-    """|x - mean| / max(std, 1e-6) against the adaptive baseline columns; null where there is none."""
-    return F.abs(F.col(value) - F.col("adaptive_mean")) / F.greatest("adaptive_std", F.lit(1e-6))
+def vector_mean(vector):
+    return F.aggregate(vector, F.lit(0.0), lambda a, v: a + v) / F.size(vector)
+
+
+def deviation(x="x", mean="adaptive_mean", std="adaptive_std"):
+    """Mean over the features of |x - mean| / max(std, 1e-6); null where there is no baseline."""
+    scaled = F.zip_with(F.zip_with(x, mean, lambda v, m: F.abs(v - m)), std, lambda g, s: g / F.greatest(s, F.lit(1e-6)))
+    return vector_mean(scaled)
 
 
 def adaptive_threshold(base, std):
-    """Widen a threshold for entities whose behaviour varies by more than 1; no baseline keeps it."""
-    return F.when(std > 1.0, base * (1 + std * 0.1)).otherwise(base)
+    """Widen a threshold for entities whose features deviate by more than 1 on average; no baseline keeps it."""
+    mean = vector_mean(std)
+    return F.when(mean > 1.0, base * (1 + mean * 0.1)).otherwise(base)
 
 
 def drift_summary(events: DataFrame, recent=10) -> DataFrame:
@@ -137,118 +153,175 @@ def drift_phases(peers: DataFrame, factor=0.3, days=30) -> DataFrame:
 
 # --- drift events with reset ------------------------------------------------------------------------------
 
-_STATE = "n double, total double, cum double, low double, mean double, std double"
-_FIELDS = ["n", "total", "cum", "low", "mean", "std"]
-_FRESH = (0.0, 0.0, 0.0, float("inf"), float("nan"), float("nan"))
+_STATE = "struct<n:double,total:double,cum:double,low:double,mean:array<double>,std:array<double>>"
 
 
-def _decayed(values, decay):
-    weights = decay ** np.arange(len(values) - 1, -1, -1, dtype=float)
-    weights /= weights.sum()
-    mean = float(weights @ values)
-    return mean, float(np.sqrt(weights @ (values - mean) ** 2))
+class DriftWalk:
+    """Page-Hinkley with reset over the ordered vectors of one entity, given in blocks.
 
+    From a reset on the baseline is fixed, so deviations, running means, sums and minima of a whole block are prefix
+    sums, and the first crossing is found at once; the walk jumps there, sets the baseline from the last ``window``
+    vectors and goes on behind it. Steps are per drift event, and blocks double while there is none. Prefix sums add in
+    order of the events, so results do not depend on how the events are cut into blocks.
+    """
 
-def walk_page_hinkley(values, start, offset, state, threshold, delta, window, decay, warmup):
-    """Walk one ordered run of values from index ``start``; earlier values are history only.
-
-    ``offset`` is the number of events before the first value. Returns the hits (index, deviation) and the
-    end state. The baseline is set at event number ``warmup`` and again at every hit, from the values up to
-    and including the hit.
+    def __init__(self, threshold, delta, window, decay, warmup):
+        self.threshold, self.delta, self.window, self.decay, self.warmup = threshold, delta, window, decay, warmup
+
+    def begin(self, width, seen=0, state=None):
+        """``seen`` events came before. Without a ``state`` the baseline is set at event number ``warmup``."""
+        self.seen, self.history = seen, np.empty((0, width))
+        self.reset()
+        self.mean = self.std = None
+        if state is not None and state["n"] is not None:
+            self.n, self.total, self.cum, self.low = (state[k] for k in ("n", "total", "cum", "low"))
+            if state["mean"] is not None:
+                self.mean, self.std = np.array(state["mean"]), np.array(state["std"])
+
+    def reset(self):
+        self.n, self.total, self.cum, self.low = 0.0, 0.0, 0.0, float("inf")
+
+    def recall(self, x):
+        """Vectors before the first event: history only."""
+        self.history = np.concatenate([self.history, x])[-self.window:]
+
+    def rebase(self, rows):
+        rows = rows[-self.window:]
+        weights = self.decay ** np.arange(len(rows) - 1, -1, -1, dtype=float)
+        weights /= weights.sum()
+        self.mean = weights @ rows
+        self.std = np.sqrt(weights @ (rows - self.mean) ** 2)
+
+    def push(self, x):
+        """(index in ``x``, deviation) of the drift events among the next vectors."""
+        rows, before, hits, i, step = np.concatenate([self.history, x]), len(self.history), [], 0, 8
+        while i < len(x):
+            if self.mean is None:
+                i = max(i, self.warmup - 1 - self.seen)
+                if i >= len(x):
+                    break
+                self.rebase(rows[:before + i + 1])
+                i += 1
+                continue
+            part = x[i:i + step]
+            d = (np.abs(part - self.mean) / np.maximum(self.std, 1e-6)).mean(axis=1)
+            n = self.n + np.arange(1, len(d) + 1)
+            total = np.cumsum(np.concatenate([[self.total], d]))[1:]
+            cum = np.cumsum(np.concatenate([[self.cum], d - total / n - self.delta]))[1:]
+            low = np.minimum(np.minimum.accumulate(cum), self.low)
+            crossed = cum - low > self.threshold
+            if crossed.any():
+                first = int(np.argmax(crossed))
+                hits.append((i + first, float(d[first])))
+                self.rebase(rows[:before + i + first + 1])
+                self.reset()
+                i, step = i + first + 1, 8
+            else:
+                self.n, self.total, self.cum, self.low = float(n[-1]), float(total[-1]), float(cum[-1]), float(low[-1])
+                i, step = i + len(part), step * 2
+        self.seen += len(x)
+        self.history = rows[-self.window:]
+        return hits
+
+    def state(self):
+        listed = lambda v: None if v is None else v.tolist()
+        return {"n": self.n, "total": self.total, "cum": self.cum, "low": self.low, "mean": listed(self.mean), "std": listed(self.std)}
+
+
+def _walked(rows: DataFrame, walk: DriftWalk, width) -> DataFrame:
+    """Walk every (entity, segment) of ``rows`` in order of time: drift events, and one row of its end state each.
+
+    Batches stream through, so a task holds one Arrow batch and the last ``window`` vectors of the entity at hand.
     """
-    n, total, cum, low, mean, std = state
-    hits = []
-    for i in range(start, len(values)):
-        x = values[i]
-        if mean != mean:
-            if offset + i + 1 >= warmup:
-                mean, std = _decayed(values[max(0, i + 1 - window):i + 1], decay)
-            continue
-        deviation = abs(x - mean) / max(std, 1e-6)
-        n, total = n + 1, total + deviation
-        cum += deviation - total / n - delta
-        low = min(low, cum)
-        if cum - low > threshold:
-            hits.append((i, deviation))
-            mean, std = _decayed(values[max(0, i + 1 - window):i + 1], decay)
-            n, total, cum, low = 0.0, 0.0, 0.0, float("inf")
-    return hits, (n, total, cum, low, mean, std)
-
-
-def drift_events(df: DataFrame, value, segments: EntitySegments, threshold=C.DRIFT_LAMBDA, delta=C.DRIFT_DELTA,
+    schema = f"{KEY} string, {SEG} int, {ID} long, {TS} timestamp_ntz, deviation double, ends boolean, state {_STATE}"
+    names = [KEY, SEG, ID, TS, "deviation", "ends", "state"]
+
+    def run(batches):
+        current = None
+        types = None
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            if types is None:
+                types = [column[KEY].type, column[SEG].type, column[ID].type, column[TS].type, pa.float64(), pa.bool_(),
+                         column["state"].type]
+            keys = list(zip(column[KEY].to_pylist(), column[SEG].to_pylist()))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            kinds = column["_kind"].to_numpy()
+            out = []
+            for low, high in zip(cuts, cuts[1:]):
+                if keys[low] != current:
+                    if current is not None:
+                        out.append((*current, None, None, None, True, walk.state()))
+                    current = keys[low]
+                    start = column["state"][low].as_py() if kinds[low] == 0 else None
+                    walk.begin(width, column["_before"][low].as_py() if kinds[low] == 0 else 0, start)
+                    guess = kinds[low] == 0 and start is None and walk.seen >= walk.warmup
+                first = low + int((kinds[low:high] == 0).sum())
+                past = first + int((kinds[low:high] == 1).sum())
+                vectors = column["_x"].slice(first, high - first).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                walk.recall(vectors[:past - first])
+                if past == high:
+                    continue
+                if guess:
+                    # No state is known: as if the event before the segment had been a drift event.
+                    walk.rebase(walk.history)
+                    guess = False
+                for i, d in walk.push(vectors[past - first:]):
+                    out.append((*current, column[ID][past + i].as_py(), column[TS][past + i].as_py(), d, False, None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=names)
+        if current is not None:
+            last = (*current, None, None, None, True, walk.state())
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(last, types)], names=names)
+
+    ordered = rows.repartition(KEY, SEG).sortWithinPartitions(KEY, SEG, "_kind", TS, ID)
+    return ordered.mapInArrow(run, schema)
+
+
+def drift_events(df: DataFrame, values, segments: EntitySegments, threshold=C.DRIFT_LAMBDA, delta=C.DRIFT_DELTA,
                  window=C.DRIFT_WINDOW, decay=C.DRIFT_DECAY, warmup=20) -> DataFrame:
-    """Page-Hinkley with reset: one row per drift event (entity, event, timestamp, deviation).
-
-    The test is sequential per entity. Entities below the row limit are one group each. The segments of a
-    hot entity run in parallel from a guessed start state and are repeated where the true end state of the
-    segment before differs; after a hit the state depends on the position alone, so guesses meet the
-    truth at the first common hit. The loop ends when nothing differs, so the result is exact.
+    """Page-Hinkley with reset on the mean deviation of the features ``values`` from a decayed baseline vector: one row
+    per drift event (entity, event, timestamp, deviation).
+
+    The baseline is set at event number ``warmup`` of an entity and again at every drift event, from its last
+    ``window`` vectors. The test is sequential per entity, in a stream of sorted batches. Segments of a hot entity run in
+    parallel from a guessed state; segments whose true start state (the end of the segment before) differs run again.
+    After a drift event the state depends on the position alone, so guess and truth meet at the first event that both
+    find, mostly within some rows: two rounds are the rule. The loop ends when nothing differs, so the result is exact.
     """
-    spark = df.sparkSession
-    data = segments.halo(df.select(KEY, TS, ID, F.col(value).cast("double").alias("x")), window)
-    if segments.hot:
-        data = materialize(data, "drift-input")
-    out_schema = f"{KEY} string, {SEG} int, {ID} long, {TS} timestamp_ntz, deviation double, ends boolean, {_STATE}"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([TS, ID], kind="stable")
-        start = int(pdf["_halo"].sum())
-        first = pdf.iloc[0]
-        state = tuple(float(first[f"s_{f}"]) for f in _FIELDS)
-        offset = int(first["_before"]) - start
-        hits, end = walk_page_hinkley(
-            pdf["x"].to_numpy(), start, offset, state, threshold, delta, window, decay, warmup)
-        at = [i for i, _ in hits]
-        rows = pd.DataFrame({
-            KEY: first[KEY], SEG: first[SEG], ID: pdf[ID].to_numpy()[at], TS: pdf[TS].to_numpy()[at],
-            "deviation": [d for _, d in hits], "ends": False})
-        last = pd.DataFrame({KEY: [first[KEY]], SEG: [first[SEG]], "ends": [True],
-                             **{f: [v] for f, v in zip(_FIELDS, end)}})
-        return pd.concat([rows, last], ignore_index=True).reindex(
-            columns=[KEY, SEG, ID, TS, "deviation", "ends", *_FIELDS])
-
-    fresh = [F.lit(v).alias(f"s_{f}") for f, v in zip(_FIELDS, _FRESH)]
+    names = [values] if isinstance(values, str) else list(values)
+    walk, width = DriftWalk(threshold, delta, window, decay, warmup), len(names)
+    data = segments.halo(df.select(KEY, TS, ID, *names), window).select(
+        KEY, SEG, TS, ID, _vector(names).alias("_x"), F.when(F.col("_halo"), 1).otherwise(2).alias("_kind"),
+        F.lit(None).cast("long").alias("_before"), F.lit(None).cast(_STATE).alias("state"))
     clean = lambda d: d.where(~F.col("ends")).select(KEY, ID, TS, "deviation")
     if not segments.hot:
-        cold = data.withColumn("_before", F.lit(0).cast("long")).select("*", *fresh)
-        return clean(cold.groupBy(KEY, SEG).applyInPandas(run, out_schema))
-
-    befores = segments.table().select(KEY, SEG, "_before")
-    data = (data.join(segments.small(befores), [KEY, SEG], "left")
-            .withColumn("_before", F.coalesce("_before", F.lit(0)).cast("long")))
-    state_schema = f"{KEY} string, {SEG} int, " + ", ".join(f"s_{f} double" for f in _FIELDS)
-    entry = {(e, n): _FRESH for e, parts in segments.cuts.items() for n, _, _ in parts}
-    todo = dict(entry)
-    done = data.join(segments.small(segments.hot_names()), KEY, "left_anti").select("*", *fresh)
-    results = [clean(done.groupBy(KEY, SEG).applyInPandas(run, out_schema))]
-    hot_rows, ends = {}, {}
-    while todo:
-        table = local_table(spark, [(e, s, *st) for (e, s), st in todo.items()], state_schema)
-        ran = (data.join(segments.small(table), [KEY, SEG]).groupBy(KEY, SEG).applyInPandas(run, out_schema))
-        ran = materialize(ran, "drift-run")
-        for key in todo:
-            hot_rows[key] = ran
-        # One end state per segment: bounded by the number of segments.
-        for r in ran.where("ends").collect():
-            ends[(r[KEY], r[SEG])] = tuple(r[f] for f in _FIELDS)
-        todo = {}
-        for (e, s), guess in entry.items():
-            truth = ends.get((e, s - 1), _FRESH) if s else _FRESH
-            if not _same_state(truth, guess):
-                todo[(e, s)] = truth
-        entry.update(todo)
-    frames = {}
-    for key, ran in hot_rows.items():
-        frames.setdefault(id(ran), (ran, []))[1].append(key)
-    for ran, keys in frames.values():
-        valid = local_table(spark, keys, f"{KEY} string, {SEG} int")
-        results.append(clean(ran.join(segments.small(valid), [KEY, SEG], "left_semi")))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def _same_state(a, b):
-    return all((x == y) or (x != x and y != y) for x, y in zip(a, b))
-
+        return clean(_walked(data, walk, width))
+    data = materialize(data, "drift-input")
+    heads = segments.table().select(
+        KEY, SEG, F.lit(None).cast("timestamp_ntz").alias(TS), F.lit(None).cast("long").alias(ID),
+        F.lit(None).cast("array<double>").alias("_x"), F.lit(0).alias("_kind"), "_before", F.lit(None).cast(_STATE).alias("state"))
+    starts, runs, todo = heads, [], data
+    while True:
+        ran = materialize(_walked(todo.unionByName(starts), walk, width), "drift-run")
+        runs.append(ran.withColumn("_round", F.lit(len(runs))))
+        ends = _latest(runs).where("ends").select(KEY, (F.col(SEG) + 1).alias(SEG), F.col("state").alias("_true"))
+        # Guesses become the start state they stood for; a segment whose true start is another one runs again.
+        known = starts if len(runs) == 1 else known.join(starts.select(KEY, SEG), [KEY, SEG], "left_anti").unionByName(starts)
+        changed = (known.join(ends, [KEY, SEG]).where(~F.col("_true").eqNullSafe(F.col("state")))
+                   .withColumn("state", F.col("_true")).select(*heads.columns))
+        known, starts = materialize(known, "drift-known"), materialize(changed, "drift-starts")
+        if starts.isEmpty():
+            return clean(_latest(runs))
+        todo = data.join(segments.small(starts.select(KEY, SEG)), [KEY, SEG], "left_semi")
+
+
+def _latest(runs) -> DataFrame:
+    """The rows of each segment's last run."""
+    union = runs[0]
+    for r in runs[1:]:
+        union = union.unionByName(r)
+    if len(runs) == 1:
+        return union
+    last = union.where("ends").groupBy(KEY, SEG).agg(F.max("_round").alias("_round"))
+    return union.join(last, [KEY, SEG, "_round"], "left_semi")
