@@ -43,6 +43,19 @@ def s2(v: Views):
     return back.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("events"))
 
 
+@query("s2_write_parts", sql("log", f"SELECT split AS part, event_id, {sql_time()}, geo_location, command_sequence, auth_success FROM (SELECT event_id, \"timestamp\", geo_location, command_sequence, auth_success, 'full' AS split FROM access_log UNION ALL SELECT event_id, \"timestamp\", geo_location, command_sequence, auth_success, split FROM split)",
+       """ranked2 AS (SELECT *, row_number() OVER (ORDER BY "timestamp", event_id) AS rn, count(*) OVER () AS total FROM access_log),
+split AS (SELECT *, CASE WHEN rn <= cast(floor(total * 0.8) AS bigint) THEN 'train' ELSE 'test' END AS split FROM ranked2)"""))
+def s2p(v: Views):
+    """The whole log, its train and its test part as CSV with a header, read back."""
+    path = scratch_path(v.spark, "log-parts")
+    Q.write_parts(v.log, path)
+    back = [L.read_access_log(v.spark, f"{path}/{p}").select(
+        F.lit(p).alias("part"), "event_id", text_time(), "geo_location", "command_sequence", "auth_success")
+        for p in ("full", "train", "test")]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
 @query("s3_write_profiles_json", sql("profiles", f"SELECT entity_id, entity_type, event_count, {sql_rnd('hour_mean')}, unique_resources, array_to_string(typical_resources, ',') AS typical_resources, primary_auth FROM profiles"))
 def s3(v: Views):
     path = scratch_path(v.spark, "profiles-json")

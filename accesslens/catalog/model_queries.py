@@ -1,85 +1,103 @@
 """Trained detectors, classifiers, attributions and saved models.
 
-Forest sizes are parameters; the registered queries use smaller ones than the defaults so that a run on one
-machine stays short. Rows, tables and texts are always whole.
+The detector is fitted on the train part once for a data folder and application, saved to the shared folder, and loaded
+by every query that applies it. Forests have their full size; boosted trees are a parameter (``ROUNDS``), because 300
+rounds for eight labels are 2,400 trees one after another. Rows, tables and texts are always whole.
 """
 
-from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from accesslens import constants as C
 from accesslens.catalog.base_queries import _SPLIT
-from accesslens.catalog.registry import Views, query
+from accesslens.catalog.registry import Views, query, rnd, sql_rnd
 from accesslens.catalog.sql_base import sql
-from accesslens.operators import classify as M, detectors as D, encode as E, explain as X, profiles as P, queue as Q
+from accesslens.models import detection
+from accesslens.models.stages import INPUTS, AttackClassifierModel, Z, model_metrics
+from accesslens.operators import classify as M, detectors as D, encode as E, explain as X, queue as Q
 from accesslens.operators import evaluate as V, risk
-from accesslens.plans.segments import KEY, EntitySegments
+from accesslens.plans.segments import KEY
 from accesslens.session import materialize, scratch_path
+from accesslens.sources import access_log as L
 
-TREES, ROUNDS, DEPTH = 20, 3, 4
-Z = [f"{f}_z" for f in C.FEATURES]
+ROUNDS = 10
+NAMES = [c[:-2] if c.endswith("_z") else c for c in INPUTS]
+_SAVED = {}
 
 
-def scaled_features(v: Views):
-    """Scaled features of all events, the scaler fitted on the train part; written once."""
-    stored = v.stored_features
-    parts = Q.temporal_split(stored)
-    stats = E.fit_scaler(parts.where("split = 'train'"), C.FEATURES)
-    scaled = E.scale(parts, stats, C.FEATURES)
-    return materialize(scaled.select("event_id", KEY, "timestamp", "label", "label_enc", "split", *Z), "scaled")
+def saved_once(v: Views, name, make):
+    """The folder that ``make(path)`` filled for this application and data folder."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, name)
+    if key not in _SAVED:
+        path = scratch_path(v.spark, name)
+        make(path)
+        _SAVED[key] = path
+    return _SAVED[key]
 
 
-def train_part(events):
-    """The first events by time, of which profiles and histories are learned."""
-    return Q.temporal_split(events).where("split = 'train'").drop("split")
+def part(v: Views, name):
+    """The train (first 80 % by time) or test events."""
+    return Q.temporal_split(v.log).where(F.col("split") == name).drop("split")
 
 
-def fit_isolation(scaled, trees=C.ISOLATION_TREES):
-    train = scaled.where("split = 'train' and label = 'normal'")
-    return materialize(D.fit_isolation_forest(train, Z, trees), "isolation-forest")
+def detector(v: Views) -> PipelineModel:
+    def fit(path):
+        train = materialize(part(v, "train"), "train-log")
+        detection.detection_pipeline().fit(train).write().save(path)
 
+    return PipelineModel.load(saved_once(v, "detector", fit))
 
-def detector_scores(v: Views, scaled):
-    """The four detector scores per event, joined by event key."""
-    forest = fit_isolation(scaled, 100)
-    iso = D.minmax(materialize(D.score_isolation_forest(scaled, forest, Z), "iso"), "isolation_raw", "isolation_forest_score")
-    model = D.fit_one_class(scaled.where("split = 'train' and label = 'normal'"), Z)
-    one = D.minmax(materialize(D.one_class_score(scaled, model, Z), "one"), "one_class_raw", "one_class_svm_score")
-    features = v.stored_features
-    known = train_part(features)
-    profiles = P.entity_profiles(known, EntitySegments.probe(known), train_part(v.log))
-    stat = P.with_statistical_score(features, profiles, v.segments).select("event_id", "statistical_score")
-    joined = iso.join(one, "event_id").join(stat, "event_id")
-    return joined.withColumn("baseline_combined_score", risk.baseline_combined(
-        F.col("statistical_score"), F.col("isolation_forest_score"), F.col("one_class_svm_score")))
 
+def scored(v: Views, name="test"):
+    """Events of a part scored as one batch by the saved detector; written once."""
+    def apply(path):
+        detector(v).transform(part(v, name)).write.parquet(path)
+
+    return v.spark.read.parquet(saved_once(v, f"scored-{name}", apply))
 
-def augmented(v: Views, scaled):
-    """28 scaled features and four scores: the classifier input."""
-    scores = detector_scores(v, scaled).select("event_id", *C.SCORE_FEATURES)
-    return materialize(scaled.join(scores, "event_id"), "augmented")
 
+def boosted(v: Views) -> AttackClassifierModel:
+    def fit(path):
+        train = scored(v, "train").drop("forest_label", "forest_confidence")
+        detection.boosted_classifier(ROUNDS).fit(train).write().save(path)
 
-INPUTS = [*Z, *C.SCORE_FEATURES]
+    return AttackClassifierModel.load(saved_once(v, "boosted", fit))
+
+
+def forest_path(v: Views):
+    """The saved forest within the saved detector."""
+    stages = detector(v).stages
+    at = next(i for i, s in enumerate(stages) if s.options.get("kind") == "forest")
+    return f"{_SAVED[(v.spark.sparkContext.applicationId, v.sf_dir, 'detector')]}/stages/{at:0{len(str(len(stages)))}d}_{stages[at].uid}/models/model"
+
+
+def scaled_features(v: Views):
+    """Scaled features of all events, the scaler fitted on the train part; written once."""
+    stored = v.stored_features
+    parts = Q.temporal_split(stored)
+    stats = E.fit_scaler(parts.where("split = 'train'"), C.FEATURES)
+    scaled = E.scale(parts, stats, C.FEATURES)
+    return materialize(scaled.select("event_id", KEY, "timestamp", "label", "label_enc", "split", *Z), "scaled")
 
 
 @query("d2_isolation_forest")
 def d2(v: Views):
-    """Score and flag: above the score that 97.5 % of the normal training events stay below."""
+    """Score and flag of the test events as a batch: above the score that 97.5 % of the normal train events stay below."""
     scaled = scaled_features(v)
-    forest = fit_isolation(scaled)
-    raw = materialize(D.score_isolation_forest(scaled, forest, Z, keep=("label", "split")), "isolation")
-    train = raw.where("split = 'train' and label = 'normal'")
-    cut = V.exact_quantiles(train, [], "isolation_raw", [1 - C.ISOLATION_CONTAMINATION]).select(F.col("q").alias("_cut"))
-    scored = D.minmax(raw, "isolation_raw", "isolation_forest_score").crossJoin(F.broadcast(cut))
-    return scored.select("event_id", "isolation_forest_score", (F.col("isolation_raw") > F.col("_cut")).cast("long").alias("flagged"))
+    train = scaled.where("split = 'train' and label = 'normal'")
+    forest = materialize(D.fit_isolation_forest(train, Z), "isolation-forest")
+    raw = materialize(D.score_isolation_forest(scaled, forest, Z).select("event_id", "label", "split", "isolation_raw"), "isolation")
+    cut = V.exact_quantiles(raw.where("split = 'train' and label = 'normal'"), [], "isolation_raw", [1 - C.ISOLATION_CONTAMINATION])
+    test = D.minmax(raw.where("split = 'test'"), "isolation_raw", "isolation_forest_score")
+    return test.crossJoin(F.broadcast(cut.select(F.col("q").alias("_cut")))).select(
+        "event_id", "isolation_forest_score", (F.col("isolation_raw") > F.col("_cut")).cast("long").alias("flagged"))
 
 
 @query("d3_one_class_kernel")
 def d3(v: Views):
     scaled = scaled_features(v)
     model = D.fit_one_class(scaled.where("split = 'train' and label = 'normal'"), Z)
-    raw = materialize(D.one_class_score(scaled, model, Z), "one-class")
+    raw = materialize(D.one_class_score(scaled.where("split = 'test'"), model, Z).select("event_id", "one_class_raw"), "one-class")
     return D.minmax(raw, "one_class_raw", "one_class_svm_score").select("event_id", "one_class_svm_score")
 
 
@@ -105,7 +123,22 @@ def d6(v: Views):
 
 @query("c1_augment_features")
 def c1(v: Views):
-    return augmented(v, scaled_features(v)).select("event_id", *INPUTS)
+    """The classifier input of every test event: 28 scaled features and four detector scores."""
+    return scored(v).select("event_id", *INPUTS)
+
+
+_MOMENTS = "z AS (SELECT " + ", ".join(f"avg({f}) AS {f}_m, CASE WHEN stddev_pop({f}) = 0 THEN 1.0 ELSE stddev_pop({f}) END AS {f}_s" for f in C.FEATURES) + " FROM features)"
+
+
+@query("c1_augment_closed_form", sql("scored", "SELECT event_id, " + ", ".join(sql_rnd(f"({f} - {f}_m) / {f}_s", f"{f}_z", 4) for f in C.FEATURES)
+       + f", {sql_rnd('statistical_score')}, {sql_rnd('isolation_forest_score')}, {sql_rnd('hour / 24.0', 'one_class_svm_score')}, {sql_rnd('0.3 * statistical_score + 0.4 * isolation_forest_score + 0.3 * hour / 24.0', 'baseline_combined_score')} FROM scored, z", _MOMENTS))
+def c1c(v: Views):
+    """The same 32 columns from scores that need no trained model."""
+    features = v.stored_features
+    scores = risk.closed_form_scores(features, v.segments, v.log).select(
+        "event_id", "statistical_score", "isolation_forest_score", (F.col("hour") / 24.0).alias("one_class_svm_score"))
+    scaled = E.scale(features, E.fit_scaler(features, C.FEATURES), C.FEATURES)
+    return M.augment(scaled, scores).select("event_id", *[rnd(z, 4) for z in Z], *[rnd(s) for s in C.SCORE_FEATURES])
 
 
 @query("c2_smote_oversample", sql("log", "SELECT label, n AS real, max(n) OVER () AS total FROM (SELECT label, count(*) AS n FROM split WHERE split.split = 'train' GROUP BY label)", _SPLIT))
@@ -116,83 +149,70 @@ def c2(v: Views):
     return balanced.groupBy("label").agg(F.count_if(F.col("synthetic") == 0).alias("real"), F.count("*").alias("total"))
 
 
-def _train_test(v):
-    full = augmented(v, scaled_features(v))
-    return full.where("split = 'train'"), full.where("split = 'test'")
-
-
-def _forest(v, train):
-    weighted = M.with_class_weights(materialize(M.training_frame(train, INPUTS), "train"))
-    return M.fit_forest(weighted, TREES, 6)
-
-
 @query("c3_weighted_training")
 def c3(v: Views):
-    """Class weights as row weights of a single-tree forest; predictions per label on the test part."""
-    train, test = _train_test(v)
-    weighted = M.with_class_weights(materialize(M.training_frame(train, INPUTS), "train"))
-    model = M.fit_forest(weighted, 1, 6)
-    return M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "label", "predicted_label")
+    """Class weights as row weights of the forest; predictions per label on the test part."""
+    return scored(v).select("event_id", "label", F.col("forest_label").alias("predicted_label"))
 
 
 @query("c4_boosted_trees")
 def c4(v: Views):
-    train, test = _train_test(v)
-    balanced = materialize(M.training_frame(M.smote_oversample(train, INPUTS), INPUTS), "balanced")
-    model = M.fit_boosted(balanced, ROUNDS, DEPTH)
-    return M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "label", "predicted_label", "confidence")
+    found = boosted(v).transform(scored(v))
+    return found.select("event_id", "label", F.col("boosted_label").alias("predicted_label"), F.col("boosted_confidence").alias("confidence"))
 
 
 @query("c5_random_forest")
 def c5(v: Views):
-    train, test = _train_test(v)
-    model = _forest(v, train)
-    return M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "label", "predicted_label", "confidence")
+    return scored(v).select("event_id", "label", F.col("forest_label").alias("predicted_label"), F.col("forest_confidence").alias("confidence"))
 
 
 @query("c6_anomaly_confidence")
 def c6(v: Views):
-    """Confidence of every event, train and test."""
-    train, test = _train_test(v)
-    model = _forest(v, train)
-    both = M.training_frame(train, INPUTS).unionByName(M.training_frame(test, INPUTS))
-    return M.predict(model, both).select("event_id", "confidence")
+    """Confidence of every event, train and test, each part scored as a batch of its own."""
+    both = scored(v, "train").unionByName(scored(v))
+    return both.select("event_id", F.col("forest_confidence").alias("confidence"))
+
+
+_SHARES = [f"(1 + (event_id * {j + 3}) % 17)" for j in range(len(C.LABELS))]
+
+
+@query("c6_confidence_of_probabilities", sql("log", f"SELECT event_id, {sql_rnd(f'1 - cast({_SHARES[C.NORMAL_CODE]} AS double) / ({" + ".join(_SHARES)})', 'confidence')} FROM access_log"))
+def c6p(v: Views):
+    """1 - P(normal) of given class probabilities."""
+    weights = [F.expr(s).cast("double") for s in _SHARES]
+    total = sum(weights[1:], weights[0])
+    given = v.log.select("event_id", F.array(*[w / total for w in weights]).alias("p"))
+    return given.select("event_id", rnd(M.anomaly_confidence(), name="confidence"))
 
 
 @query("c7_feature_importance")
 def c7(v: Views):
-    train, _ = _train_test(v)
-    names = [c[:-2] if c.endswith("_z") else c for c in INPUTS]
-    return M.feature_importance(v.spark, _forest(v, train), names, 15)
+    model = detection.stage(detector(v), "AttackClassifierModel", kind="forest").models["model"]
+    return M.feature_importance(v.spark, model, NAMES, 15)
 
 
 @query("s6_model_persistence")
 def s6(v: Views):
-    """Save and load the classifier, the isolation forest table and the profiles; score with the loaded ones."""
-    train, test = _train_test(v)
-    path = scratch_path(v.spark, "forest")
-    _forest(v, train).write().overwrite().save(path)
-    model = RandomForestClassificationModel.load(path)
-    nodes = scratch_path(v.spark, "nodes")
-    D.fit_isolation_forest(train.where("label = 'normal'"), Z, 50).write.parquet(nodes)
-    iso = D.score_isolation_forest(test, v.spark.read.parquet(nodes), Z)
-    return M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "predicted_label").join(iso, "event_id")
+    """The detector is fitted and saved; loaded, it scores the test events as a new batch, with entity statistics of the
+    batch alone and going on from the train events."""
+    model = detector(v)
+    names = ["event_id", "predicted_label", "risk_score", "severity", "statistical_score", "isolation_forest_score"]
+    batch = scored(v).select(*names, F.lit("batch").alias("scope"))
+    history = detection.with_scope(model, "history").transform(part(v, "test"))
+    return batch.unionByName(history.select(*names, F.lit("history").alias("scope")))
 
 
 def _attributed(v, minimum_confidence=0.5):
-    train, test = _train_test(v)
-    path = scratch_path(v.spark, "forest")
-    _forest(v, train).write().overwrite().save(path)
-    model = RandomForestClassificationModel.load(path)
-    scored = materialize(M.predict(model, M.training_frame(test, INPUTS)).select(
-        "event_id", "label", "predicted_label", "prediction", "confidence", "features"), "predicted")
-    flagged = scored.where((F.col("predicted_label") != "normal") | (F.col("confidence") > minimum_confidence))
-    paths = M.attribute_paths(flagged, M.tree_nodes(v.spark, path), INPUTS)
-    names = [c[:-2] if c.endswith("_z") else c for c in INPUTS]
-    raw = v.stored_features.select("event_id", *C.FEATURES)
-    rows = materialize(paths, "paths").join(raw, "event_id").join(
-        test.select("event_id", *C.SCORE_FEATURES), "event_id").join(scored.drop("features"), "event_id")
-    parts = [(f, F.element_at("contributions", i + 1), F.col(f).cast("double")) for i, f in enumerate(names)]
+    model = detection.stage(detector(v), "AttackClassifierModel", kind="forest").models["model"]
+    test = scored(v)
+    flagged = test.where((F.col("forest_label") != "normal") | (F.col("forest_confidence") > minimum_confidence))
+    given = M.predict(model, M.training_frame(flagged, INPUTS)).select(
+        "event_id", "label", "predicted_label", "prediction", "confidence", "features")
+    paths = M.attribute_paths(materialize(given, "predicted"), M.tree_nodes(v.spark, forest_path(v)), INPUTS)
+    raw = test.select("event_id", *C.FEATURES, *C.SCORE_FEATURES, "label", F.col("forest_label").alias("predicted_label"),
+                      F.col("forest_confidence").alias("confidence"))
+    rows = materialize(paths, "paths").join(raw, "event_id")
+    parts = [(f, F.element_at("contributions", i + 1), F.col(f).cast("double")) for i, f in enumerate(NAMES)]
     return rows, parts
 
 
@@ -216,9 +236,8 @@ def b5(v: Views):
 @query("x3_fallback_by_importance")
 def x3i(v: Views):
     """The most important features of the forest, for every event, with their values and texts."""
-    train, _ = _train_test(v)
-    names = [c[:-2] if c.endswith("_z") else c for c in INPUTS]
-    ranked = M.feature_importance(v.spark, _forest(v, train), names).where(F.col("feature").isin(C.FEATURES)).limit(3)
+    model = detection.stage(detector(v), "AttackClassifierModel", kind="forest").models["model"]
+    ranked = M.feature_importance(v.spark, model, NAMES).where(F.col("feature").isin(C.FEATURES)).limit(3)
     top = {r["feature"]: r["importance"] for r in ranked.collect()}
     return X.explode_factors(X.attribute_by_importance(v.stored_features, top))
 
@@ -226,13 +245,27 @@ def x3i(v: Views):
 @query("r1_trained_risk")
 def r1t(v: Views):
     """Risk and severity from the trained parts: isolation, sequence, classifier confidence and history."""
-    scaled = scaled_features(v)
-    full = augmented(v, scaled)
-    model = _forest(v, full.where("split = 'train'"))
-    test = full.where("split = 'test'")
-    conf = M.predict(model, M.training_frame(test, INPUTS)).select("event_id", "predicted_label", "confidence")
-    seq = D.score_sequences(scaled, Z, v.segments, "principal").select("event_id", "sequence_score")
-    history = P.entity_risk_history(train_part(v.log))
-    parts = test.select("event_id", KEY, "timestamp", "label", "isolation_forest_score").join(seq, "event_id").join(conf, "event_id")
-    return risk.fuse(P.with_risk_history(parts, history, v.segments)).select(
-        "event_id", KEY, "label", "predicted_label", "risk_score", "severity")
+    return scored(v).select("event_id", KEY, "label", "predicted_label", "risk_score", "severity")
+
+
+def trained_comparison(v: Views):
+    """One metrics row for each of six detectors on the test part."""
+    return V.model_comparison(model_metrics(boosted(v).transform(scored(v))))
+
+
+@query("v9_trained_comparison")
+def v9t(v: Views):
+    return trained_comparison(v)
+
+
+@query("s5_write_comparison")
+def s5c(v: Views):
+    """Evaluation of the trained risk (eleven fields) as JSON and the comparison of six detectors as CSV, read back."""
+    summary = V.evaluation_summary(scored(v).select("event_id", "label", "predicted_label", "risk_score"))
+    comparison = trained_comparison(v)
+    path = scratch_path(v.spark, "evaluation")
+    L.write_json_records(summary, f"{path}/metrics")
+    comparison.write.option("header", True).csv(f"{path}/comparison")
+    back = v.spark.read.schema(comparison.schema).option("header", True).csv(f"{path}/comparison")
+    metrics = L.read_json_records(v.spark, f"{path}/metrics", summary.schema)
+    return back.crossJoin(F.broadcast(metrics))

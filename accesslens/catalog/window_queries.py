@@ -195,7 +195,12 @@ def t5(v: Views):
     return G.last_events(v.log, 20).select("event_id", KEY, "recency")
 
 
-@query("t6_uniform_sample")
+def _sql_uniform(text):
+    """The number of ``hash_uniform`` for a text that ends with the seed."""
+    return f"(cast('0x' || substr(md5({text}), 1, 13) AS bigint) / 4503599627370496.0)"
+
+
+@query("t6_uniform_sample", sql("log", f"SELECT event_id, entity_id FROM access_log ORDER BY {_sql_uniform("event_id || ':42'")}, event_id LIMIT 500"))
 def t6(v: Views):
     return Q.uniform_sample(v.log.select("event_id", KEY), 500)
 
@@ -205,9 +210,13 @@ def t7(v: Views):
     return Q.replay_prefix(v.log, 500).select("event_id", KEY)
 
 
-@query("t8_map_jitter")
+_JITTER = ", ".join(sql_rnd(f"{c} + ({_sql_uniform(f"severity || ':' || event_id || ':{7 + k}'")} * 2 - 1) * 0.5", c) for k, c in enumerate(("latitude", "longitude")))
+
+
+@query("t8_map_jitter", sql("alerts", f"SELECT event_id, entity_id, geo_city, {_JITTER}, risk_score, severity, predicted_label FROM alerts"))
 def t8(v: Views):
-    return Q.jittered(Q.geo_points(v.alerts, with_low=True))
+    moved = Q.jittered(Q.geo_points(v.alerts, with_low=True))
+    return moved.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
 
 
 # --- encoders ---

@@ -120,9 +120,11 @@ def format_timestamp(ts) -> Column:
 
 
 def hash_uniform(*parts, seed=42) -> Column:
-    """A number in [0, 1) that depends only on its arguments."""
-    h = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts], F.lit(seed))
-    return F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """A number in [0, 1) that depends only on its arguments: 52 bits of the md5 of their texts and the seed, so any
+    engine can repeat it."""
+    texts = [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
+    digest = F.md5(F.concat_ws(":", *texts, F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def hash_normal(*parts, seed=42) -> Column:

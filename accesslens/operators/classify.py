@@ -11,6 +11,7 @@ from accesslens import constants as C
 from accesslens.functions.scalar import hash_uniform, lookup_map
 from accesslens.operators.encode import label_name
 from accesslens.operators.features import assemble
+from accesslens.operators.risk import baseline_combined
 from accesslens.plans.ranks import values_at_ranks
 from accesslens.plans.replicate import replicate
 from accesslens.plans.segments import ID
@@ -23,6 +24,12 @@ def training_frame(df: DataFrame, features) -> DataFrame:
     return assemble(df, features).select(ID, "label", F.col("label_enc").cast("double").alias("label_enc"), "features")
 
 
+def augment(scaled: DataFrame, scores: DataFrame) -> DataFrame:
+    """Scaled features with the statistical, isolation and one-class scores of each event and their combination."""
+    joined = scaled.join(scores.select(ID, *C.SCORE_FEATURES[:3]), ID)
+    return joined.withColumn(C.SCORE_FEATURES[3], baseline_combined(*[F.col(c) for c in C.SCORE_FEATURES[:3]]))
+
+
 def class_counts(df: DataFrame):
     """Rows per label; at most the eight fixed labels, so they fit on the driver."""
     return {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -84,6 +91,19 @@ def smote_oversample(df: DataFrame, features, k=C.SMOTE_NEIGHBOURS, seed=42, blo
     return real.unionByName(made)
 
 
+def bounded_rows(df: DataFrame, max_rows=None, seed=42) -> DataFrame:
+    """All labelled rows, or about ``max_rows`` of them: the same share of every label (at least a row where it has
+    one), chosen by keyed hash."""
+    if max_rows is None:
+        return df
+    counts = class_counts(df)
+    share = max_rows / max(1, sum(counts.values()))
+    if share >= 1:
+        return df
+    keep = {label: max(share, min(1.0, 20.0 / n)) for label, n in counts.items()}
+    return df.where(hash_uniform(F.col(ID), seed=seed) < F.try_element_at(lookup_map(keep), F.col("label")))
+
+
 def with_class_weights(df: DataFrame) -> DataFrame:
     """Add ``class_weight`` = N / (classes * count): eight literals, no join."""
     counts = class_counts(df)
@@ -96,13 +116,13 @@ def fit_forest(train: DataFrame, trees=300, depth=10, seed=42) -> RandomForestCl
     """Balanced random forest (``class_weight`` column)."""
     return RandomForestClassifier(
         featuresCol="features", labelCol="label_enc", weightCol="class_weight", numTrees=trees, maxDepth=depth, seed=seed,
-        subsamplingRate=1.0).fit(train)
+        subsamplingRate=1.0, maxMemoryInMB=1024).fit(train)
 
 
 def fit_boosted(train: DataFrame, rounds=300, depth=6, rate=0.1, seed=42) -> OneVsRestModel:
     """One boosted-tree model per label."""
     gbt = GBTClassifier(featuresCol="features", labelCol="label_enc", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_enc", parallelism=2).fit(train)
+    return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_enc", parallelism=8).fit(train)
 
 
 def with_probabilities(predicted: DataFrame) -> DataFrame:

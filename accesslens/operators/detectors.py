@@ -4,6 +4,7 @@ Training data is a bounded sample or a one-pass aggregate; scoring is row-local
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from accesslens.session import materialize
 
 # --- isolation forest -------------------------------------------------------------------------------------
 
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double, drawn int"
 
 
 def average_path(n):
@@ -52,73 +53,91 @@ def _grow(x, depth, limit, rng, rows, tree):
     return node
 
 
+def tree_samples(df: DataFrame, columns, trees, sample, seed=42) -> DataFrame:
+    """For every tree the ``sample`` rows with the smallest keyed hashes: (tree, hash, event key, columns).
+
+    Each row draws a hash for every tree and goes on only where it is below a threshold that lets slightly more than
+    ``sample`` rows of a tree pass, so about trees * sample rows leave the scan, whatever its size. Should a tree get
+    too few (as rare as six deviations), the threshold is doubled; the result is the exact bottom-k of each tree.
+    """
+    total = df.count()
+    want, share = min(sample, total), (sample + 6 * sample ** 0.5 + 6) / max(total, 1)
+    while True:
+        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+            t.alias("tree"), (F.shiftrightunsigned(F.xxhash64(F.col(ID), t, F.lit(seed)), 11) / float(1 << 53)).alias("u")))
+        near = df.select(ID, *columns, F.explode(F.filter(draws, lambda d: d["u"] < min(share, 1.1))).alias("_d"))
+        near = materialize(near.select("_d.tree", "_d.u", ID, *columns), "tree-samples")
+        counts = near.groupBy("tree").agg(F.count("*").alias("n")).agg(F.count("*").alias("t"), F.min("n").alias("n")).first()
+        if share >= 1 or total == 0 or (counts["t"] == trees and counts["n"] >= want):
+            break
+        share *= 2
+    w = Window.partitionBy("tree").orderBy("u", ID)
+    return near.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= sample).drop("_place")
+
+
 def fit_isolation_forest(df: DataFrame, features, trees=C.ISOLATION_TREES, sample=C.ISOLATION_SAMPLE, seed=42) -> DataFrame:
-    """Node table of a forest; each tree is grown by one task from its own rows (``sample`` rows at most).
+    """Node table of a forest; each tree is grown by one task from its own ``sample`` rows (all rows, if fewer).
 
-    The rows of all trees are one uniform sample of trees * sample events; where the data has fewer, trees
-    share rows: every tree takes its ``sample`` rows at hashed offsets of the same sample.
+    The root of a tree holds the number of rows drawn for it, which normalises its path lengths.
     """
-    drawn = uniform_sample(df.select(ID, *features), trees * sample, seed)
-    # The sample is bounded by trees * sample rows, so numbering it in one task is safe.
-    order = Window.orderBy(hash_uniform(F.col(ID), seed=seed + 1), ID)
-    numbered = drawn.withColumn("_i", F.row_number().over(order) - 1)
-    have = min(trees * sample, drawn.count())
-    stride = max(1, min(sample, have))
-    # Tree t takes positions t * stride ... t * stride + stride - 1 around the ring of the sample.
-    reach = math.ceil(trees * stride / max(have, 1))
-    slots = numbered.withColumn("_lap", F.explode(F.sequence(F.lit(0), F.lit(reach))))
-    tree = F.floor((F.col("_i") + F.col("_lap") * have) / stride).cast("int")
-    slots = slots.withColumn("tree", tree).where(F.col("tree") < trees)
-    limit = max(1, math.ceil(math.log2(max(sample, 2))))
     names = list(features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng(seed * 100_003 + t)
         rows = []
-        _grow(pdf.sort_values("_i")[names].to_numpy(dtype=float), 0, limit, rng, rows, t)
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+        limit = max(1, math.ceil(math.log2(max(len(pdf), 2))))
+        _grow(pdf.sort_values(["u", ID])[names].to_numpy(dtype=float), 0, limit, rng, rows, t)
+        return pd.DataFrame([(*r, len(pdf)) for r in rows], columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
-    return slots.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    return tree_samples(df, names, trees, sample, seed).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
 def _forest_arrays(nodes):
-    """Node rows (bounded: trees * 2 * sample) as arrays per tree, children as row numbers."""
-    trees = []
+    """Node rows (bounded: trees * 2 * sample) as arrays per tree, children as row numbers, and the normal path length."""
+    trees, normal = [], []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
         trees.append(tuple(t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")))
-    return trees
+        normal.append(average_path(int(t["drawn"].iloc[0])))
+    return trees, max(float(np.mean(normal)), 1e-9) if normal else 1.0
+
+
+def isolation_scores(model, x):
+    """2^(-mean path / normal path) of every row of ``x``: near 1 is isolated early."""
+    trees, norm = model
+    total, rows = np.zeros(len(x)), np.arange(len(x))
+    for feature, threshold, left, right, path in trees:
+        at = np.zeros(len(x), dtype=np.int64)
+        while True:
+            f = feature[at]
+            inner = f >= 0
+            if not inner.any():
+                break
+            go_left = x[rows, np.maximum(f, 0)] <= threshold[at]
+            at = np.where(inner, np.where(go_left, left[at], right[at]), at)
+        total += path[at]
+    return 2.0 ** (-total / max(len(trees), 1) / norm)
+
+
+def vector_scorer(spark, fn, model):
+    """A column function of an array of numbers: ``fn(model, matrix)`` per Arrow batch, other columns stay in the JVM.
+
+    The model travels as a broadcast; its size does not depend on the data.
+    """
+    held = spark.sparkContext.broadcast(model)
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series(fn(held.value, np.stack(rows.to_numpy()).astype(float)) if len(rows) else [], dtype=float)
 
-def score_isolation_forest(df: DataFrame, forest: DataFrame, features, sample=C.ISOLATION_SAMPLE,
-                           name="isolation_raw", keep=()) -> DataFrame:
-    """Anomaly score 2^(-mean path / c): near 1 is isolated early. The forest travels as a broadcast."""
-    spark = df.sparkSession
-    model = spark.sparkContext.broadcast(_forest_arrays(forest.toPandas()))
-    names, norm = list(features), average_path(sample)
-    cols = [ID, *keep]
+    return score
 
-    def score(batches):
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
-            total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feature, threshold, left, right, path in model.value:
-                at = np.zeros(len(x), dtype=np.int64)
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_left = x[rows, np.maximum(f, 0)] <= threshold[at]
-                    at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-                total += path[at]
-            out = pdf[cols].copy()
-            out[name] = 2.0 ** (-total / len(model.value) / norm)
-            yield out
 
-    schema = T.StructType([*df.select(*cols).schema.fields, T.StructField(name, T.DoubleType())])
-    return df.select(*cols, *[f for f in names if f not in cols]).mapInPandas(score, schema)
+def score_isolation_forest(df: DataFrame, forest: DataFrame, features, name="isolation_raw") -> DataFrame:
+    """Add the anomaly score of each event."""
+    score = vector_scorer(df.sparkSession, isolation_scores, _forest_arrays(forest.toPandas()))
+    return df.withColumn(name, score(F.array(*[F.col(f).cast("double") for f in features])))
 
 
 def minmax(df: DataFrame, column, name) -> DataFrame:
@@ -144,9 +163,9 @@ def fourier(x, weights, shifts):
     return np.cos(x @ weights.T + shifts) * math.sqrt(2.0 / len(shifts))
 
 
-def fit_one_class(normal: DataFrame, features, sample=None, seed=42):
+def fit_one_class(normal: DataFrame, features, sample=None, seed=42, components=512):
     """Mean embedding of all normal events (or of a uniform ``sample``): per-batch sums on the executors, one vector on the driver."""
-    weights, shifts = random_fourier(len(features), seed=seed)
+    weights, shifts = random_fourier(len(features), components, seed)
     names = list(features)
     train = normal.select(ID, *names) if sample is None else uniform_sample(normal.select(ID, *names), sample, seed)
 
@@ -162,23 +181,19 @@ def fit_one_class(normal: DataFrame, features, sample=None, seed=42):
     return weights, shifts, row["z"].toArray() / max(row["n"], 1)
 
 
-def one_class_score(df: DataFrame, model, features, name="one_class_raw", keep=()) -> DataFrame:
+def one_class_distances(model, x):
+    weights, shifts, centre = model
+    return -(fourier(x, weights, shifts) @ centre)
+
+
+def one_class_score(df: DataFrame, model, features, name="one_class_raw") -> DataFrame:
     """Distance from normal behaviour: minus the mean RBF similarity to the normal events.
 
     The similarity is a dot product with the mean embedding of the normal events. This is the
     uniform-weight (Parzen) one-class rule; the support-vector weights of a kernel machine are not solved.
     """
-    weights, shifts, centre = model
-    names, cols = list(features), [ID, *keep]
-
-    def score(batches):
-        for pdf in batches:
-            out = pdf[cols].copy()
-            out[name] = -(fourier(pdf[names].to_numpy(dtype=float), weights, shifts) @ centre)
-            yield out
-
-    schema = T.StructType([*df.select(*cols).schema.fields, T.StructField(name, T.DoubleType())])
-    return df.select(*cols, *[f for f in names if f not in cols]).mapInPandas(score, schema)
+    score = vector_scorer(df.sparkSession, one_class_distances, model)
+    return df.withColumn(name, score(F.array(*[F.col(f).cast("double") for f in features])))
 
 
 # --- sequence reconstruction ------------------------------------------------------------------------------
@@ -238,23 +253,30 @@ def training_windows(scaled: DataFrame, features, segments: EntitySegments) -> D
     return sequence_vectors(normal, features, own)
 
 
-def score_sequences(scaled: DataFrame, features, segments: EntitySegments, kind="principal") -> DataFrame:
-    """Event scores 0..1 from window reconstruction; threshold = 97.5th percentile of the training errors.
-
-    ``kind``: ``principal`` (linear autoencoder) or ``prototype`` (nearest typical window). Fitted on all windows of
-    the normal train events.
-    """
+def fit_sequences(scaled: DataFrame, features, segments: EntitySegments, kind="principal"):
+    """(models, threshold) from all windows of the normal train events; the threshold is the 97.5th percentile of their
+    errors, a table of one row. ``kind``: ``principal`` (linear autoencoder) or ``prototype`` (nearest typical window)."""
     train = materialize(training_windows(scaled, features, segments), "train-windows")
-    windows = sequence_vectors(scaled, features, segments)
-    if kind == "principal":
-        model, errors = fit_principal(train), principal_error
-    else:
-        model, errors = fit_prototypes(train), prototype_error
-    train_errors = errors(train, model).select(F.lit("normal").alias("label"), "error")
-    threshold = materialize(normal_threshold(train_errors, "error"), "threshold")
-    found = materialize(errors(windows, model).select(ID, KEY, "end_position", "error"), "window-errors")
+    model = fit_principal(train) if kind == "principal" else (fit_prototypes(train),)
+    errors = window_errors(train, model).select(F.lit("normal").alias("label"), "error")
+    return model, materialize(normal_threshold(errors, "error"), "threshold")
+
+
+def window_errors(windows: DataFrame, model) -> DataFrame:
+    return principal_error(windows, model) if len(model) == 2 else prototype_error(windows, model[0])
+
+
+def apply_sequences(scaled: DataFrame, features, segments: EntitySegments, model, threshold: DataFrame) -> DataFrame:
+    """(event, entity, label, error, score, threshold) of every event of a frame: 0..1 against its own maximum."""
+    found = window_errors(sequence_vectors(scaled, features, segments), model).select(ID, KEY, "end_position", "error")
     events = scaled.select(ID, KEY, "timestamp", "label")
-    mapped = map_window_error(events, found, segments)
+    mapped = map_window_error(events, materialize(found, "window-errors"), segments)
     mapped = materialize(mapped.select(ID, KEY, "label", "event_error"), "event-errors")
     return normalise_error(mapped, "event_error", threshold, "sequence_score").crossJoin(
         F.broadcast(threshold.select("threshold")))
+
+
+def score_sequences(scaled: DataFrame, features, segments: EntitySegments, kind="principal") -> DataFrame:
+    """Event scores 0..1 from window reconstruction, fitted on the normal train events (columns ``split``, ``label``)."""
+    model, threshold = fit_sequences(scaled, features, segments, kind)
+    return apply_sequences(scaled, features, segments, model, threshold)

@@ -29,6 +29,14 @@ class CategoryEncoder:
             small[r["c"]].append((r["v"], len(small[r["c"]])))
         return cls(df.sparkSession, small, {})
 
+    @classmethod
+    def of(cls, dictionaries):
+        """An encoder from stored dictionaries: column -> DataFrame (value, code)."""
+        spark = next(iter(dictionaries.values())).sparkSession
+        held = {c: small_rows(d) for c, d in dictionaries.items()}
+        return cls(spark, {c: [(r[c], r["code"]) for r in rows] for c, rows in held.items() if rows is not None},
+                   {c: dictionaries[c] for c, rows in held.items() if rows is None})
+
     def dictionary(self, column) -> DataFrame:
         if column in self.large:
             return self.large[column]

@@ -75,6 +75,74 @@ def entity_features(df: DataFrame, segments: EntitySegments) -> DataFrame:
     }).drop(*stats)
 
 
+def entity_history(log: DataFrame):
+    """What a batch needs to know of the events before it: (entities, resources), both mergeable.
+
+    ``entities``: count, sums and sums of squares of hour and duration, and the last event; ``resources``: the distinct
+    (entity, resource) pairs. States of two parts of a log merge to the state of both, so a new day reads no old event.
+    """
+    df = scalar_features(log)
+    hour, duration = F.col("hour").cast("long"), F.col("session_duration").cast("decimal(20,0)")
+    entities = df.groupBy(KEY).agg(
+        F.count("*").alias("n"), F.sum(hour).alias("hour_sum"), F.sum(hour * hour).alias("hour_sq"),
+        F.count("session_duration").alias("duration_n"), F.sum(duration).cast("decimal(38,0)").alias("duration_sum"),
+        F.sum((duration * duration).cast("decimal(38,0)")).cast("decimal(38,0)").alias("duration_sq"),
+        F.max(F.struct(TS, ID, "latitude", "longitude")).alias("last"))
+    return entities, df.select(KEY, "resource_accessed").distinct()
+
+
+def merge_history(first, second):
+    """The state of both parts, in any order of time."""
+    total = lambda c: F.sum(c).cast("decimal(38,0)" if c.startswith("duration_s") else "long").alias(c)
+    entities = first[0].unionByName(second[0]).groupBy(KEY).agg(
+        *[total(c) for c in ("n", "hour_sum", "hour_sq", "duration_n", "duration_sum", "duration_sq")], F.max("last").alias("last"))
+    return entities, first[1].unionByName(second[1]).distinct()
+
+
+def _moments(n, total, squares):
+    """Mean and sample deviation from exact sums; null without, or with too few, values."""
+    n, total, squares = (F.col(c).cast("double") for c in (n, total, squares))
+    mean = F.try_divide(total, n)
+    spread = F.when(n > 1, F.sqrt(F.greatest(squares - total * mean, F.lit(0.0)) / (n - 1)))
+    return mean, spread
+
+
+def features_after(history, batch: DataFrame, segments: EntitySegments) -> DataFrame:
+    """Features of a batch that go on where ``history`` ends: counts, resources seen and the last position carry over,
+    and deviations are taken from the history, so they are causal. An entity without history starts here; its deviations
+    are taken from the batch, as with the batch scope."""
+    entities, resources = history
+    hour_mean, hour_std = _moments("n", "hour_sum", "hour_sq")
+    dur_mean, dur_std = _moments("duration_n", "duration_sum", "duration_sq")
+    known = entities.join(resources.groupBy(KEY).agg(F.count("*").alias("_had")), KEY, "left").select(
+        KEY, F.col("n").alias("_n"), F.coalesce("_had", F.lit(0)).alias("_had"), F.col("last").alias("_last"),
+        hour_mean.alias("_h_mean"), hour_std.alias("_h_std"), dur_mean.alias("_d_mean"), dur_std.alias("_d_std"))
+    df = entity_features(scalar_features(batch), segments)
+    # First sight in the batch of a resource that the history has does not count as new.
+    seen = resources.withColumn("_old", F.lit(1))
+    firsts = df.groupBy(KEY, "resource_accessed").agg(F.min(F.struct(TS, ID)).alias("_at")).join(seen, [KEY, "resource_accessed"])
+    repeats = firsts.select(KEY, F.col("_at")[ID].alias(ID), F.lit(1).cast("long").alias("_repeat"))
+    df = segments.lookup(df, known).join(repeats, [KEY, ID], "left")
+    df = segments.running(df, "_repeats", F.coalesce("_repeat", F.lit(0)))
+    had = F.col("_n").isNotNull()
+    first = had & (F.col("entity_event_count") == 1)
+    gap = F.greatest((epoch_micros(TS) - epoch_micros(f"_last.{TS}")) / 1e6, F.lit(0.0))
+    km = haversine_km(F.col("_last")["latitude"], F.col("_last")["longitude"], F.col("latitude"), F.col("longitude"))
+    df = df.withColumns({
+        "time_gap_seconds": F.when(first, gap).otherwise(F.col("time_gap_seconds")),
+        "geo_distance_km": F.when(first, F.coalesce(km, F.lit(0.0))).otherwise(F.col("geo_distance_km"))})
+    deviation = lambda value, mean, std: F.abs(F.col(value) - F.col(mean)) / F.greatest(
+        F.coalesce(F.col(std), F.lit(1.0)), F.lit(0.1))
+    return df.withColumns({
+        "log_time_gap": F.log1p("time_gap_seconds"),
+        "geo_velocity_kmh": F.when(F.col("time_gap_seconds") > 0, F.col("geo_distance_km") / (F.col("time_gap_seconds") / 3600)).otherwise(0.0),
+        "hour_deviation": F.when(had, deviation("hour", "_h_mean", "_h_std")).otherwise(F.col("hour_deviation")),
+        "duration_deviation": F.when(had, deviation("session_duration", "_d_mean", "_d_std")).otherwise(F.col("duration_deviation")),
+        "cumulative_unique_resources": (F.col("cumulative_unique_resources") - F.col("_repeats") + F.coalesce("_had", F.lit(0))).cast("long"),
+        "entity_event_count": (F.col("entity_event_count") + F.coalesce("_n", F.lit(0))).cast("long"),
+    }).drop("_n", "_had", "_last", "_h_mean", "_h_std", "_d_mean", "_d_std", "_repeat", "_repeats")
+
+
 ENCODED = {"entity_type": "entity_type_enc", "auth_method": "auth_method_enc", "resource_accessed": "resource_enc"}
 
 

@@ -4,11 +4,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from accesslens.functions.scalar import epoch_seconds, has_suspicious_cmd
 from accesslens.operators.profiles import modal_value, normal_only, top_values
-from accesslens.plans.lookup import small_rows
+from accesslens.plans.lookup import SALTS
+from accesslens.plans.ranks import dense_codes
 from accesslens.plans.segments import KEY, TS, EntitySegments
+from accesslens.session import materialize
 
 WEEK = 7 * 86400
 
+#: Names in a page of the resource dictionary.
+CODE_PAGE = 1024
+
 
 def brute_force(log: DataFrame, min_fails=10, span=300, bucket=3600) -> DataFrame:
     """Seconds at which one entity and address reached ``min_fails`` failures within ``span`` seconds.
@@ -63,18 +68,30 @@ def unusual_accesses(log: DataFrame, *extra) -> DataFrame:
 def unused_resources(log: DataFrame) -> DataFrame:
     """Resources of the common pool that are not among an entity's ten usual ones.
 
-    The pool is a short reference list (checked); it travels as one array and each entity takes the
-    difference. A pool beyond the limit is paired by a join instead, as the result then has that size anyway.
+    Resources are coded by rank, and an entity's ten codes are removed from the code range: what is left are the runs of
+    codes between them, at most eleven per entity. The runs meet the dictionary page by page, each page an array of
+    ``CODE_PAGE`` names, so rows multiply only in the last step, which makes the result itself.
     """
     usual = top_values(normal_only(log), [KEY], "resource_accessed", 10).select(KEY, "resource_accessed")
-    pool = log.select("resource_accessed").distinct()
-    rows = small_rows(pool)
-    if rows is None:
-        entities = usual.select(KEY).distinct()
-        return entities.join(pool, how="cross").join(usual, [KEY, "resource_accessed"], "left_anti")
-    names = F.array(*[F.lit(r[0]) for r in sorted(rows)])
-    return (usual.groupBy(KEY).agg(F.collect_list("resource_accessed").alias("usual"))
-            .select(KEY, F.explode(F.array_except(names, "usual")).alias("resource_accessed")))
+    codes = materialize(dense_codes(log, "resource_accessed"), "resource-codes")
+    size = codes.count()
+    coded = usual.join(codes, "resource_accessed")
+    held = coded.groupBy(KEY).agg(F.sort_array(F.collect_list("code")).alias("_c"))
+    edges = F.concat(F.array(F.lit(-1).cast("long")), F.col("_c"), F.array(F.lit(size).cast("long")))
+    runs = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1),
+                      lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    runs = held.select(KEY, F.explode(F.filter(runs, lambda r: r["first"] <= r["last"])).alias("r")).select(KEY, "r.*")
+    page = lambda c: F.floor(F.col(c) / CODE_PAGE)
+    cut = runs.withColumn("page", F.explode(F.sequence(page("first"), page("last"))))
+    pages = codes.groupBy(page("code").alias("page")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("code", "resource_accessed"))), lambda s: s["resource_accessed"]).alias("names"))
+    low = F.greatest(F.col("first") - F.col("page") * CODE_PAGE, F.lit(0))
+    high = F.least(F.col("last") - F.col("page") * CODE_PAGE, F.lit(CODE_PAGE - 1))
+    # Every page may be wanted by every entity, so its copies are spread.
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64(KEY), F.lit(SALTS)).cast("int"))
+    copies = pages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["page", "salt"]).select(
+        KEY, F.explode(F.slice("names", (low + 1).cast("int"), (high - low + 1).cast("int"))).alias("resource_accessed"))
 
 
 def lateral_movement(log: DataFrame, min_resources=5) -> DataFrame:

@@ -6,6 +6,7 @@ from accesslens import constants as C
 from accesslens.functions.scalar import epoch_micros, geo_part, hash_uniform
 from accesslens.plans.ranks import cut_rows, minute_of_micros, within_cut
 from accesslens.plans.segments import ID, KEY, TS, EntitySegments, with_lead
+from accesslens.sources.access_log import read_access_log, write_access_log
 
 
 def by_risk():
@@ -59,6 +60,15 @@ def temporal_split(log: DataFrame, share=0.8) -> DataFrame:
     return log.withColumn("split", F.when(within_cut(epoch_micros(TS), ID, cut), "train").otherwise("test"))
 
 
+def write_parts(log: DataFrame, path, fmt="csv", share=0.8):
+    """Write the whole log and its train (first ``share`` by time) and test parts below ``path``: full, train, test."""
+    write_access_log(log, f"{path}/full", fmt)
+    # The parts are cut from the written rows, so they always add up to them.
+    parts = temporal_split(read_access_log(log.sparkSession, f"{path}/full", fmt), share)
+    for name in ("train", "test"):
+        write_access_log(parts.where(F.col("split") == name), f"{path}/{name}", fmt)
+
+
 def replay_prefix(log: DataFrame, rows) -> DataFrame:
     """The first ``rows`` events by time."""
     cut = _time_cut(log, min(rows, log.count()))
