@@ -13,8 +13,6 @@ from accesslens.llm.texthash import mix, shingle_sets
 WORDS, PERCENT = 4, 85
 #: A shingle of at most so many different sets is rare and indexed alone; one of more is indexed in pairs.
 RARE = 64
-#: Of 2**62 hash values out of 2**64: the shingles by which documents without any partner are found first.
-_POSTED = np.uint64(62)
 BUCKET_TOKENS = 1_000_000
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 17
 
@@ -67,10 +65,10 @@ def _summary(docs, words):
     return docs.mapInArrow(run, "doc_id long, text_key long, n long, set_id long")
 
 
-def _unshared(docs, words, buckets):
-    """(set_id, unshared): how many of a set's posted shingles surely no other set has.
+def _unshared(docs, words, buckets, bits=62):
+    """(set_id, unshared): how many of a set's posted shingles surely no other set of ``docs`` has.
 
-    Posted are the shingles below a quarter of the hash range. A piece of a partition sends each of them once: with its
+    Posted are the shingles below 2**``bits`` of 2**64: a quarter of them by default. A piece of a partition sends each of them once: with its
     set if one set of the piece has it, without if several do. So a shingle of many documents costs a task few bytes.
     What a piece knows to be shared it counts itself; the buckets of shingles add those that other pieces have too. If
     equal sets stand in several pieces, the least count of a piece holds: each further one is met in a bucket.
@@ -81,7 +79,7 @@ def _unshared(docs, words, buckets):
             if not different:
                 continue
             ids = np.array([set_id(s) for s in different.values()], np.int64)
-            posted = [s[s >> _POSTED == 0] for s in different.values()]
+            posted = [s if bits == 64 else s[s >> np.uint64(bits) == 0] for s in different.values()]
             size = np.array([len(p) for p in posted])
             at, token = np.repeat(np.arange(len(ids)), size), np.concatenate(posted)
             order = np.argsort(token, kind="stable")
@@ -90,7 +88,7 @@ def _unshared(docs, words, buckets):
             single = first & np.concatenate((first[1:], [True]))[:len(token)]
             known = np.bincount(at[~single], minlength=len(ids))
             shared, token, owner = token[first & ~single], token[single], ids[at[single]]
-            ends = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 62) // buckets)
+            ends = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << bits) // buckets)
             rows = [np.split(v, np.searchsorted(by, ends)) for v, by in ((token, token), (owner, token), (shared, shared))]
             # The counts of the piece go to buckets of sets, which follow those of shingles.
             home = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
@@ -135,7 +133,13 @@ def _token_sets(rows, words):
                 [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_id", "n", "tokens"])
 
-    return rows.mapInArrow(run, "set_id long, n long, tokens array<long>").dropDuplicates(["set_id"])
+    sets = stored(rows.mapInArrow(run, "set_id long, n long, tokens array<long>"), "ngram-sets")
+    # A set comes twice only if a row repeats; the long token lists of all others are not shuffled for that.
+    twice = stored(sets.groupBy("set_id").count().where("count > 1").select("set_id"), "ngram-twice")
+    if twice.isEmpty():
+        return sets
+    return stored(sets.join(twice, "set_id", "left_anti").unionByName(
+        sets.join(twice, "set_id", "left_semi").dropDuplicates(["set_id"])), "ngram-sets")
 
 
 def _index(sets, percent, rare):
@@ -253,7 +257,8 @@ def linked_rows(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PER
     """(doc_id, text_key, n_shingles, component) of every row; rows of one component are linked, null is an empty set.
 
     1. Every text becomes its set of shingles; rows of equal sets are one node from here on.
-    2. A node whose posted shingles are its own beyond its slack has no partner and goes (exact, most nodes).
+    2. A node whose posted shingles are its own beyond its slack has no partner and goes (exact, most nodes): first by a
+       quarter of the shingles of all nodes, then by all shingles of the nodes that are left.
     3. The others are indexed by ``signatures``. Each entry's first node is compared with the others of that entry.
     4. Entries whose nodes are not all connected then are compared in full: small ones pair by pair, large ones in blocks
        by matrix products. Nodes already connected need no comparison, so a group of near copies costs little.
@@ -273,9 +278,16 @@ def linked_rows(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PER
              .where(F.coalesce("unshared", F.lit(0)) <= _slack(F.col("n"), percent))
              .select("set_id", "n", F.col("r.doc_id").alias("rid"), F.col("r.text_key").alias("rkey")))
     nodes = stored(nodes, "ngram-nodes")
-    sets = stored(_token_sets(
-        source.join(nodes, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_key") == F.col("rkey")))
-        .select("set_id", "n", "text"), words), "ngram-sets")
+
+    def texts(chosen):
+        return source.join(chosen, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_key") == F.col("rkey"))).select(
+            "set_id", "n", "text")
+
+    # Any partner is among the nodes left, so all shingles of these, and only these, decide once more.
+    held = nodes.agg(F.sum("n")).first()[0] or 0
+    nodes = stored(nodes.join(_unshared(texts(nodes), words, max(8, math.ceil(held / BUCKET_TOKENS)), 64), "set_id", "left")
+                   .where(F.coalesce("unshared", F.lit(0)) <= _slack(F.col("n"), percent)).drop("unshared"), "ngram-nodes")
+    sets = _token_sets(texts(nodes), words)
     index = stored(_index(sets, percent, rare), "ngram-index")
     hubs = index.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("h"), F.count("*").alias("m")).where("m > 1")
     stars = (index.join(hubs.select("sig", F.col("h.set_id").alias("hub"), F.col("h.n").alias("hn")), "sig")
