@@ -13,13 +13,26 @@ from accesslens.llm.common import pieces
 from accesslens.llm.texthash import window_hashes
 
 WIDTH, SCALE = 16, 16
+#: A text of at most so many windows keeps all hashes: a sixteenth of so few would say little, or nothing.
+WHOLE = 512
+#: At most so many parts, whose ends the driver holds.
+MAX_PARTS = 20_000
 _LEAST = -(1 << 63)
 
 
 def sketch(text, width=WIDTH, scale=SCALE):
-    """Sorted distinct hashes (upper 32 bits below 2**32/scale kept as found) of all byte windows under the threshold."""
-    hashes = window_hashes((text or "").encode(), width) >> np.uint64(32)
-    return np.unique(hashes[hashes < (1 << 32) // scale]).astype(np.uint32)
+    """The scale of the text, then its sorted distinct hashes (32 bits) below 2**32 / scale of all byte windows.
+
+    Two fixed fractions: all hashes of texts of up to ``WHOLE`` windows, one in ``scale`` of longer ones. A text shorter
+    than a window is one window as a whole. An empty text has no hashes.
+    """
+    data = (text or "").encode()
+    if len(data) < width:
+        found = np.frombuffer(hashlib.blake2b(data, digest_size=4).digest(), "<u4") if data else np.empty(0, np.uint32)
+        return np.concatenate([np.array([1], np.uint32), found.astype(np.uint32)])
+    own = 1 if len(data) - width + 1 <= WHOLE else scale
+    hashes = window_hashes(data, width) >> np.uint64(32)
+    return np.concatenate([np.array([own], np.uint32), np.unique(hashes[hashes < (1 << 32) // own]).astype(np.uint32)])
 
 
 def to_text(hashes):
@@ -30,27 +43,44 @@ def from_text(fingerprint):
     return np.frombuffer(base64.b64decode(fingerprint or ""), "<u4")
 
 
+def _aligned(a, b):
+    """The hashes of both sketches under the threshold that both hold, and its scale."""
+    scale = max(int(a[0]) if len(a) else 1, int(b[0]) if len(b) else 1)
+    limit = (1 << 32) // scale
+    return a[1:][a[1:] < limit], b[1:][b[1:] < limit], scale
+
+
 def merge(a, b):
     """The sketch of both documents together."""
-    return np.union1d(a, b)
+    x, y, scale = _aligned(a, b)
+    return np.concatenate([np.array([scale], np.uint32), np.union1d(x, y).astype(np.uint32)])
 
 
 def resemblance(a, b):
-    """Estimated Jaccard likeness; two empty sketches (texts too short or empty) count as alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    union = len(a) + len(b) - both
-    return both / union if union else 1.0
+    """Estimated Jaccard likeness, exact between short texts. Two empty texts are alike; a text without a hash under the
+    other's threshold is like it only if both are equal."""
+    x, y, _ = _aligned(a, b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    return both / union if union else float(np.array_equal(a, b))
 
 
 def containment(a, b):
-    """Estimated share of a's shingles that b has; an empty sketch is contained in any."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+    """Estimated share of a's shingles that b has; an empty text is contained in any.
+
+    Where no hash of a is under b's threshold, the share is unknown: 1 for equal sketches, else 0.
+    """
+    x, y, _ = _aligned(a, b)
+    if len(x):
+        return len(np.intersect1d(x, y, assume_unique=True)) / len(x)
+    return 1.0 if len(a) <= 1 else float(np.array_equal(a, b))
 
 
 def fingerprints(docs, id_col="doc_id", text_col="text", width=WIDTH, scale=SCALE):
     """(doc_id, n_chars, fingerprint) of every row over its whole text; a null text counts as empty, its sketch too.
 
-    Every shingle hash below 1/scale of the hash range is kept, so sketches of texts of any length compare and merge.
+    Every shingle hash below 1/scale of the hash range is kept (all of a short text), so sketches of texts of any length
+    compare and merge.
     """
     def run(batches):
         for ids, texts in pieces(batches):
@@ -82,13 +112,13 @@ def resemblance_column(a, b):
 def in_descending_order(docs, id_col="doc_id", text_col="text", rows_per_part=4000):
     """The rows of ``docs`` as (part, ahead, key, doc_id, text), each part sorted by descending id (nulls last, then text).
 
-    Parts are ranges of ids whose upper ends are ids that occur (one number for each ``rows_per_part`` rows on the
-    driver). The first row of each part also goes, marked ``ahead``, to the end of the part before it, and the very
+    Parts are ranges of ids whose upper ends are ids that occur (at most ``MAX_PARTS`` numbers on the driver; rows of a
+    part are streamed, so its size does not bound memory). The first row of each part also goes, marked ``ahead``, to the end of the part before it, and the very
     first to the last part: so the successor of every row lies in its part and the texts are shuffled once.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("key"),
                        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = max(1, math.ceil(rows.count() / rows_per_part))
+    parts = max(1, min(MAX_PARTS, math.ceil(rows.count() / rows_per_part)))
     ends = rows.agg(F.percentile_approx("key", [(k + 1) / parts for k in range(parts)],
                                         max(10_000, 10 * parts)).alias("ends"), F.max("key").alias("top")).first()
     heads = np.array(sorted({*(ends["ends"] or []), ends["top"] if ends["top"] is not None else 0}), np.int64)
@@ -113,7 +143,8 @@ def edited(text, following):
 
 
 def fingerprints_with_edits(docs, id_col="doc_id", text_col="text"):
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
+    contained_edited: the share of the document's shingles that the edited text still has.
 
     The next document is the one with the next smaller id (after the last: the first; repeated ids by text; null ids
     last). A single row follows itself. An empty input gives an empty result.
@@ -132,18 +163,18 @@ def fingerprints_with_edits(docs, id_col="doc_id", text_col="text"):
                     changed = edited(wtext, text)
                     other = sketch(changed)
                     rows.append((wid, len(wtext), hashlib.sha256(changed.encode()).hexdigest(), to_text(wown),
-                                 to_text(other), resemblance(wown, other), resemblance(wown, own)))
+                                 to_text(other), resemblance(wown, other), resemblance(wown, own), containment(wown, other)))
                 if ahead:
                     waiting, done = None, part
                 else:
                     waiting = (part, doc_id, text, own)
-            columns = list(zip(*rows)) if rows else [[]] * 7
+            columns = list(zip(*rows)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(),
-                                                          pa.float64(), pa.float64()))],
+                                                          pa.float64(), pa.float64(), pa.float64()))],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-                       "near_next"])
+                       "near_next", "contained_edited"])
 
     return in_descending_order(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-             "near_edited double, near_next double")
+             "near_edited double, near_next double, contained_edited double")

@@ -16,7 +16,17 @@ _SLACK = 1e-9
 
 
 def _matrix(column, dim):
-    return column.values.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float) if len(column) else np.empty((0, dim))
+    """Rows of a list column, each scaled by a power of two to a largest component of about 1.
+
+    Cosines stay as they are, to the last bit, and squares neither underflow nor overflow.
+    """
+    if not len(column):
+        return np.empty((0, dim))
+    x = column.values.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+    exponent = np.frexp(np.abs(x).max(axis=1))[1]
+    # Two steps: 2 ** 1074 alone is no double.
+    half = exponent // 2
+    return np.ldexp(np.ldexp(x, -half[:, None]), (half - exponent)[:, None])
 
 
 def principal_axes(unique, dim):
@@ -33,7 +43,10 @@ def principal_axes(unique, dim):
     sums = [F.sum(F.get("row", F.lit(j))) for j in range(dim)]
     rows = (unique.select("embedding").mapInArrow(moments, "i int, row array<double>")
             .groupBy("i").agg(F.array(*sums).alias("row")).orderBy("i").collect())
-    return np.linalg.eigh(np.array([r["row"] for r in rows]))[1][:, ::-1]
+    axes = np.linalg.eigh(np.array([r["row"] for r in rows]))[1][:, ::-1]
+    if not np.isfinite(axes).all():
+        raise ValueError("principal axes are not finite")
+    return axes
 
 
 def tile_links(x, y, threshold):

@@ -417,6 +417,19 @@ def test_fingerprints(spark, real):
         assert (sketch(text) == from_text(r["fingerprint"])).all()
     a, b = "the quick brown fox " * 3 + "x" * 4000, " ".join(f"word{i}" for i in range(4000))
     assert containment(sketch(b), merge(sketch(a), sketch(b))) == 1.0
+    # Short texts are compared exactly, and texts shorter than a window as a whole.
+    assert resemblance(sketch("call me now"), sketch("Eser thed nt of.")) == 0.0
+    assert resemblance(sketch("call me now"), sketch("call me now")) == resemblance(sketch(""), sketch(None)) == 1.0
+    assert resemblance(sketch(""), sketch("x")) == 0.0 and containment(sketch(""), sketch("x")) == 1.0
+    rng = random.Random(3)
+    for n, m in ((40, 60), (300, 500), (400, 3000), (5000, 9000)):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(m))
+        part, whole = base[:n], base
+        windows = [{t[i:i + 16] for i in range(len(t) - 15)} for t in (part, whole)]
+        exact = len(windows[0] & windows[1]) / len(windows[0] | windows[1])
+        tolerance = 1e-9 if m <= 500 else 0.12
+        assert abs(resemblance(sketch(part), sketch(whole)) - exact) <= tolerance
+        assert containment(sketch(part), sketch(whole)) == 1.0
     assert fingerprints_with_edits(empty_docs(spark)).collect() == []
     assert fingerprints_with_edits(odd_docs(spark)).count() == odd_docs(spark).count()
 
@@ -517,3 +530,29 @@ def test_registered_queries(spark):
         schema = E.queries()[name](spark, SF).schema
         key = "vec_id" if name.startswith("op5") else "doc_id"
         assert isinstance(schema[key].dataType, integers)
+
+
+def test_near_vectors_of_any_size(spark):
+    """Tiny, huge and subnormal components: cosines are those of the directions, and no vector spoils another's links."""
+    from accesslens.llm.near_vectors import near_vectors
+
+    rows = [(1, [1e-200, 1e-200]), (2, [1.0, 2.0]), (3, [2.0, 4.0]), (4, [1e200, 1e200]), (5, [1.0, 1.0]), (6, [5e-324, 0.0]),
+            (7, [1e308, 0.0]), (8, [-1e308, 1e300]), (9, [0.0, 0.0]), (10, [3e-310, 3e-310])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in
+             near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.95).collect()}
+    assert {i for i, (_, c) in found.items() if c == 1} == {1, 4, 5, 10} | {i for i in (2, 3) if found[i][1] == 1}
+    assert found[2][1] == found[3][1] and found[6] == found[7] == (1, 6)
+    assert found[8] == (0, 8) and found[9] == (0, 9)
+
+
+def test_very_long_text_is_stitched(spark):
+    """A text above the step size gives the same shingles and links as its plain set."""
+    from accesslens.llm.ngram_join import ngram_join
+
+    words = [f"w{(i * 7919) % 300_007}" for i in range(400_000)]
+    long = " ".join(words)
+    assert len(long) > 2_500_000
+    rows = ngram_join(docs_of(spark, [(1, long), (2, long + " more words at the end"), (3, "a b c d e")])).collect()
+    expected = len(set(zip(words, words[1:], words[2:], words[3:])))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
+    assert found[1] == (expected, 1) and found[2][1] == 1 and found[3] == (2, 3)
