@@ -92,34 +92,68 @@ def patience(a, b):
     return sorted(out)
 
 
-def common_blocks(a, a_words, b, b_words, least=LEAST_WORDS):
-    """Stretches (start, end) of ``b`` to delete: aligned blocks of ``least`` words, and such blocks that stand elsewhere.
-
-    Patience alignment gives the blocks in common order. A block that moved against them lies across the alignment;
-    its line runs are looked up in ``a`` by the same hashes that made the pair, so no common block is left.
-    """
-    if a == b:
-        return [(0, len(b))]
-    sums = np.concatenate(([0], np.cumsum(b_words))).tolist()
+def _blocks(matched, sums, least, at=0):
+    """Stretches (start, end) of consecutive matched lines with ``least`` words; ``sums``: words before each line."""
     out, start = [], None
-    matched = patience(a, b)
     for k, (i, j) in enumerate(matched):
         if start is None:
             start = j
         if k + 1 == len(matched) or matched[k + 1] != (i + 1, j + 1):
-            if sums[j + 1] - sums[start] >= least:
-                out.append((start, j + 1))
+            if sums[at + j + 1] - sums[at + start] >= least:
+                out.append((at + start, at + j + 1))
+            start = None
+    return out
+
+
+def _open_stretches(b, taken, follows, sums, least):
+    """Maximal stretches of lines not taken whose every neighbouring pair stands in the earlier document as well."""
+    out, start = [], None
+    for j in range(len(b) + 1):
+        if start is not None and (j == len(b) or taken[j] or b[j] not in follows.get(b[j - 1], ())):
+            if sums[j] - sums[start] >= least:
+                out.append((start, j))
             start = None
+        if start is None and j < len(b) and not taken[j] and b[j] in follows:
+            start = j
+    return out
+
+
+def common_blocks(a, b, b_words, least=LEAST_WORDS):
+    """Stretches (start, end) of ``b`` to delete: the aligned blocks of ``least`` words.
+
+    The first patience alignment gives the blocks in common order. Blocks that moved, or that ``b`` repeats, lie across
+    it: what is left and could be one (every neighbouring pair of lines stands in ``a``) is aligned once more with the
+    parts of ``a`` that agree with it around its rarest line. The longest block goes, and both sides of it, or of the
+    line if it stands in no block, are treated alike.
+    """
+    if a == b:
+        return [(0, len(b))]
+    sums = np.concatenate(([0], np.cumsum(b_words))).tolist()
+    out = _blocks(patience(a, b), sums, least)
     taken = np.zeros(len(b) + 1, bool)
     for s, e in out:
         taken[s:e] = True
-    theirs = set(run_hashes(a, a_words, least)[0].tolist())
-    for run, s in zip(*(x.tolist() for x in run_hashes(b, b_words, least))):
-        if run in theirs:
-            e = bisect.bisect_left(sums, sums[s] + least)
-            if not taken[s:e].all():
-                out.append((s, e))
-                taken[s:e] = True
+    follows, where = {}, {}
+    for i, line in enumerate(a):
+        where.setdefault(line, []).append(i)
+        follows.setdefault(line, set()).update(a[i + 1:i + 2])
+    todo = _open_stretches(b, taken, follows, sums, least)
+    while todo:
+        low, high = todo.pop()
+        rare = min(range(low, high), key=lambda j: len(where[b[j]]))
+        best = None
+        for p in where[b[rare]]:
+            s, e = rare, rare + 1
+            while s > low and p - (rare - s) > 0 and a[p - (rare - s) - 1] == b[s - 1]:
+                s -= 1
+            while e < high and p + (e - rare) < len(a) and a[p + (e - rare)] == b[e]:
+                e += 1
+            if sums[e] - sums[s] >= least and (best is None or e - s > best[1] - best[0]):
+                best = next(iter(_blocks(patience(a[p - (rare - s):p + (e - rare)], b[s:e]), sums, least, s)), best)
+        if best is not None:
+            out.append(best)
+        s, e = best or (rare, rare + 1)
+        todo += [(x, y) for x, y in ((low, s), (e, high)) if sums[y] - sums[x] >= least]
     return out
 
 
@@ -157,8 +191,8 @@ def removed_blocks(docs, id_col="doc_id", text_col="text", least=LEAST_WORDS):
 
     def aligned(batches):
         for batch in batches:
-            k1, k2, a, aw, b, bw = (c.to_pylist() for c in batch.columns)
-            blocks = [common_blocks(*x, least) for x in zip(a, aw, b, bw)]
+            k1, k2, a, b, bw = (c.to_pylist() for c in batch.columns)
+            blocks = [common_blocks(*x, least) for x in zip(a, b, bw)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                  pa.array([[{"start": s, "end": e} for s, e in x] for x in blocks],
@@ -174,10 +208,9 @@ def removed_blocks(docs, id_col="doc_id", text_col="text", least=LEAST_WORDS):
     pairs = stored(rows.join(first, "run").where("k1 <> a1 or k2 <> a2").select("a1", "a2", "k1", "k2").distinct(),
                    "line-pairs")
     single = lines.dropDuplicates(["k1", "k2"])
-    earlier = single.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("lines").alias("a"),
-                            F.col("words").alias("aw"))
+    earlier = single.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("lines").alias("a"))
     found = (pairs.join(earlier, ["a1", "a2"]).join(single, ["k1", "k2"])
-             .select("k1", "k2", "a", "aw", "lines", "words")
+             .select("k1", "k2", "a", "lines", "words")
              .mapInArrow(aligned, f"k1 long, k2 long, blocks {block}"))
     return found.where(F.size("blocks") > 0).groupBy("k1", "k2").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
 

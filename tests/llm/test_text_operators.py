@@ -160,6 +160,43 @@ def test_line_dedup_against_brute_force(spark):
         seen.update(mine)
 
 
+def test_line_dedup_is_the_alignment(monkeypatch):
+    """Only aligned blocks go, moved and repeated ones too; without the alignment nothing is deleted."""
+    from accesslens.llm import line_dedup
+
+    rng = random.Random(9)
+    for trial in range(300):
+        pool = [" ".join(f"{trial}x{k}y{w}" for w in range(rng.choice((1, 2, 3, 9)))) for k in range(14)]
+        a = [rng.choice(pool) for _ in range(rng.randrange(1, 25))]
+        b = [rng.choice(pool) for _ in range(rng.randrange(1, 25))]
+        words = [len(x.split()) for x in b]
+        gone = line_dedup.common_blocks(a, b, words)
+        joined = "\n" + "\n".join(a) + "\n"
+        for s, e in gone:
+            assert sum(words[s:e]) >= 8 or a == b
+            assert "\n" + "\n".join(b[s:e]) + "\n" in joined
+        # No run of eight words that stands in a is left, but for parts of runs whose rest went with another block.
+        taken = {j for s, e in gone for j in range(s, e)}
+        for s in range(len(b)):
+            e = next((k for k in range(s + 1, len(b) + 1) if sum(words[s:k]) >= 8), None)
+            if e and not taken & set(range(s, e)):
+                assert "\n" + "\n".join(b[s:e]) + "\n" not in joined
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    long = [" ".join(f"{k}w{i}" for i in range(10)) for k in range(6)]
+    assert line_dedup.common_blocks(long, long[3:] + long[:3] + ["x"], [10] * 6 + [1]) == []
+
+
+def test_line_dedup_of_reversed_lines_is_fast():
+    import time
+
+    from accesslens.llm.line_dedup import common_blocks
+
+    a = [f"line {i}" for i in range(20_000)]
+    began = time.time()
+    assert sum(e - s for s, e in common_blocks(a, a[::-1], [9] * len(a))) == len(a)
+    assert time.time() - began < 20
+
+
 def test_line_dedup_edges(spark):
     from accesslens.llm.line_dedup import dedup_lines
 
