@@ -37,10 +37,12 @@ def quality(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Blocks of lines that an earlier document has are deleted; a document left without any word goes."""
+    """Blocks of lines that an earlier document has are deleted; a document that loses four fifths of its characters so
+    is a near copy of earlier ones and goes, as does one left without any word."""
     _prepare(spark)
-    kept = dedup_lines(docs).where((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
-    return _sized(kept, docs.columns)
+    found = dedup_lines(docs.withColumn("_whole", F.length("text")))
+    own = F.col("text").rlike(r"\S") & (5 * F.length("text") > F.col("_whole"))
+    return _sized(found.where((F.col("removed_lines") == 0) | own), docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
