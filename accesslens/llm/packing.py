@@ -13,6 +13,10 @@ from accesslens.llm.common import pieces
 
 #: Blank-separated pieces whose ids a worker remembers at most; beyond, the memory starts anew. It changes speed only.
 REMEMBERED = 1_500_000
+#: Longer pieces are encoded each time, so the memory of a worker is bounded in bytes as well.
+LONGEST = 64
+#: Documents in a sequence: limits of ``pack_documents``.
+SEGMENTS = 16
 _known, _tokenizers = {}, {}
 
 
@@ -22,7 +26,12 @@ def tokenizer(path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        one = Tokenizer.from_file(path)
+        ids = lambda text: one.encode(text, add_special_tokens=False).ids
+        for text in ("two words", "a\nb c\td", "x  y", " lead", "trail "):
+            if ids(text) != [i for word in text.replace("\n", " ").replace("\t", " ").split(" ") for i in ids(word)]:
+                raise ValueError(f"the tokens of {path} do not end at white space")
+        _tokenizers[path] = one
     return _tokenizers[path]
 
 
@@ -47,6 +56,9 @@ def word_ids(texts, path):
             for word, e in zip(new, encode(new, add_special_tokens=False)):
                 known[word] = array("I", e.ids).tobytes()
         out.append(b"".join(map(known.__getitem__, words)))
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
     return out
 
 
@@ -55,8 +67,7 @@ class Packer:
 
     An item is (key, start, tokens, loss): ``tokens`` ids of ``key`` from ``start``, of which ``loss`` bear loss. Every
     item adds one segment. Each dimension is scaled by its limit, so the dot product prefers items that use much of what
-    is plentiful in the bin. With ``cut``, an item may be cut anywhere (its loss is then spread in proportion, rounded
-    up), and a sequence that cannot reach ``tokens`` is cut into lengths that are powers of two, so nothing is padded.
+    is plentiful in the bin. With ``cut``, an item may be cut anywhere (its last ids bear the loss), and a sequence that cannot reach ``tokens`` is cut into lengths that are powers of two, so nothing is padded.
     """
 
     def __init__(self, tokens=2048, segments=128, loss=2048, cut=True, pool=4096):
@@ -76,8 +87,8 @@ class Packer:
             start, tokens, loss = start + top, tokens - top, loss - part
         # What still exceeds the limit on loss waits in parts that do not.
         while tokens and loss > self.limits[2]:
-            size = max(1, int(tokens * self.limits[2] // loss))
-            part = min(self._loss(loss, tokens, size), loss)
+            size = max(1, tokens - loss + int(self.limits[2]))
+            part = self._loss(loss, tokens, size)
             self.items.append((key, start, size, part))
             start, tokens, loss = start + size, tokens - size, loss - part
         if tokens:
@@ -87,7 +98,8 @@ class Packer:
 
     @staticmethod
     def _loss(loss, tokens, part):
-        return -(-loss * part // tokens)
+        """Loss-bearing ids among the first ``part``: the others come first."""
+        return max(0, part - (tokens - loss))
 
     def finish(self):
         self._pack(0)
@@ -113,11 +125,7 @@ class Packer:
                     # Cut the longest item to the tokens that are left, or to fewer where loss is short.
                     at = int(np.argmax(np.where(there, sizes[:, 0], -1)))
                     key, start, tokens, loss = items[at]
-                    size = int(min(left[0], tokens - 1))
-                    if loss:
-                        size = min(size, int(left[2] * tokens // loss))
-                        while size and self._loss(loss, tokens, size) > left[2]:
-                            size -= 1
+                    size = int(min(left[0], tokens - 1, tokens - loss + left[2]))
                     if size < 1:
                         break
                     part = self._loss(loss, tokens, size)
@@ -160,12 +168,15 @@ def pack_documents(docs, path, id_col="doc_id", text_col="text", end_id=1, **lim
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     Each task tokenizes its rows and packs them; a pool of waiting items bounds its memory, and texts are never
-    shuffled. Every id of a document but the first bears loss. ``sequence_id`` is the task's number times 2**33 plus a
+    shuffled. The first line of a document is taken as its prompt: its ids (the first id, if the text has one line) bear
+    no loss, all others do. A sequence holds at most 2048 ids, ``SEGMENTS`` pieces and 2048 loss-bearing ids; ``limits``
+    set others. ``sequence_id`` is the task's number times 2**33 plus a
     count, so it is unique, and a repeated task gives the same rows. A null or empty text is its end id alone; repeated
     rows and null ids are packed like others; an empty input gives an empty result; other columns are ignored.
     """
     def run(batches):
-        packer, waiting, number = Packer(**limits), {}, TaskContext.get().partitionId() << 33
+        packer, waiting = Packer(**{"segments": SEGMENTS, **limits}), {}
+        number = TaskContext.get().partitionId() << 33
         key = 0
 
         def out():
@@ -190,11 +201,13 @@ def pack_documents(docs, path, id_col="doc_id", text_col="text", end_id=1, **lim
 
         end = array("I", [end_id]).tobytes()
         for doc_ids, texts in pieces(batches):
-            for doc_id, ids in zip(doc_ids, word_ids([t or "" for t in texts], path)):
+            texts = [t or "" for t in texts]
+            prompts = word_ids([t[:t.find("\n") + 1] for t in texts], path)
+            for doc_id, ids, prompt in zip(doc_ids, word_ids(texts, path), prompts):
                 ids += end
                 n = len(ids) // 4
                 waiting[key] = (doc_id, ids, 0)
-                packer.add(key, n, n - 1)
+                packer.add(key, n, n - max(1, len(prompt) // 4))
                 key += 1
             yield out()
         packer.finish()

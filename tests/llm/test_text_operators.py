@@ -421,6 +421,43 @@ def test_packing_keeps_every_limit():
             assert at == n
 
 
+def test_every_limit_shapes_the_packing(spark):
+    """Without any one limit the documents are placed otherwise; prompts bear no loss; little is left over."""
+    from accesslens.llm.packing import SEGMENTS, pack_documents
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        first = " ".join(f"ask{rng.randrange(99)}" for _ in range(rng.randrange(1, 60)))
+        rest = " ".join(f"say{rng.randrange(99)}" for _ in range(rng.choice((1, 3, 10, 300, 900))))
+        rows.append((i, f"{first}\n{rest}" if i % 3 else rest))
+    docs = docs_of(spark, rows).coalesce(1)
+    place = lambda **limits: sorted(tuple(r) for r in pack_documents(docs, path, **limits).collect())
+    usual = place()
+    for free in ({"segments": 10 ** 9}, {"loss": 10 ** 9}, {"tokens": 4096}):
+        assert place(**free) != usual
+    sequences, loss = {}, {}
+    for doc_id, start, length, _, tokens, sequence, _, bearing in usual:
+        sequences.setdefault(sequence, []).append(length)
+        loss[doc_id] = loss.get(doc_id, 0) + bearing
+    from accesslens.llm.packing import word_ids
+    for i, text in rows:
+        prompt = len(word_ids([text[:text.find("\n") + 1]], path)[0]) // 4
+        assert loss[i] == len(word_ids([text], path)[0]) // 4 + 1 - max(1, prompt)
+    assert max(map(len, sequences.values())) == SEGMENTS
+    total = sum(map(sum, sequences.values()))
+    padded = sum(n if n & (n - 1) == 0 else 2048 for n in map(sum, sequences.values()))
+    assert padded == total
+
+
+def test_packing_refuses_other_tokenizers():
+    from accesslens.llm.packing import tokenizer
+
+    with pytest.raises(ValueError, match="white space"):
+        tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_pack_examples(spark):
     from accesslens.llm.packing import pack_examples
 
