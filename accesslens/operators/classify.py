@@ -12,13 +12,12 @@ from accesslens.functions.scalar import hash_uniform, lookup_map
 from accesslens.operators.encode import label_name
 from accesslens.operators.features import assemble
 from accesslens.operators.risk import baseline_combined
+from accesslens.plans.neighbours import nearest_neighbours
 from accesslens.plans.ranks import values_at_ranks
 from accesslens.plans.replicate import replicate
 from accesslens.plans.segments import ID
 from accesslens.plans.tables import local_table
-
-BLOCK_ROWS = 2000
-
+from accesslens.session import materialize
 
 def training_frame(df: DataFrame, features) -> DataFrame:
     return assemble(df, features).select(ID, "label", F.col("label_enc").cast("double").alias("label_enc"), "features")
@@ -35,27 +34,23 @@ def class_counts(df: DataFrame):
     return {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
 
-def smote_oversample(df: DataFrame, features, k=C.SMOTE_NEIGHBOURS, seed=42, block_rows=BLOCK_ROWS) -> DataFrame:
+def smote_oversample(df: DataFrame, features, k=C.SMOTE_NEIGHBOURS, seed=42) -> DataFrame:
     """Bring every class up to the size of the largest: x + u * (neighbour - x).
 
-    Neighbours come from blocks of about ``block_rows`` rows of one class (all rows of a class up to that
-    size). Blocks are made by hash, so a task never holds more than a block. Each member makes
-    floor(need / have) rows; the members with the smallest hashes take the remainder. The copies are spread
-    over tasks before they are made.
+    Neighbours are the k nearest other members of the class, by the same exact join at every size. Each member makes
+    floor(need / have) rows; the members with the smallest hashes take the remainder. The copies are spread over tasks
+    before they are made. A class of one member repeats it.
     """
     spark = df.sparkSession
     counts = class_counts(df)
-    largest = max(counts.values())
+    largest = max(counts.values(), default=0)
     todo = {c: (n, largest - n) for c, n in counts.items() if n < largest}
     base = df.select(ID, "label", F.col("label_enc").cast("double").alias("label_enc"), *[F.col(f).cast("double").alias(f) for f in features])
     real = base.withColumn("synthetic", F.lit(0))
     if not todo:
         return real
-    plan = local_table(spark, [(c, n, need, max(1, -(-n // block_rows))) for c, (n, need) in todo.items()],
-                       "label string, have long, need long, blocks long")
-    u = hash_uniform(F.col(ID), seed=seed)
-    members = base.join(F.broadcast(plan), "label").withColumns({
-        "_u": hash_uniform(F.col(ID), seed=seed + 1), "_block": F.floor(u * F.col("blocks")).cast("int")})
+    plan = local_table(spark, [(c, n, need) for c, (n, need) in todo.items()], "label string, have long, need long")
+    members = materialize(base.join(F.broadcast(plan), "label").withColumn("_u", hash_uniform(F.col(ID), seed=seed + 1)), "members")
     # Hash of the last member that takes one row of the remainder, per class.
     rest = [(c, 0, need % n - 1) for c, (n, need) in todo.items() if need % n]
     cuts = {}
@@ -64,23 +59,10 @@ def smote_oversample(df: DataFrame, features, k=C.SMOTE_NEIGHBOURS, seed=42, blo
         cuts = {r["label"]: r["v"] for r in values_at_ranks(members, ["label"], "_u", ranks).collect()}
     edge = F.coalesce(F.try_element_at(lookup_map({**cuts, "": -1.0}), F.col("label")), F.lit(-1.0))
     times = F.floor(F.col("need") / F.col("have")) + (F.col("_u") <= edge).cast("long")
-    vectors = members.withColumn("_times", times).select(
-        ID, "label", "label_enc", "_block", "_times", F.array(*[F.col(f) for f in features]).alias("x"))
-
-    def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["x"].to_numpy())
-        kk = min(k, len(x) - 1)
-        if kk < 1:
-            pdf["near"] = [[row] for row in x]
-        else:
-            square = (x ** 2).sum(1)
-            gap = square[:, None] - 2 * x @ x.T + square[None, :]
-            np.fill_diagonal(gap, np.inf)
-            pdf["near"] = [list(x[i]) for i in np.argpartition(gap, kk - 1, axis=1)[:, :kk]]
-        return pdf.drop(columns="_block")
-
-    schema = f"{ID} long, label string, label_enc double, _times long, x array<double>, near array<array<double>>"
-    found = vectors.groupBy("label", "_block").applyInPandas(neighbours, schema)
+    vectors = members.select(ID, "label", "label_enc", times.alias("_times"), F.array(*[F.col(f) for f in features]).alias("x"))
+    near = nearest_neighbours(vectors, "label", ID, "x", k).withColumnRenamed("id", ID)
+    alone = F.when(F.size("near") > 0, F.col("near")).otherwise(F.array("x"))
+    found = vectors.join(near, ["label", ID]).withColumn("near", alone)
     copies = replicate(found, F.col("_times"), ID)
     pick = F.floor(hash_uniform(F.col(ID), F.col("copy"), seed=seed + 2) * F.size("near")).cast("int")
     step = hash_uniform(F.col(ID), F.col("copy"), seed=seed + 3)

@@ -201,3 +201,29 @@ def test_registered_detector(spark):
     assert scored.count() == Q.part(v, "test").count()
     assert scored.where("risk_score < 0 or risk_score > 100 or risk_score is null").count() == 0
     assert CategoryEncoder.of({"entity_type": Q.detector(v).stages[0].tables["codes_entity_type"]}).small["entity_type"]
+
+
+@pytest.mark.parametrize("cell_rows", [4, 40, 2000])
+def test_neighbours_of_every_size(spark, cell_rows):
+    """The same neighbours as brute force, whatever the cells; equal rows, small groups and a group of copies included."""
+    from accesslens.plans.neighbours import nearest_neighbours
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "a", (rng.normal(size=4) + 8 * (i % 3)).tolist()) for i in range(300)]
+    rows += [(1000 + i, "a", [1.0, 1.0, 1.0, 1.0]) for i in range(60)]
+    rows += [(2000 + i, "b", [float(i), 0.0, 0.0, 0.0]) for i in range(3)] + [(3000, "c", [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, "event_id long, label string, x array<double>")
+    found = {r["id"]: r["near"] for r in nearest_neighbours(df, "label", "event_id", "x", 3, cell_rows, 16).collect()}
+    assert len(found) == len(rows)
+    for i, g, x in rows:
+        others = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), j) for j, h, y in rows if h == g and j != i)[:3]
+        got = [sum((a - b) ** 2 for a, b in zip(x, y)) for y in found[i]]
+        assert got == pytest.approx([d for d, _ in others], abs=1e-9)
+
+
+def test_distant_cells_do_not_meet():
+    from accesslens.plans.neighbours import _cell_pairs
+
+    pivots = {"a": np.array([[float(100 * i), 0.0] for i in range(10)])}
+    pairs = _cell_pairs(pivots, {"a": (np.full(10, 50), np.full(10, 3.0))}, 4)
+    assert [(i, j) for _, i, j, _ in pairs] == [(i, i) for i in range(10)]
