@@ -125,6 +125,22 @@ def _unshared(docs, words, buckets, bits=62):
             .groupBy("set_id").agg((F.sum("posted") - F.sum("shared")).alias("unshared")))
 
 
+def _likely(source, nodes):
+    """The rows of ``source`` whose text hash may be that of a node: all that are, and about one in sixteen others.
+
+    A bitmap over the hashes, of sixteen bits a node but 64 MB at most, goes to every task. It only spares the join that
+    follows the texts that surely have no part in it.
+    """
+    bits = 1 << max(15, min(29, math.ceil(math.log2(16 * max(1, nodes.count())))))
+    place = lambda key: F.pmod(key, F.lit(bits))
+    maps = (nodes.select(place(F.col("rkey")).alias("p"))
+            .groupBy(F.floor(F.col("p") / 32768).alias("_page")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("_map")))
+    rows = source.withColumn("_at", place(F.col("text_key"))).withColumn("_page", F.floor(F.col("_at") / 32768))
+    byte = F.expr("cast(conv(hex(substring(_map, cast(_at % 32768 div 8 AS int) + 1, 1)), 16, 10) AS int)")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 AS int))"))
+    return rows.join(F.broadcast(maps), "_page").where(bit != 0).select(*source.columns)
+
+
 def _token_sets(rows, words):
     def run(batches):
         for ids, ns, texts in pieces(batches, 2):
@@ -279,15 +295,14 @@ def linked_rows(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PER
              .select("set_id", "n", F.col("r.doc_id").alias("rid"), F.col("r.text_key").alias("rkey")))
     nodes = stored(nodes, "ngram-nodes")
 
-    def texts(chosen):
-        return source.join(chosen, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_key") == F.col("rkey"))).select(
-            "set_id", "n", "text")
-
+    texts = stored(_likely(source, nodes).join(
+        nodes, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_key") == F.col("rkey")))
+        .select("set_id", "n", "text"), "ngram-texts")
     # Any partner is among the nodes left, so all shingles of these, and only these, decide once more.
     held = nodes.agg(F.sum("n")).first()[0] or 0
-    nodes = stored(nodes.join(_unshared(texts(nodes), words, max(8, math.ceil(held / BUCKET_TOKENS)), 64), "set_id", "left")
-                   .where(F.coalesce("unshared", F.lit(0)) <= _slack(F.col("n"), percent)).drop("unshared"), "ngram-nodes")
-    sets = _token_sets(texts(nodes), words)
+    again = _unshared(texts, words, max(8, math.ceil(held / BUCKET_TOKENS)), 64)
+    sets = _token_sets(texts.join(again, "set_id", "left")
+                       .where(F.coalesce("unshared", F.lit(0)) <= _slack(F.col("n"), percent)).select("set_id", "n", "text"), words)
     index = stored(_index(sets, percent, rare), "ngram-index")
     hubs = index.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("h"), F.count("*").alias("m")).where("m > 1")
     stars = (index.join(hubs.select("sig", F.col("h.set_id").alias("hub"), F.col("h.n").alias("hn")), "sig")
