@@ -12,6 +12,33 @@ from accesslens import constants as C
 from accesslens.functions.scalar import hash_normal, hash_uniform
 from accesslens.plans.replicate import replicate
 
+# Invented pools of this generator, by entity type.
+RESOURCES = {
+    "user": [f"/home/page{i}" for i in range(12)],
+    "service_account": [f"/jobs/task{i}" for i in range(10)],
+    "edge_device": [f"/sensor/channel{i}" for i in range(10)],
+}
+SENSITIVE_RESOURCES = ["/home/page1", "/jobs/task2", "/home/page3", "/jobs/task4"]
+AUTH_WEIGHTS = {
+    "user": {"password": 0.6, "token": 0.4},
+    "service_account": {"token": 0.7, "certificate": 0.3},
+    "edge_device": {"certificate": 0.8, "token": 0.2},
+}
+NORMAL_COMMANDS = {
+    "user": [["open", "read", "close"], ["open", "write", "close"]],
+    "service_account": [["start", "run", "stop"], ["start", "check", "stop"]],
+    "edge_device": [["wake", "send", "sleep"], ["wake", "measure", "send", "sleep"]],
+}
+SUSPICIOUS_COMMANDS = [["open", "escalate", "dump", "close"], ["open", "disable_logging", "close"]]
+OPERATING_SYSTEMS = {kind: [f"{kind} system {i}" for i in range(4)] for kind in RESOURCES}
+PROTOCOLS = {kind: [f"protocol {i}" for i in range(3)] for kind in RESOURCES}
+# Share of all events per attack kind, and the events one injection stands for.
+ATTACK_RATES = {
+    "brute_force": (0.004, 20), "impossible_travel": (0.003, 2), "credential_stuffing": (0.003, 25),
+    "lateral_movement": (0.004, 7), "device_spoofing": (0.003, 1), "low_and_slow": (0.003, 10), "insider_drift": (0.005, 5),
+}
+
+
 START = "2026-04-01 00:00:00"
 DAYS = 90
 
@@ -75,7 +102,7 @@ def entity_profiles(entities: DataFrame, seed=42) -> DataFrame:
     session = {"user": (300, 3600), "service_account": (5, 120), "edge_device": (60, 600)}
     per_day = {"user": (3, 15), "service_account": (20, 100), "edge_device": (10, 50)}
     between = lambda table, k: _by_type(lambda t: F.lit(float(table[t][0])) + u(k) * float(table[t][1] - table[t][0]))
-    resources = _by_type(lambda t: _shuffled(C.RESOURCES[t], no, seed=seed + 20))
+    resources = _by_type(lambda t: _shuffled(RESOURCES[t], no, seed=seed + 20))
     cities = _shuffled(list(range(len(C.CITIES))), no, seed=seed + 21)
     return out.select(
         "entity_no", "entity_type",
@@ -85,11 +112,11 @@ def entity_profiles(entities: DataFrame, seed=42) -> DataFrame:
         F.slice(cities, F.lit(1), F.when(u(3) < 0.7, 1).otherwise(2)).alias("cities"),
         F.slice(resources, F.lit(1), (F.floor(u(4) * 4) + 3).cast("int")).alias("typical_resources"),
         resources.alias("all_resources"),
-        _by_type(lambda t: _weighted(C.AUTH_WEIGHTS[t], u(5))).alias("preferred_auth"),
+        _by_type(lambda t: _weighted(AUTH_WEIGHTS[t], u(5))).alias("preferred_auth"),
         between(session, 6).alias("session_mean"),
-        _by_type(lambda t: _pick(C.OPERATING_SYSTEMS[t], u(7))).alias("os"),
+        _by_type(lambda t: _pick(OPERATING_SYSTEMS[t], u(7))).alias("os"),
         _mac(no, seed=seed + 8).alias("mac"),
-        _by_type(lambda t: _pick(C.PROTOCOLS[t], u(9))).alias("protocol"),
+        _by_type(lambda t: _pick(PROTOCOLS[t], u(9))).alias("protocol"),
         _ip(no, seed=seed + 10).alias("base_ip"),
         between(per_day, 14).alias("events_per_day"))
 
@@ -117,8 +144,8 @@ def _habitual(rows: DataFrame, at, label, *key, seed):
     """Fill an event from the entity's habits; ``key`` identifies the row for the draws."""
     u = lambda k: hash_uniform(*key, seed=seed + k)
     place = F.element_at("cities", (F.floor(u(1) * F.size("cities")) + 1).cast("int"))
-    habit = _by_type(lambda t: _pick(list(C.AUTH_WEIGHTS[t]), u(4)))
-    commands = _by_type(lambda t: _pick([_json(c) for c in C.NORMAL_COMMANDS[t]], u(5)))
+    habit = _by_type(lambda t: _pick(list(AUTH_WEIGHTS[t]), u(4)))
+    commands = _by_type(lambda t: _pick([_json(c) for c in NORMAL_COMMANDS[t]], u(5)))
     duration = F.floor(F.exp(F.log("session_mean") + hash_normal(*key, seed=seed + 6) * 0.3))
     return rows.withColumn("_place", place).withColumns({
         "timestamp": at,
@@ -144,7 +171,7 @@ def _finish(rows: DataFrame, *key):
 
 def normal_events(profiles: DataFrame, total_events, days=DAYS, seed=42) -> DataFrame:
     """Events in proportion to activity, at least five per entity."""
-    quota = int(total_events * (1 - sum(rate for rate, _ in C.ATTACK_RATES.values())))
+    quota = int(total_events * (1 - sum(rate for rate, _ in ATTACK_RATES.values())))
     activity = profiles.agg(F.sum("events_per_day").alias("_all"))
     shared = profiles.crossJoin(F.broadcast(activity))
     times = F.greatest(F.lit(5), F.floor(quota * F.col("events_per_day") / F.col("_all")))
@@ -173,7 +200,7 @@ def _targets(profiles, entities, kind, count, users_only, devices_only, seed):
 def attack_events(profiles: DataFrame, total_events, days=DAYS, seed=42) -> DataFrame:
     """The seven attack kinds; each has max(1, int(total * rate / events per injection)) injections."""
     entities = profiles.count()
-    count = {k: max(1, int(total_events * rate / per)) for k, (rate, per) in C.ATTACK_RATES.items()}
+    count = {k: max(1, int(total_events * rate / per)) for k, (rate, per) in ATTACK_RATES.items()}
     aim = lambda kind, users=False, devices=False: _targets(profiles, entities, kind, count[kind], users, devices, seed)
     i, n = F.col("inj"), F.col("n")
     draw = lambda salt, k, hi, *more: F.floor(hash_uniform(i, *more, seed=salt + k) * hi)
@@ -220,17 +247,17 @@ def attack_events(profiles: DataFrame, total_events, days=DAYS, seed=42) -> Data
         "device_fingerprint": F.concat(F.lit("Linux|"), _mac(i, n, seed=s + 31), F.lit("|HTTPS")), "auth_success": ok}))
 
     rows, s = aim("lateral_movement")
-    everything = [r for pool in C.RESOURCES.values() for r in pool]
+    everything = [r for pool in RESOURCES.values() for r in pool]
     unusual = F.array_except(_shuffled(everything, i, seed=s + 9), "typical_resources")
     rows = many(rows, 5 + draw(s, 10, 6))
     at = _at(draw(s, 11, days), draw(s, 12, 24), n * (2 + draw(s, 13, 13, n)))
     parts.append(_habitual(rows, at, "lateral_movement", i, n, seed=s + 20).withColumns({
         "resource_accessed": F.element_at(unusual, (n + 1).cast("int")),
-        "command_sequence": _pick([_json(c) for c in C.SUSPICIOUS_COMMANDS], hash_uniform(i, n, seed=s + 14))}))
+        "command_sequence": _pick([_json(c) for c in SUSPICIOUS_COMMANDS], hash_uniform(i, n, seed=s + 14))}))
 
     rows, s = aim("device_spoofing", devices=True)
     rows = rows.withColumn("n", F.lit(0).cast("long"))
-    systems = [o for pool in C.OPERATING_SYSTEMS.values() for o in pool]
+    systems = [o for pool in OPERATING_SYSTEMS.values() for o in pool]
     other = F.element_at(F.array_except(_shuffled(systems, i, seed=s + 9), F.array("os")), 1)
     at = _at(draw(s, 10, days), draw(s, 11, 24), draw(s, 12, 60))
     parts.append(_habitual(rows, at, "device_spoofing", i, n, seed=s + 20).withColumn(
@@ -243,7 +270,7 @@ def attack_events(profiles: DataFrame, total_events, days=DAYS, seed=42) -> Data
     rows = rows.withColumn("_day", day).where(F.col("_day") < days)
     at = _at(F.col("_day"), 2 + draw(s, 12, 4, n), draw(s, 13, 60, n))
     parts.append(_habitual(rows, at, "low_and_slow", i, n, seed=s + 20).withColumns({
-        "resource_accessed": _pick(C.SENSITIVE_RESOURCES, hash_uniform(i, n, seed=s + 14)),
+        "resource_accessed": _pick(SENSITIVE_RESOURCES, hash_uniform(i, n, seed=s + 14)),
         "session_duration": (60 + draw(s, 15, 240, n)).cast("long")}))
 
     rows, s = aim("insider_drift", users=True)

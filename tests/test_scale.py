@@ -12,7 +12,7 @@ from accesslens.operators.queue import uniform_sample
 from accesslens.plans.replicate import replicate
 from accesslens.plans.segments import EntitySegments, with_lead
 from accesslens.sources.access_log import access_log
-from accesslens.sources.generator import generate_access_log
+from tests.log_generator import generate_access_log
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,7 +75,7 @@ def test_isolation_forest_finds_outliers(spark):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "event_id long, a double, b double, c double")
     forest = D.fit_isolation_forest(df, ["a", "b", "c"], trees=40, sample=128)
     assert forest.select("tree").distinct().count() == 40
-    top = D.score_isolation_forest(df, forest, ["a", "b", "c"], 128).orderBy(F.col("isolation_raw").desc()).limit(5)
+    top = D.score_isolation_forest(df, forest, ["a", "b", "c"]).orderBy(F.col("isolation_raw").desc()).limit(5)
     assert {r["event_id"] for r in top.collect()} == set(range(5))
     model = D.fit_one_class(df.where("event_id >= 5"), ["a", "b", "c"])
     # The kernel is approximated, so outliers rank among the top 5 %, not exactly first.
