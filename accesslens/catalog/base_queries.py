@@ -224,7 +224,7 @@ def f8(v: Views):
 
 @query("j1_event_profile", sql("scored", f"SELECT event_id, {sql_rnd('statistical_score')} FROM stat"))
 def j1(v: Views):
-    return P.with_statistical_score(v.plain, v.profiles, v.segments).select("event_id", rnd("statistical_score"))
+    return P.with_statistical_score(v.profiled, v.profiles, v.segments).select("event_id", rnd("statistical_score"))
 
 
 @query("j2_event_history", sql("scored", f"SELECT event_id, {sql_rnd('entity_risk')} FROM stat"))

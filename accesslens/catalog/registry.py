@@ -43,9 +43,17 @@ class Views:
         """Features written once, for queries that pass over them several times."""
         return materialize(self.features, "features")
 
+    @cached_property
+    def profiled(self):
+        """What profiles and statistical scores need of the features, written once: one feature pass serves both."""
+        return materialize(self.plain.select(*P.PROFILED), "profiled")
+
     @cached_property
     def profiles(self):
-        return P.entity_profiles(self.plain, self.segments, self.log)
+        # Exact percentiles hold all counted values of an entity in one group: hot entities take theirs from bins.
+        if self.segments.hot:
+            return P.entity_profiles(self.profiled, self.segments)
+        return P.profiles_of_states(P.profile_states(self.profiled))
 
     @cached_property
     def stored_profiles(self):

@@ -254,7 +254,7 @@ def e3(v: Views):
 
 @query("e4_minmax_invert", sql("scored", f"SELECT event_id, {sql_rnd('CASE WHEN max(statistical_score) OVER () > min(statistical_score) OVER () THEN 1 - (statistical_score - min(statistical_score) OVER ()) / (max(statistical_score) OVER () - min(statistical_score) OVER ()) ELSE 0.5 END', 'inverted')} FROM stat"))
 def e4(v: Views):
-    scored = materialize(P.with_statistical_score(v.plain, v.profiles, v.segments).select("event_id", "statistical_score"), "stat")
+    scored = materialize(P.with_statistical_score(v.profiled, v.profiles, v.segments).select("event_id", "statistical_score"), "stat")
     return E.minmax_inverted(scored, "statistical_score", "inverted").select("event_id", rnd("inverted"))
 
 
@@ -262,7 +262,7 @@ def e4(v: Views):
 
 @query("d1_statistical_score", sql("scored", f"SELECT event_id, entity_id, {sql_rnd('statistical_score')} FROM stat"))
 def d1(v: Views):
-    return P.with_statistical_score(v.plain, v.profiles, v.segments).select("event_id", KEY, rnd("statistical_score"))
+    return P.with_statistical_score(v.profiled, v.profiles, v.segments).select("event_id", KEY, rnd("statistical_score"))
 
 
 @query("d4_baseline_combined", sql("scored", f"SELECT event_id, {sql_rnd('0.3 * statistical_score + 0.4 * isolation_forest_score + 0.3 * confidence', 'baseline_combined_score')} FROM scored"))

@@ -80,6 +80,76 @@ def entity_profiles(features: DataFrame, segments: EntitySegments = None, log: D
                     "typical_resources", "primary_auth", "auth_success_rate"))
 
 
+#: The feature columns that profiles and statistical scores need.
+PROFILED = ["event_id", KEY, "timestamp", "entity_type", "label", "hour", "session_duration", "geo_distance_km",
+            "resource_accessed", "auth_method", "auth_success"]
+
+
+def profile_states(features: DataFrame):
+    """Mergeable state of the normal events per entity and day: (moments, counts).
+
+    ``moments``: number, exact sums and sums of squares, first type. ``counts``: how often each duration, distance,
+    resource and login method occurs, one long table that combines before its only shuffle. Days add up, so a new day is
+    merged without reading an older event again.
+    """
+    normal = normal_only(features).withColumn("day", F.to_date("timestamp"))
+    hour, duration = F.col("hour").cast("long"), F.col("session_duration").cast("decimal(20,0)")
+    moments = normal.groupBy(KEY, "day").agg(
+        F.min("entity_type").alias("entity_type"), F.count("*").alias("n"),
+        F.sum(hour).alias("hour_sum"), F.sum(hour * hour).alias("hour_sq"), F.count("session_duration").alias("duration_n"),
+        F.sum(duration).cast("decimal(38,0)").alias("duration_sum"),
+        F.sum((duration * duration).cast("decimal(38,0)")).cast("decimal(38,0)").alias("duration_sq"),
+        F.sum("geo_distance_km").alias("geo_sum"), F.count("geo_distance_km").alias("geo_n"),
+        F.count_if("auth_success").alias("ok"), F.count("auth_success").alias("ok_n"))
+    entry = lambda kind, number, text: F.struct(
+        F.lit(kind).alias("kind"), number.cast("double").alias("number"), text.cast("string").alias("text"))
+    none = F.lit(None)
+    entries = F.explode(F.array(
+        entry("duration", F.col("session_duration"), none), entry("distance", F.col("geo_distance_km"), none),
+        entry("resource", none, F.col("resource_accessed")), entry("auth", none, F.col("auth_method"))))
+    counts = (normal.select(KEY, "day", entries.alias("e")).select(KEY, "day", "e.*")
+              .groupBy(KEY, "day", "kind", "number", "text").agg(F.count("*").alias("n")))
+    return moments, counts
+
+
+def merge_profile_states(first, second):
+    """The state of both, days that stand in either or in both."""
+    moments, counts = (a.unionByName(b) for a, b in zip(first, second))
+    sums = [F.sum(c).cast(t).alias(c) for c, t in moments.dtypes if c not in (KEY, "day", "entity_type")]
+    return (moments.groupBy(KEY, "day").agg(F.min("entity_type").alias("entity_type"), *sums),
+            counts.groupBy(KEY, "day", "kind", "number", "text").agg(F.sum("n").alias("n")))
+
+
+def profiles_of_states(states) -> DataFrame:
+    """The profiles of ``entity_profiles`` from states of any days: exact, percentiles from counted values."""
+    moments, counts = states
+    total = lambda c: F.sum(c).cast("double")
+    spread = lambda n, s, q: F.when(total(n) > 1, F.sqrt(F.greatest(
+        total(q) - total(s) * F.try_divide(total(s), total(n)), F.lit(0.0)) / (total(n) - 1)))
+    floor = lambda value, least: F.greatest(F.coalesce(value, F.lit(least)), F.lit(least))
+    base = moments.groupBy(KEY).agg(
+        F.min("entity_type").alias("entity_type"), F.sum("n").alias("event_count"),
+        F.try_divide(total("hour_sum"), total("n")).alias("hour_mean"), floor(spread("n", "hour_sum", "hour_sq"), 0.1).alias("hour_std"),
+        F.try_divide(total("duration_sum"), total("duration_n")).alias("duration_mean"),
+        floor(spread("duration_n", "duration_sum", "duration_sq"), 1.0).alias("duration_std"),
+        F.try_divide(F.sum("geo_sum"), total("geo_n")).alias("geo_distance_mean"),
+        F.try_divide(total("ok"), total("ok_n")).alias("auth_success_rate"))
+    values = counts.groupBy(KEY, "kind", "number", "text").agg(F.sum("n").alias("n"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    w = Window.partitionBy(KEY, "kind").orderBy(F.col("n").desc(), F.col("text"))
+    p95 = lambda kind: F.percentile(of(kind, "number"), 0.95, F.col("n"))
+    # One exchange by entity serves the ranks and all aggregates of the counted values.
+    ranked = values.repartition(KEY).withColumn("rank", F.row_number().over(w))
+    listed = F.sort_array(F.collect_list(F.when((F.col("kind") == "resource") & (F.col("rank") <= 10), F.struct("rank", "text"))))
+    found = ranked.groupBy(KEY).agg(
+        p95("duration").alias("duration_p95"), p95("distance").alias("geo_distance_p95"),
+        F.count(of("resource", "text")).alias("unique_resources"), listed["text"].alias("typical_resources"),
+        F.max(F.when(F.col("rank") == 1, of("auth", "text"))).alias("primary_auth"))
+    return base.join(found, KEY).select(
+        KEY, "entity_type", "event_count", "hour_mean", "hour_std", "duration_mean", "duration_std", "duration_p95",
+        "geo_distance_mean", "geo_distance_p95", "unique_resources", "typical_resources", "primary_auth", "auth_success_rate")
+
+
 def profile_of(profiles: DataFrame, entity_id) -> DataFrame:
     return profiles.where(F.col(KEY) == entity_id)
 

@@ -227,3 +227,24 @@ def test_distant_cells_do_not_meet():
     pivots = {"a": np.array([[float(100 * i), 0.0] for i in range(10)])}
     pairs = _cell_pairs(pivots, {"a": (np.full(10, 50), np.full(10, 3.0))}, 4)
     assert [(i, j) for _, i, j, _ in pairs] == [(i, i) for i in range(10)]
+
+
+def test_profile_states_merge_by_day(spark, parts):
+    """Profiles of merged states, days cut anywhere, equal those of all events at once."""
+    from accesslens.operators import profiles as P
+
+    features = materialize(build_features(parts[0].unionByName(parts[1])).select(*P.PROFILED), "profiled")
+    whole = cells(P.entity_profiles(features).withColumn("typical_resources", F.array_join("typical_resources", ",")), 6)
+    noon = "timestamp < '2024-01-12 12:00:00'"
+    states = P.merge_profile_states(P.profile_states(features.where(noon)), P.profile_states(features.where(f"not ({noon})")))
+    merged = P.profiles_of_states(states).withColumn("typical_resources", F.array_join("typical_resources", ","))
+    assert cells(merged, 6) == whole and len(whole) > 5
+    assert P.profiles_of_states(P.profile_states(features.where("false"))).count() == 0
+
+
+def test_statistical_scores_take_one_feature_pass(spark):
+    """The plan of d1 reads the written columns only; the features ran once, when these were written."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["d1_statistical_score"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan
