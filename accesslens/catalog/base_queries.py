@@ -76,16 +76,6 @@ counts AS (SELECT count(*) FILTER (y_true = 1 AND y_pred = 1) AS tp, count(*) FI
   count(*) FILTER (y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (y_true = 0 AND y_pred = 0) AS tn FROM flagged)"""
 
 
-@query("s5_write_metrics", sql("alerts", "SELECT tp, fp, fn, tn, round(cast((tp + tn) / (tp + fp + fn + tn) AS double), 4) AS accuracy FROM counts", _FLAGGED))
-def s5(v: Views):
-    flags = v.alerts.select((F.col("label") != "normal").cast("long").alias("y_true"),
-                            (F.col("predicted_label") != "normal").cast("long").alias("y_pred"))
-    metrics = V.binary_metrics(V.confusion_counts(flags)).select("tp", "fp", "fn", "tn", F.round("accuracy", 4).alias("accuracy"))
-    path = scratch_path(v.spark, "metrics-json")
-    L.write_json_records(metrics, path)
-    return L.read_json_records(v.spark, path, metrics.schema)
-
-
 # --- projections ---
 
 def feature_query(name, ints=(), doubles=(), extra=None):

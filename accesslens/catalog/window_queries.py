@@ -12,7 +12,8 @@ from accesslens.operators import patterns as PT, profiles as P, queue as Q, repo
 from accesslens.operators.sequences import (
     event_sequences, map_window_error, normal_threshold, normalise_error, sequence_predict)
 from accesslens.plans.segments import KEY
-from accesslens.session import materialize
+from accesslens.session import materialize, scratch_path
+from accesslens.sources import access_log as L
 
 # --- windows ---
 
@@ -638,6 +639,15 @@ def v10(v: Views):
     return V.evaluation_summary(v.stored_alerts("event_id", "label", "predicted_label", "risk_score"))
 
 
+@query("s5_write_metrics", sql("alerts", "SELECT * FROM evaluation", _FLAGGED, _AUC, _PER_CLASS, _EVAL))
+def s5(v: Views):
+    """The eleven fields of an evaluation, written as JSON and read back."""
+    summary = V.evaluation_summary(v.stored_alerts("event_id", "label", "predicted_label", "risk_score"))
+    path = scratch_path(v.spark, "metrics-json")
+    L.write_json_records(summary, path)
+    return L.read_json_records(v.spark, path, summary.schema)
+
+
 # --- reports ---
 
 @query("b1_entity_timeline", sql("alerts", f"SELECT event_id, a.entity_id, {sql_time()}, risk_score, session_duration, resource_code, cast(risk_score > 40 AS bigint) AS is_anomaly FROM alerts a JOIN codes c ON c.entity_id = a.entity_id AND c.resource_accessed = a.resource_accessed WHERE a.entity_id = 'USR_0001'", _CODES))

@@ -44,7 +44,7 @@ def speed_share(df: DataFrame, name="isolation_forest_score") -> DataFrame:
 def closed_form_scores(features: DataFrame, segments: EntitySegments, log: DataFrame = None) -> DataFrame:
     """Scores that need no trained model: statistical, speed and command rule, with the risk history.
 
-    Profiles and history are keyed by entity like the feature windows, so the joins reuse their exchange.
+    Profiles and history have one row per entity; the frame is read once to learn them and once to be scored.
     """
     plain = features if log is None else log
     profiles = entity_profiles(features, segments, plain)
