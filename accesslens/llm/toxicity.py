@@ -110,12 +110,14 @@ class FactorizationMachine:
         return cls(bins, float(params[0][0]), params[1], params[2])
 
 
-def fit_toxicity(docs, labels, max_rows=40_000, max_terms=2048, least_documents=5, least_z=4.0, seed=5):
+def fit_toxicity(docs, labels, max_rows=40_000, max_terms=2048, common_terms=512, least_documents=5, least_z=4.0, seed=5):
     """Learn from at most ``max_rows`` labelled documents outside fold 0, chosen by hash (docs: doc_id, text).
 
     The chosen ids and labels are bounded, so they are broadcast and the texts need no shuffle. Step 1 counts every term
-    bin over the chosen documents. Bins whose rate among toxic documents differs from that among the others
-    (two-proportion z of ``least_z``, the ``max_terms`` strongest) become features. Step 2 fits the machine on the driver;
+    bin over the chosen documents. Features are the bins whose rate among toxic documents differs from that among the
+    others (two-proportion z of ``least_z``, the ``max_terms`` strongest), and, whatever they say alone, the
+    ``common_terms`` bins that most toxic documents have but not nearly all documents: pairs of terms that mark a toxic
+    document only together are learned from these. Step 2 fits the machine on the driver;
     a document brings only the positions of its features, so the driver holds max_rows * max_terms numbers at most.
     """
     known = stored(training_labels(labels, "toxic"), "toxic-labels")
@@ -130,10 +132,11 @@ def fit_toxicity(docs, labels, max_rows=40_000, max_terms=2048, least_documents=
     p1, p0 = F.col("n1") / n1, F.col("n0") / n0
     pooled = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = (p1 - p0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n0 + 1 / n1))
-    chosen = (_counts(rows).where(F.col("n0") + F.col("n1") >= least_documents)
-              .select("bin", z.alias("z")).where(F.abs("z") >= least_z)
-              .orderBy(F.abs("z").desc(), "bin").limit(max_terms).collect())
-    bins = sorted(r["bin"] for r in chosen)
+    counts = stored(_counts(rows).where(F.col("n0") + F.col("n1") >= least_documents)
+                    .select("bin", "n1", pooled.alias("share"), z.alias("z")), "toxic-terms")
+    strong = counts.where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "bin").limit(max_terms)
+    common = counts.where(F.col("share") < 0.9).orderBy(F.desc("n1"), "bin").limit(common_terms)
+    bins = sorted({r["bin"] for part in (strong, common) for r in part.select("bin").collect()})
     empty = FactorizationMachine(bins, 0.0, np.zeros(len(bins)), np.zeros((len(bins), 1)))
 
     def encode(batches):
@@ -158,7 +161,7 @@ def toxicity_scores(docs, labels, id_col="doc_id", text_col="text", **options):
 
     Each input row gives one row: repeated rows repeat, a null text counts as empty, a null id is kept. Other columns are
     ignored. An empty text gets the model's bias. Without labels of both classes the score is the smoothed share.
-    The model sent to the tasks has max_terms * (rank + 2) numbers at most.
+    The model sent to the tasks has (max_terms + common_terms) * (rank + 2) numbers at most.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = fit_toxicity(source, labels, **options)

@@ -78,6 +78,9 @@ def test_trained_scores(spark, name):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
     truth = {r["doc_id"]: r[label] for r in labels.collect()}
     held = [(truth[r["doc_id"]], r["score"]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    if name == "toxicity":
+        flagged = [mark for mark, score in held if score >= cut]
+        assert sum(flagged) / len(flagged) > 0.95 and sum(flagged) / sum(mark for mark, _ in held) > 0.85
     ones, zeros = [s for y, s in held if y == 1], [s for y, s in held if y == 0]
     if ones and zeros:
         auc = np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
@@ -127,6 +130,25 @@ def test_rules_are_tree_paths(spark):
     assert wrong < 20
 
 
+def test_toxicity_learns_pairs(spark):
+    """Documents are toxic only where exactly one of two words stands: neither word says anything alone."""
+    from accesslens.llm.toxicity import toxicity_scores
+
+    rng = random.Random(11)
+    rows, marks = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"filler{rng.randrange(40)}" for _ in range(12)] + ["insulting"] * a + ["groupname"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, int(a != b)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    truth = {i: t for i, _, t in marks}
+    found = [r for r in toxicity_scores(docs_of(spark, rows), labels).collect() if r["held_out"]]
+    right = sum(r["predicted"] == truth[r["doc_id"]] for r in found)
+    assert right / len(found) > 0.9
+
+
 # --- 2: line dedup ---------------------------------------------------------------------------------------------------
 
 def test_line_dedup_removes_the_later_block(spark):
