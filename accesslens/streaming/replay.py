@@ -126,6 +126,18 @@ def replay_stream(log: DataFrame, events_per_tick=25, ticks_per_batch=1, order=(
 
 # --- streams over stored tables ---------------------------------------------------------------------------
 
+def table_stream(spark: SparkSession, path, schema, files_per_trigger=1) -> DataFrame:
+    """A stored table as a stream, some files per tick, in the order in which the files were written."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def write_replay_files(log: DataFrame, path, events_per_file) -> None:
+    """Store a log in sorted files of at most ``events_per_file`` events. Several tasks write them, so a stream over the
+    files has every event, but no order among files; ``replay_stream`` has both."""
+    (log.repartitionByRange(F.col(TS), F.col(ID)).sortWithinPartitions(TS, ID)
+     .write.option("maxRecordsPerFile", events_per_file).parquet(path))
+
+
 def event_stream(spark: SparkSession, sf_dir, files_per_trigger=16) -> DataFrame:
     """The access log as a stream over the event table, stored as one file or as a folder; derivation is row-local.
 
