@@ -300,7 +300,7 @@ def linked_rows(docs, id_col="doc_id", text_col="text", words=WORDS, percent=PER
         .select("set_id", "n", "text"), "ngram-texts")
     # Any partner is among the nodes left, so all shingles of these, and only these, decide once more.
     held = nodes.agg(F.sum("n")).first()[0] or 0
-    again = _unshared(texts, words, max(8, math.ceil(held / BUCKET_TOKENS)), 64)
+    again = _unshared(texts, words, max(8, math.ceil(4 * held / BUCKET_TOKENS)), 64)
     sets = _token_sets(texts.join(again, "set_id", "left")
                        .where(F.coalesce("unshared", F.lit(0)) <= _slack(F.col("n"), percent)).select("set_id", "n", "text"), words)
     index = stored(_index(sets, percent, rare), "ngram-index")
