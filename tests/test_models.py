@@ -248,3 +248,48 @@ def test_statistical_scores_take_one_feature_pass(spark):
 
     plan = entry.queries()["d1_statistical_score"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "events.parquet" not in plan
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_features_are_computed_once(spark, parts, small):
+    """What the scaler is fitted on and what later stages read is stored: no window runs again."""
+    features = small.stages[0].transform(parts[1])
+    assert "Window" not in plan(features) and features.count() == parts[1].count()
+    history = detection.with_scope(small, "history").stages[0].transform(parts[1])
+    assert "Window" not in plan(history) and history.count() == parts[1].count()
+
+
+def test_time_cut_is_found_once(spark, monkeypatch):
+    from accesslens.catalog import registry
+
+    calls = []
+    monkeypatch.setattr(registry, "temporal_split", lambda log: calls.append(1) or temporal_split(log), raising=False)
+    v = Views(spark, SF)
+    rows = [Q.part(v, name).count() for name in ("train", "test")]
+    assert len(calls) == 1 and sum(rows) == v.log.count() and rows[0] == int(sum(rows) * 0.8)
+
+
+@pytest.mark.parametrize("kind", ["principal", "prototype"])
+def test_window_fit_reads_small_splits_and_scores_once(spark, monkeypatch, kind):
+    rows = [(i, f"e{i % 3}", float(i % 7), float(i % 5), "normal", "train") for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, entity_id string, f double, g double, label string, split string") \
+        .withColumn("timestamp", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, event_id)"))
+    seen, key = {}, "spark.sql.files.maxPartitionBytes"
+    fit, cut, before = getattr(D, f"fit_{'principal' if kind == 'principal' else 'prototypes'}"), D.normal_threshold, spark.conf.get(key)
+
+    def fitted(windows):
+        seen["split"] = spark.conf.get(key)
+        return fit(windows, 2)
+
+    def threshold(errors, name):
+        seen["plan"] = plan(errors)
+        return cut(errors, name)
+
+    monkeypatch.setattr(D, fit.__name__, fitted)
+    monkeypatch.setattr(D, "normal_threshold", threshold)
+    D.fit_sequences(df, ["f", "g"], EntitySegments.none(spark), kind)
+    assert seen["split"] == str(D.WINDOW_SPLIT) and spark.conf.get(key) == before
+    assert "UDF" not in seen["plan"] and "MapInPandas" not in seen["plan"]
