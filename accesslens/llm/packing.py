@@ -17,6 +17,8 @@ REMEMBERED = 1_500_000
 LONGEST = 64
 #: Documents in a sequence: limits of ``pack_documents``.
 SEGMENTS = 16
+#: Texts whose new pieces are encoded together.
+TOGETHER = 32
 _known, _tokenizers = {}, {}
 
 
@@ -35,27 +37,41 @@ def tokenizer(path):
     return _tokenizers[path]
 
 
+def _encoded(words, path):
+    """{word: ids as bytes} of words without ASCII white space, encoded side by side and told apart by offsets."""
+    out = {}
+    for start in range(0, len(words), 100):
+        some = words[start:start + 100]
+        e = tokenizer(path).encode(" ".join(some), add_special_tokens=False)
+        ids, ends = np.array(e.ids, np.uint32), np.cumsum([len(w) + 1 for w in some])
+        cuts = 4 * np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(ids)), ends)
+        data, low = ids.tobytes(), 0
+        for word, high in zip(some, cuts.tolist()):
+            out[word], low = data[low:high], high
+    return out
+
+
 def word_ids(texts, path):
     """The ids of each text as little-endian uint32 bytes, for tokenizers whose tokens end at ASCII white space.
 
     Texts are cut at ASCII white space; each different piece is encoded by the tokenizer once and remembered.
     """
-    known, encode = _known.setdefault(path, {"": b""}), tokenizer(path).encode_batch_fast
-    out = []
-    for text in texts:
-        for c in "\n\t\r\v\f":
-            if c in text:
-                text = text.replace(c, " ")
-        words = text.split(" ")
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = list(set(words))
-            for word, e in zip(new, encode(new, add_special_tokens=False)):
-                known[word] = array("I", e.ids).tobytes()
-        out.append(b"".join(map(known.__getitem__, words)))
+    tokenizer(path)
+    known, out = _known.setdefault(path, {"": b""}), []
+    for start in range(0, len(texts), TOGETHER):
+        words = []
+        for text in texts[start:start + TOGETHER]:
+            for c in "\n\t\r\v\f":
+                if c in text:
+                    text = text.replace(c, " ")
+            words.append(text.split(" "))
+        new = set().union(*words).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            known[""] = b""
+            new = set().union(*words).difference(known)
+        known.update(_encoded(list(new), path))
+        out += [b"".join(map(known.__getitem__, w)) for w in words]
         for word in new:
             if len(word) > LONGEST:
                 del known[word]
@@ -114,7 +130,7 @@ class Packer:
         while open_ > leave:
             left, chosen = self.limits.copy(), []
             while open_:
-                fits = there & (sizes <= left).all(1)
+                fits = there & (sizes[:, 0] <= left[0]) & (sizes[:, 1] <= left[1]) & (sizes[:, 2] <= left[2])
                 if fits.any():
                     at = int(np.argmax(np.where(fits, sizes @ (left / self.limits ** 2), -1)))
                     chosen.append(items[at])
@@ -202,8 +218,9 @@ def pack_documents(docs, path, id_col="doc_id", text_col="text", end_id=1, **lim
         end = array("I", [end_id]).tobytes()
         for doc_ids, texts in pieces(batches):
             texts = [t or "" for t in texts]
+            whole = word_ids(texts, path)
             prompts = word_ids([t[:t.find("\n") + 1] for t in texts], path)
-            for doc_id, ids, prompt in zip(doc_ids, word_ids(texts, path), prompts):
+            for doc_id, ids, prompt in zip(doc_ids, whole, prompts):
                 ids += end
                 n = len(ids) // 4
                 waiting[key] = (doc_id, ids, 0)

@@ -652,3 +652,46 @@ def test_very_long_text_is_stitched(spark):
     expected = len(set(zip(words, words[1:], words[2:], words[3:])))
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
     assert found[1] == (expected, 1) and found[2][1] == 1 and found[3] == (2, 3)
+
+
+def test_words_are_encoded_side_by_side(monkeypatch):
+    """New words go to the tokenizer some at a time, and keep the ids that the whole text has."""
+
+    from accesslens.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one, calls = packing.tokenizer(path), []
+
+    class Counting:
+        def encode(self, *args, **kwargs):
+            calls.append(1)
+            return one.encode(*args, **kwargs)
+
+    monkeypatch.setitem(packing._tokenizers, path, Counting())
+    monkeypatch.setitem(packing._known, path, {"": b""})
+    draw = random.Random(5)
+    letters = "abcXYZ.,!?'s7éÀİßΣς́\x1c\x00<|>-中   \n\t"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 80))) for _ in range(2000)]
+    texts += ["", "a" * 70 + "!" * 80, "<|endoftext|> <|ENDOFTEXT|>. x"]
+    found = packing.word_ids(texts, path)
+    assert [np.frombuffer(f, np.uint32).tolist() for f in found] == [one.encode(t, add_special_tokens=False).ids for t in texts]
+    words = {w for t in texts for w in t.split()}
+    assert len(calls) < len(words) / 10
+    assert not any(len(w) > packing.LONGEST for w in packing._known[path])
+
+
+def test_bucket_counts_travel_packed(spark, monkeypatch):
+    """A set has shingles in every bucket; the rows that buckets send follow buckets and homes, not sets in buckets."""
+    from accesslens.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "HOMES", 2)
+    draw = np.random.default_rng(3)
+    pool = [f"w{i}" for i in range(30)]
+    texts = [" ".join(draw.choice(pool, 60)) for _ in range(40)] + [" ".join(pool)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["set_id"]: r["unshared"] for r in J._unshared(docs, 1, 64, 64).collect()}
+    sets = {J.set_id(s): set(s.tolist()) for s in J.shingle_sets(texts, 1)}
+    own = {k: sum(not any(x in o for j, o in sets.items() if j != k) for x in s) for k, s in sets.items()}
+    assert found == own
+    plan = J._unshared(docs, 1, 64, 64)._jdf.queryExecution().toString()
+    assert "home" in plan and "Aggregate" not in plan
