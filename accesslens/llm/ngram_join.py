@@ -14,6 +14,8 @@ WORDS, PERCENT = 4, 85
 #: A shingle of at most so many different sets is rare and indexed alone; one of more is indexed in pairs.
 RARE = 64
 BUCKET_TOKENS = 1_000_000
+#: Groups of sets, at least, in which the counts of all buckets are added up.
+HOMES = 64
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 17
 
 
@@ -71,8 +73,11 @@ def _unshared(docs, words, buckets, bits=62):
     Posted are the shingles below 2**``bits`` of 2**64: a quarter of them by default. A piece of a partition sends each of them once: with its
     set if one set of the piece has it, without if several do. So a shingle of many documents costs a task few bytes.
     What a piece knows to be shared it counts itself; the buckets of shingles add those that other pieces have too. If
-    equal sets stand in several pieces, the least count of a piece holds: each further one is met in a bucket.
+    equal sets stand in several pieces, the least count of a piece holds: each further one is met in a bucket. A set may
+    have shingles in every bucket, so buckets pass their counts on packed, in one row for each home of sets.
     """
+    homes = max(HOMES, buckets // 16)
+
     def post(batches):
         for (texts,) in pieces(batches, 0):
             different = {s.tobytes(): s for s in shingle_sets(texts, words) if len(s)}
@@ -107,7 +112,7 @@ def _unshared(docs, words, buckets, bits=62):
             order = np.lexsort((z, x))
             x, y, z = x[order], y[order], z[order]
             least = np.concatenate(([True], x[1:] != x[:-1]))
-            return pa.table({"set_id": x[least], "posted": y[least], "shared": z[least]})
+            return packed(x[least], y[least], z[least])
         order = np.lexsort((y, x))
         token, owner = x[order], y[order]
         new = np.ones(len(token), bool)
@@ -118,11 +123,25 @@ def _unshared(docs, words, buckets, bits=62):
         often[1:] |= same
         often[:-1] |= same
         sets, n = np.unique(owner[often], return_counts=True)
-        return pa.table({"set_id": sets, "posted": np.zeros(len(sets), np.int64), "shared": n.astype(np.int64)})
+        return packed(sets, np.zeros(len(sets), np.int64), n.astype(np.int64))
+
+    def packed(sets, posted, shared):
+        home = (sets.view(np.uint64) % np.uint64(homes)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        found, first = np.unique(home[order], return_index=True)
+        columns = [np.split(v[order], first[1:]) if len(found) else [] for v in (sets, posted - shared)]
+        return pa.table({"home": pa.array(found, pa.int32()),
+                         **{n: pa.array([v.tobytes() for v in c], pa.binary()) for n, c in zip(("sets", "counts"), columns)}})
+
+    def add(t):
+        sets, counts = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("sets", "counts"))
+        order = np.argsort(sets, kind="stable")
+        different, first = np.unique(sets[order], return_index=True)
+        return pa.table({"set_id": different, "unshared": np.add.reduceat(counts[order], first)})
 
     return (docs.select("text").mapInArrow(post, "bucket int, tokens binary, owners binary, shared binary")
-            .groupBy("bucket").applyInArrow(count, "set_id long, posted long, shared long")
-            .groupBy("set_id").agg((F.sum("posted") - F.sum("shared")).alias("unshared")))
+            .groupBy("bucket").applyInArrow(count, "home int, sets binary, counts binary")
+            .groupBy("home").applyInArrow(add, "set_id long, unshared long"))
 
 
 def _likely(source, nodes):
