@@ -11,7 +11,7 @@ from accesslens import constants as C
 from accesslens.catalog import model_queries as Q
 from accesslens.catalog.registry import Views
 from accesslens.models import detection
-from accesslens.models.stages import INPUTS, EventFeaturesModel
+from accesslens.models.stages import INPUTS, EventFeaturesModel, IsolationScorer, Z
 from accesslens.operators import classify as M, detectors as D
 from accesslens.operators.encode import CategoryEncoder
 from accesslens.operators.features import build_features, entity_history, features_after, merge_history
@@ -293,3 +293,33 @@ def test_window_fit_reads_small_splits_and_scores_once(spark, monkeypatch, kind)
     D.fit_sequences(df, ["f", "g"], EntitySegments.none(spark), kind)
     assert seen["split"] == str(D.WINDOW_SPLIT) and spark.conf.get(key) == before
     assert "UDF" not in seen["plan"] and "MapInPandas" not in seen["plan"]
+
+
+def test_tree_fits_take_whole_waves(spark):
+    """More partitions than cores are dealt to a multiple of the cores; all others, and all rows, stay as they are."""
+    cores = spark.sparkContext.defaultParallelism
+    for parts, wanted in ((1, 1), (cores, cores), (cores + 1, 2 * cores), (2 * cores, 2 * cores), (3 * cores - 1, 3 * cores)):
+        df = M.whole_waves(spark.range(0, 1000, 1, parts))
+        assert df.rdd.getNumPartitions() == wanted and sorted(r["id"] for r in df.collect()) == list(range(1000))
+
+
+def test_isolation_fit_reads_stored_rows(spark, monkeypatch):
+    """Drawing and scoring read the normal rows as written once, not what they were derived from."""
+    rows = [(i, "normal" if i % 10 else "brute_force", *[float((i * (j + 3)) % 17) for j in range(len(Z))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, label string, " + ", ".join(f"{z} double" for z in Z))
+    df = df.withColumn(Z[0], F.udf(lambda x: x, "double")(Z[0]))
+    plans, score, draw = [], D.score_isolation_forest, D.tree_samples
+
+    def scored(frame, *args):
+        plans.append(plan(frame))
+        return score(frame, *args)
+
+    def drawn(frame, *args):
+        plans.append(plan(frame))
+        assert frame.count() == 360
+        return draw(frame, *args)
+
+    monkeypatch.setattr(D, "score_isolation_forest", scored)
+    monkeypatch.setattr(D, "tree_samples", drawn)
+    IsolationScorer(trees=5, sample=32).fit(df)
+    assert len(plans) == 2 and not any("UDF" in p or "BatchEvalPython" in p for p in plans)
