@@ -1,6 +1,7 @@
 """Helpers shared by the text operators: scratch tables, Arrow batches in pieces, connected components."""
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from accesslens.session import materialize
@@ -15,18 +16,20 @@ def stored(df, name):
 
 
 def pieces(batches, text_column=1, limit=STEP_BYTES):
-    """Arrow batches as lists of columns (Python values), each holding about ``limit`` characters of text at most."""
+    """Arrow batches as lists of columns (Python values), each holding about ``limit`` characters of text at most.
+
+    Only the rows of a piece become Python values at a time; a batch is held once, as it came.
+    """
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        texts = columns[text_column]
+        sizes = pc.fill_null(pc.utf8_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False)
         start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text or "") + 1
+        for i, n in enumerate(sizes.tolist()):
+            size += n + 1
             if size >= limit:
-                yield [c[start:i + 1] for c in columns]
+                yield [c.to_pylist() for c in batch.slice(start, i + 1 - start).columns]
                 start, size = i + 1, 0
-        if start < len(texts):
-            yield [c[start:] for c in columns]
+        if start < batch.num_rows:
+            yield [c.to_pylist() for c in batch.slice(start).columns]
 
 
 def connected_components(edges, name="components"):

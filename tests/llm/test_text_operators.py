@@ -695,3 +695,24 @@ def test_bucket_counts_travel_packed(spark, monkeypatch):
     assert found == own
     plan = J._unshared(docs, 1, 64, 64)._jdf.queryExecution().toString()
     assert "home" in plan and "Aggregate" not in plan
+
+
+def test_pieces_hold_one_step():
+    """A batch becomes Python values piece by piece: the same pieces as by length, never all of its texts at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from accesslens.llm.common import pieces
+
+    texts = [None, "", "é" * 5, "x" * 40, "ab", None, "\U0001f600" * 9, "y" * 10, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["id", "text"]).slice(1)
+    assert list(pieces([batch], limit=12)) == [
+        [[1, 2, 3], texts[1:4]], [[4, 5, 6], texts[4:7]], [[7, 8], texts[7:]]] and list(pieces([batch.slice(8)])) == []
+    many = pa.RecordBatch.from_arrays([pa.array(["t" * 1000] * 500)], names=["text"])
+    assert [len(step) for (step,) in pieces([many], 0, 10_000)] == [10] * 50
+    tracemalloc.start()
+    next(pieces([many], 0, 10_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000       # 500 texts of 1,000 characters take 525,000 bytes
