@@ -618,13 +618,13 @@ def test_registered_queries(spark):
     import __spark_entry__ as E
 
     names = [n for n in E.queries() if n == "pipeline" or (n[:2] == "op" and n[2].isdigit())]
-    assert len(names) == 11
+    assert len(names) == 14
     integers = (T.LongType, T.IntegerType)
     for name in names:
         if name == "pipeline":
             continue
         schema = E.queries()[name](spark, SF).schema
-        key = "vec_id" if name.startswith("op5") else "doc_id"
+        key = {"op5": "vec_id", "op11": "vec_id", "op12": "anchor_id", "op13": "page_id"}.get(name.split("_")[0], "doc_id")
         assert isinstance(schema[key].dataType, integers)
 
 
