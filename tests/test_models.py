@@ -221,6 +221,37 @@ def test_neighbours_of_every_size(spark, cell_rows):
         assert got == pytest.approx([d for d, _ in others], abs=1e-9)
 
 
+def test_neighbours_travel_as_ids(spark, monkeypatch):
+    """Units return ids and distances, no vectors, and the nearest of several parts of other cells at once."""
+    from accesslens.plans import neighbours as N
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, "a", rng.normal(size=4).tolist()) for i in range(200)], "id long, label string, x array<double>")
+    grouped, seen = type(df.groupBy("id").cogroup(df.groupBy("id"))), []
+    apply = grouped.applyInPandas
+
+    def counted(self, fn, schema):
+        out = materialize(apply(self, fn, schema), "met")
+        seen.append((schema, out.count()))
+        return out
+
+    monkeypatch.setattr(grouped, "applyInPandas", counted)
+    assert N.nearest_neighbours(df, "label", "id", "x", 3, 10, 16).count() == 200
+    schema, n = seen[0]
+    assert "array" not in schema and n <= 200 * 4 * -(-3 * 16 // N.UNIT_PARTS)
+
+
+def test_nearest_rows_with_ties_and_missing_numbers():
+    from accesslens.plans.neighbours import _nearest
+
+    y = np.array([[1.0], [0.0], [1.0], [np.nan], [-1.0], [5.0]])
+    row, column, gap = _nearest(np.array([[0.0], [np.nan], [5.0]]), y, 3)
+    assert row.tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+    assert column[:3].tolist() == [1, 0, 2] and column[6:].tolist() == [5, 0, 2] and gap[:3].tolist() == [0.0, 1.0, 1.0]
+    crowd = _nearest(np.zeros((1, 1)), np.ones((100, 1)), 4)
+    assert crowd[1].tolist() == [0, 1, 2, 3]
+
+
 def test_distant_cells_do_not_meet():
     from accesslens.plans.neighbours import _cell_pairs
 
