@@ -4,14 +4,14 @@ import tempfile
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from accesslens import constants as C
 from accesslens.catalog import model_queries as Q
 from accesslens.catalog.registry import Views
 from accesslens.models import detection
-from accesslens.models.stages import INPUTS, EventFeaturesModel, IsolationScorer, Z
+from accesslens.models.stages import INPUTS, EventFeatures, EventFeaturesModel, FeatureScaler, IsolationScorer, Z
 from accesslens.operators import classify as M, detectors as D
 from accesslens.operators.encode import CategoryEncoder
 from accesslens.operators.features import build_features, entity_history, features_after, merge_history
@@ -252,6 +252,24 @@ def test_nearest_rows_with_ties_and_missing_numbers():
     assert crowd[1].tolist() == [0, 1, 2, 3]
 
 
+def test_fit_scores_the_train_events(spark, parts):
+    """The frame that a fit leaves is what the fitted pipeline makes of the same events, without features computed anew."""
+    model, applied = detection.fit_and_apply(Pipeline(stages=[EventFeatures(), FeatureScaler()]), parts[0])
+    again = model.transform(parts[0])
+    assert applied.columns == again.columns and cells(applied) == cells(again)
+
+
+def test_train_part_is_scored_once(spark, monkeypatch):
+    """Scored train events come from the fit of the detector: no stage is applied to them a second time."""
+    v = Views(spark, SF)
+    Q.detector(v)
+    key = (spark.sparkContext.applicationId, SF)
+    kept = {k: p for k, p in Q._SAVED.items() if k != (*key, "scored-train")}
+    monkeypatch.setattr(Q, "_SAVED", kept)
+    monkeypatch.setattr(Q.PipelineModel, "transform", lambda *a: pytest.fail("scored again"))
+    assert Q.scored(v, "train").count() == Q.part(v, "train").count()
+
+
 def test_distant_cells_do_not_meet():
     from accesslens.plans.neighbours import _cell_pairs
 
