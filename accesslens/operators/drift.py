@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from accesslens import constants as C
 from accesslens.plans.segments import ID, KEY, SEG, TS, EntitySegments
@@ -28,6 +28,50 @@ def with_decayed(df: DataFrame, rows, width, prefix, decay=C.DRIFT_DECAY) -> Dat
     return df.withColumn(f"{prefix}_std", F.transform(spread, lambda v: F.sqrt(v))).drop("_norm")
 
 
+def decayed_batches(batches, window, previous, decay):
+    """Decayed mean and deviation vectors of the last ``window`` vectors ``x`` before (or up to) each row.
+
+    Rows come sorted, with their place ``_at`` among those of their entity; the last vectors of a batch are carried to the
+    next. The operations and their order are those of ``with_decayed``. A missing component leaves its place missing.
+    """
+    carry = None
+    for batch in batches:
+        lists = batch.column("x")
+        n = len(lists)
+        if n == 0:
+            continue
+        flat = lists.flatten()
+        rows = flat.to_numpy(zero_copy_only=False).reshape(n, -1)
+        lost = np.asarray(flat.is_null()).reshape(n, -1)
+        if carry is None:
+            carry = np.zeros((window, rows.shape[1])), np.zeros((window, rows.shape[1]), dtype=bool)
+        rows, lost = np.concatenate([carry[0], rows]), np.concatenate([carry[1], lost])
+        carry = rows[-window:], lost[-window:]
+        sizes = np.minimum(batch.column("_at").to_numpy() - int(previous), window)
+        first = 0 if previous else 1
+        total, spread, norm = np.zeros((n, rows.shape[1])), np.zeros((n, rows.shape[1])), np.zeros((n, 1))
+        gone = np.zeros((n, rows.shape[1]), dtype=bool)
+        # Step i meets the vector that window - i rows follow; it belongs to the entity where the window reaches that far.
+        steps = [(slice(first + i, first + i + n), (sizes < window - i)) for i in range(window)]
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            for at, out in steps:
+                total, norm = total * decay + rows[at], norm * decay + 1.0
+                total[out], norm[out] = 0.0, 0.0
+                gone |= lost[at] & ~out[:, None]
+            mean = total / norm
+            for at, out in steps:
+                gap = rows[at] - mean
+                spread = spread * decay + gap * gap
+                spread[out] = 0.0
+            std = np.sqrt(spread / norm)
+        # Without any vector there is no baseline: the list is null and holds nothing.
+        some = sizes > 0
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(some, rows.shape[1], 0))]), pa.int32(), mask=np.append(~some, False))
+        made = [pa.ListArray.from_arrays(offsets, pa.array(a[some].ravel(), pa.float64(), mask=gone[some].ravel(), from_pandas=False))
+                for a in (mean, std)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "adaptive_mean", "adaptive_std"])
+
+
 def _vector(values):
     return F.array(*[F.col(v).cast("double") for v in ([values] if isinstance(values, str) else values)])
 
@@ -36,15 +80,18 @@ def vector_baseline(df: DataFrame, values, segments: EntitySegments, window=C.DR
                     previous=False) -> DataFrame:
     """``x`` (the vector of ``values``), ``adaptive_mean`` and ``adaptive_std`` of the last ``window`` events per entity.
 
-    ``previous`` leaves the current event out. Arrays never exceed ``window`` vectors.
+    ``previous`` leaves the current event out. A task holds one Arrow batch and ``window`` vectors.
     """
-    names = [values] if isinstance(values, str) else list(values)
-    rows = (-window, -1) if previous else (-(window - 1), 0)
-    out = segments.halo(df, window).withColumn("x", _vector(names))
-    out = out.withColumn("_rows", F.collect_list("x").over(segments.window().rowsBetween(*rows)))
+    w = segments.window()
+    out = segments.halo(df, window).withColumn("x", _vector(values)).withColumn("_at", F.row_number().over(w))
+    # The window has already sorted them so; vectors then pass once, in Arrow batches, without a list for each row.
+    out = out.sortWithinPartitions(*segments.partition(), TS, ID)
+    schema = T.StructType([*out.schema.fields, *[
+        T.StructField(f"adaptive_{c}", T.ArrayType(T.DoubleType())) for c in ("mean", "std")]])
+    out = out.mapInArrow(lambda batches: decayed_batches(batches, window, previous, decay), schema)
     if segments.hot:
         out = out.where(~F.col("_halo"))
-    return with_decayed(out, "_rows", len(names), "adaptive", decay).drop("_rows", "_halo")
+    return out.drop("_at", "_halo")
 
 
 def adaptive_baseline(df: DataFrame, value, segments: EntitySegments, window=C.DRIFT_DEMO_WINDOW, decay=C.DRIFT_DECAY,

@@ -4,9 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window, functions as F
 
 from accesslens import constants as C
+from accesslens.operators import drift as G
 from accesslens.operators.drift import DriftWalk
+from accesslens.plans.segments import EntitySegments
 
 
 def row_by_row(x, threshold, delta, window, decay, warmup):
@@ -86,3 +89,27 @@ def test_hot_entities_equal_the_plain_walk(spark):
     for threshold in (0.05, 3.0):
         plain = rows(EntitySegments.none(spark), threshold)
         assert plain and plain == rows(EntitySegments.probe(features, hot_rows=60, segment_rows=25), threshold)
+
+
+def test_vector_baseline_streams_rows(spark):
+    """Vectors pass once in Arrow batches, no list of vectors for each row; the numbers are those of the lists."""
+    rows = [(f"e{i % 5}" if i % 11 else "few", i, None if i % 13 == 0 else float(i * i % 37), float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "entity_id string, event_id long, a double, b double").withColumn(
+        "timestamp", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, event_id)"))
+    w = Window.partitionBy("entity_id").orderBy("timestamp", "event_id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for previous, frame in ((True, w.rowsBetween(-6, -1)), (False, w.rowsBetween(-5, 0))):
+            out = G.vector_baseline(df, ["a", "b"], EntitySegments.none(spark), 6, previous=previous)
+            assert "collect_list" not in out._jdf.queryExecution().toString()
+            found = {r["event_id"]: (r["adaptive_mean"], r["adaptive_std"]) for r in out.collect()}
+            lists = df.withColumn("rows", F.collect_list(F.array("a", "b")).over(frame))
+            wanted = G.with_decayed(lists, "rows", 2, "w").collect()
+            assert len(found) == len(wanted) == 300
+            for r in wanted:
+                assert found[r["event_id"]] == (r["w_mean"], r["w_std"])
+            assert any(r["w_mean"] is None for r in wanted) == previous
+            assert any(r["w_mean"] and r["w_mean"][0] is None and not math.isnan(r["w_mean"][1]) for r in wanted)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
