@@ -313,7 +313,7 @@ def r2(v: Views):
 @query("x2_attribute_linear", sql("alerts", f"SELECT event_id, rank, feature, {_SHOWN} AS display_name, {sql_rnd('attribution', digits=4)}, CASE WHEN attribution > 0 THEN 'increases' ELSE 'decreases' END AS impact FROM factors", _FACTORS))
 def x2(v: Views):
     stored, surrogate = _explained(v)
-    out = X.explode_factors(X.attribute_linear(stored, surrogate, _SURROGATE_COLS))
+    out = X.explode_factors(X.attribute_linear(stored, surrogate, _SURROGATE_COLS, records=False))
     return out.select("event_id", "rank", "feature", "display_name", rnd("attribution", 4), "impact")
 
 
@@ -327,7 +327,7 @@ def x3(v: Views):
 @query("x4_feature_description", sql("alerts", f"SELECT event_id, rank, feature, {_DESC} AS description FROM factors", _FACTORS))
 def x4(v: Views):
     stored, surrogate = _explained(v)
-    out = X.explode_factors(X.attribute_linear(stored, surrogate, _SURROGATE_COLS))
+    out = X.explode_factors(X.attribute_linear(stored, surrogate, _SURROGATE_COLS, records=False))
     return out.select("event_id", "rank", "feature", "description")
 
 
@@ -340,7 +340,7 @@ def x5(v: Views):
 def x6(v: Views):
     """Over the full attributions of the linear surrogate; no ranking per event is needed."""
     stored, surrogate = _explained(v)
-    full = X.attribute_linear(stored, surrogate, _SURROGATE_COLS, top_n=len(_SURROGATE_COLS))
+    full = X.attribute_linear(stored, surrogate, _SURROGATE_COLS, top_n=len(_SURROGATE_COLS), records=False)
     return X.mean_attribution(X.explode_factors(full), 10).select("feature", rnd("mean_abs_attribution", 4))
 
 

@@ -134,3 +134,19 @@ def test_quantiles_with_ties_and_negatives(spark):
 def test_replay_files_keep_all_rows(spark, tmp_path):
     write_replay_files(log(spark, [event(i, at=T0 + timedelta(minutes=i)) for i in range(25)]), str(tmp_path / "r"), 10)
     assert spark.read.parquet(str(tmp_path / "r")).count() == 25
+
+
+def test_factors_are_completed_in_their_own_rows(spark):
+    """Ranked factors become records after they got rows of their own, where unread texts are not computed."""
+    from accesslens.operators import explain as X
+
+    df = spark.createDataFrame([(i, float(i % 7), None if i % 5 == 0 else float(i % 3), float(i)) for i in range(40)],
+                               "event_id long, cmd_count double, hour_deviation double, risk double")
+    names = ["cmd_count", "hour_deviation"]
+    surrogate = X.linear_surrogate(df, names, "risk")
+    records = X.explode_factors(X.attribute_linear(df, surrogate, names, 2))
+    ranked = X.explode_factors(X.attribute_linear(df, surrogate, names, 2, records=False))
+    assert ranked.columns == records.columns and ranked.count() == 80
+    assert sorted(ranked.collect()) == sorted(records.collect())
+    short = ranked.select("event_id", "rank", "feature", "attribution")
+    assert "format_string" not in short._jdf.queryExecution().optimizedPlan().toString()
