@@ -372,3 +372,23 @@ def test_isolation_fit_reads_stored_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "tree_samples", drawn)
     IsolationScorer(trees=5, sample=32).fit(df)
     assert len(plans) == 2 and not any("UDF" in p or "BatchEvalPython" in p for p in plans)
+
+
+def test_tree_draws_are_rows_not_lambdas(spark):
+    """A draw is a generated row and a compiled hash; lambdas over an array of draws run interpreted."""
+    plans, write = [], D.materialize
+    D.materialize = lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1]
+    try:
+        D.tree_samples(spark.range(500).select(F.col("id").alias("event_id"), F.lit(1.0).alias("a")), ["a"], 5, 8).count()
+    finally:
+        D.materialize = write
+    assert plans and not any("lambda" in p for p in plans)
+
+
+def test_registered_queries_bound_generated_methods(spark):
+    """Wide stages stay below the size of a method that the JVM compiles."""
+    import __spark_entry__ as E
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    E.queries()["p3_is_weekend"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
