@@ -22,6 +22,9 @@ WAITING = ["micros", ID, "latitude", "longitude", "resource_accessed", "x"]
 _PACKED = (f"micros array<long>, {ID} array<long>, latitude array<double>, longitude array<double>, "
            "resource_accessed array<string>, x array<double>")
 
+#: Released rows of an entity that are enough for one walk; the bucket that reaches this number is its last.
+WALK_ROWS = 10_000
+
 
 def _haversine(lat1, lon1, lat2, lon2):
     lat1, lon1, lat2, lon2 = (np.radians(v) for v in (lat1, lon1, lat2, lon2))
@@ -32,10 +35,10 @@ def _haversine(lat1, lon1, lat2, lon2):
 class EntityTracker(StatefulProcessor):
     """State of an entity: waiting events by (bucket, chunk), last event, running numbers, resources seen.
 
-    A call holds one Arrow batch of arriving rows or one bucket of released ones, never all rows of an entity. Every
-    arriving batch adds chunks and rewrites none. ``idle_ms``, at least a bucket, is a time to live in event time (the
-    built-in one runs on the clock): an entity quiet for longer starts anew, and its state goes once the watermark has
-    passed that time. None keeps entities for ever.
+    A call holds one Arrow batch of arriving rows, or released buckets up to ``WALK_ROWS`` rows and one bucket, never all
+    rows of an entity. Every arriving batch adds chunks and rewrites none. ``idle_ms``, at least a bucket, is a time to
+    live in event time (the built-in one runs on the clock): an entity quiet for longer starts anew, and its state goes
+    once the watermark has passed that time; its buckets are walked singly. None keeps entities for ever.
     """
 
     def __init__(self, bucket_ms, threshold=C.DRIFT_LAMBDA, delta=C.DRIFT_DELTA, idle_ms=None):
@@ -75,17 +78,24 @@ class EntityTracker(StatefulProcessor):
         _, chunk = self.timer.get()
         waiting = sorted(self.waiting.keys())
         ready = [k for k in waiting if (k[0] + 1) * self.bucket_ms <= now]
+        held, rows = [], 0
         for bucket in dict.fromkeys(b for b, _ in ready):
-            chunks = [k for k in ready if k[0] == bucket]
-            columns = zip(*(self.waiting.getValue(k) for k in chunks))
-            batch = pd.DataFrame({c: [v for part in parts for v in part] for c, parts in zip(WAITING, columns)})
-            for k in chunks:
-                self.waiting.removeKey(k)
-            batch = batch.sort_values(["micros", ID], kind="stable")
-            if self.idle_ms is not None and self.last.exists():
-                if batch["micros"].iloc[0] - self.last.get()[0] > self.idle_ms * 1000:
-                    self._forget()
-            yield self._walk(key[0], batch)
+            for k in (k for k in ready if k[0] == bucket):
+                held.append(self.waiting.getValue(k))
+                rows += len(held[-1][0])
+                if len(ready) < len(waiting):
+                    self.waiting.removeKey(k)
+            # Whole buckets are walked together, so the state is read and written once for many short ones.
+            if bucket == ready[-1][0] or self.idle_ms is not None or rows >= WALK_ROWS:
+                batch = pd.DataFrame({c: [v for part in parts for v in part] for c, parts in zip(WAITING, zip(*held))})
+                batch = batch.sort_values(["micros", ID], kind="stable")
+                if self.idle_ms is not None and self.last.exists():
+                    if batch["micros"].iloc[0] - self.last.get()[0] > self.idle_ms * 1000:
+                        self._forget()
+                held, rows = [], 0
+                yield self._walk(key[0], batch)
+        if ready and len(ready) == len(waiting):
+            self.waiting.clear()
         left = waiting[len(ready):]
         if left:
             self._schedule(None, (left[0][0] + 1) * self.bucket_ms, chunk)

@@ -157,3 +157,29 @@ def test_ranges_hold_even_shares(spark):
         ranks.materialize = keep
     sizes = [r["count"] for r in written[0].groupBy(F.shiftright("_at", 33)).count().collect()]
     assert len(sizes) == 16 and max(sizes) < 2 * 200_000 / 16
+
+
+def test_short_buckets_are_walked_together():
+    """Many short buckets of an entity read and write its state once."""
+    from types import SimpleNamespace
+
+    from accesslens.streaming.entity_state import EntityTracker
+
+    class Store(dict):
+        exists, getValue, removeKey = lambda s: "v" in s, dict.__getitem__, dict.pop
+        get = lambda s: s["v"]
+        containsKey = dict.__contains__
+        updateValue = dict.__setitem__
+
+        def update(self, value):
+            self["v"], self.writes = value, getattr(self, "writes", 0) + 1
+
+    tracker = EntityTracker(1000)
+    tracker.handle = SimpleNamespace(registerTimer=lambda t: None, deleteTimer=lambda t: None)
+    tracker.last, tracker.resources, tracker.waiting, tracker.timer = Store(), Store(), Store(), Store()
+    for b in range(9):
+        tracker.waiting[(b, b)] = ([b * 1_000_000], [b], [0.0], [0.0], ["r"], [1.0])
+    tracker.timer.update((1000, 9))
+    out = list(tracker.handleExpiredTimer(("e",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 8000), None))
+    assert [n for pdf in out for n in pdf["entity_event_count"]] == list(range(1, 9))
+    assert tracker.last.writes == 1 and list(tracker.waiting) == [(8, 8)]
