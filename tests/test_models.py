@@ -392,3 +392,40 @@ def test_registered_queries_bound_generated_methods(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     E.queries()["p3_is_weekend"](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_boosted_trees_of_all_labels_are_those_of_spark(spark):
+    """Grown for all labels at once from binned rows, in chunks, the trees predict what Spark ML's trees of each label do."""
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.linalg import Vectors
+
+    from accesslens.operators import boosting as B
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 4))
+    x[:, 2], x[:, 3] = np.round(x[:, 2]), 1.0
+    x[600:] = x[:300]       # equal rows are counted together
+    y = (x[:, 0] > 0.3).astype(int) + (x[:, 1] * x[:, 0] > 0.2)
+    df = spark.createDataFrame([(i, Vectors.dense(x[i]), float(y[i])) for i in range(900)], ["event_id", "features", "label_enc"])
+    gbt = GBTClassifier(featuresCol="features", labelCol="label_enc", maxIter=4, maxDepth=3, stepSize=0.1, seed=42)
+    slow = OneVsRest(classifier=gbt, featuresCol="features", labelCol="label_enc").fit(df)
+    cuts, forests = B.boost(df, 4, 3, 0.1, chunk_rows=100)
+    few = B.as_models(spark, cuts, forests, gbt)
+    whole = M.fit_boosted(df, 4, 3)
+    margins = lambda model: np.array([list(r[0]) for r in model.transform(df).orderBy("event_id").select("rawPrediction").collect()])
+    assert np.abs(margins(whole) - margins(slow)).max() < 1e-9
+    for a, b in zip(few, slow.models):
+        assert a.getNumTrees == 4 and np.abs(margins(a) - margins(b)).max() < 1e-9
+        assert np.abs(a.featureImportances.toArray() - b.featureImportances.toArray()).max() < 1e-9
+    path = tempfile.mkdtemp() + "/boosted"
+    whole.write().save(path)
+    assert np.abs(margins(type(whole).load(path)) - margins(whole)).max() == 0
+
+
+def test_boosted_candidate_splits():
+    from accesslens.operators.boosting import candidate_splits
+
+    assert candidate_splits(np.array([3.0, 1.0, 1.0, np.nan])).tolist() == [2.0]
+    assert len(candidate_splits(np.ones(5))) == 0
+    many = candidate_splits(np.arange(3200.0))
+    assert len(many) == 31 and np.abs(np.diff(many) - 100).max() <= 1
