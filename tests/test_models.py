@@ -429,3 +429,9 @@ def test_boosted_candidate_splits():
     assert len(candidate_splits(np.ones(5))) == 0
     many = candidate_splits(np.arange(3200.0))
     assert len(many) == 31 and np.abs(np.diff(many) - 100).max() <= 1
+
+
+def test_boosted_trees_have_all_rounds(spark):
+    """The registered boosted trees: 300 rounds of depth 6 for each of eight labels."""
+    models = Q.boosted(Views(spark, SF)).models["model"].models
+    assert [m.getNumTrees for m in models] == [300] * 8 and {m.getOrDefault("maxDepth") for m in models} == {6}
