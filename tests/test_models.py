@@ -423,7 +423,7 @@ def test_boosted_trees_of_all_labels_are_those_of_spark(spark):
 
 
 def test_boosted_candidate_splits():
-    from accesslens.operators.boosting import candidate_splits
+    from accesslens.operators.trees import candidate_splits
 
     assert candidate_splits(np.array([3.0, 1.0, 1.0, np.nan])).tolist() == [2.0]
     assert len(candidate_splits(np.ones(5))) == 0
@@ -435,3 +435,64 @@ def test_boosted_trees_have_all_rounds(spark):
     """The registered boosted trees: 300 rounds of depth 6 for each of eight labels."""
     models = Q.boosted(Views(spark, SF)).models["model"].models
     assert [m.getNumTrees for m in models] == [300] * 8 and {m.getOrDefault("maxDepth") for m in models} == {6}
+
+
+def forest_rows(spark, n=1500):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(n, 5))
+    x[:, 2], x[:, 3] = np.round(x[:, 2]), 1.0
+    y = (x[:, 0] > 0.3).astype(int) + (x[:, 1] * x[:, 0] > 0.9)
+    y[rng.random(n) < 0.05] = 0
+    x[n // 2:], y[n // 2:] = x[:n - n // 2], y[:n - n // 2]      # equal rows are counted together
+    rows = [(i, Vectors.dense(x[i]), float(y[i]), str(y[i])) for i in range(n)]
+    return materialize(M.with_class_weights(spark.createDataFrame(rows, ["event_id", "features", "label_enc", "label"])), "forest-rows")
+
+
+def shares(model, df):
+    from pyspark.ml.functions import vector_to_array
+
+    return np.array([r[0] for r in model.transform(df).orderBy("event_id").select(vector_to_array("probability")).collect()])
+
+
+def test_a_tree_of_the_forest_is_that_of_spark(spark, monkeypatch):
+    """All rows once and all features at each node: probabilities, nodes and importances are those of Spark ML's tree."""
+    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+
+    from accesslens.operators import forest as R
+
+    df, grow = forest_rows(spark), R.grow_forest
+    columns = dict(featuresCol="features", labelCol="label_enc", weightCol="class_weight", maxDepth=5)
+    slow = DecisionTreeClassifier(**columns).fit(df)
+    monkeypatch.setattr(R, "grow_forest", lambda *a: grow(*a, draw=lambda n, tree, chunk: n.astype(np.int64), chunk_rows=200))
+    fast = R.fit_random_forest(df, RandomForestClassifier(numTrees=1, seed=42, **columns))
+    assert fast.totalNumNodes == slow.numNodes and np.abs(shares(fast, df) - shares(slow, df)).max() < 1e-9
+    assert np.abs(fast.featureImportances.toArray() - slow.featureImportances.toArray()).max() < 1e-9
+
+
+def test_the_forest_is_as_near_to_that_of_spark_as_another_seed(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df = forest_rows(spark)
+    one, other = (RandomForestClassifier(featuresCol="features", labelCol="label_enc", weightCol="class_weight", numTrees=60, maxDepth=5,
+                                         seed=s).fit(df) for s in (1, 2))
+    found = M.fit_forest(df, 60, 5)
+    gap = lambda a, b: np.abs(shares(a, df) - shares(b, df)).mean()
+    assert gap(found, one) < 2 * gap(one, other) and abs(found.totalNumNodes / one.totalNumNodes - 1) < 0.1
+
+
+def test_the_forest_does_not_depend_on_partitions(spark):
+    df = forest_rows(spark)
+    a, b = (shares(M.fit_forest(df.repartition(n, "event_id"), 10, 4), df) for n in (3, 7))
+    assert np.abs(a - b).max() == 0
+
+
+def test_forest_draws_are_poisson_and_repeat():
+    from accesslens.operators.forest import draws
+
+    n = np.repeat([1.0, 4.0], 50_000)
+    found = draws(n, 42, 3, 0)
+    assert (found == draws(n, 42, 3, 0)).all() and (found != draws(n, 42, 4, 0)).any()
+    for rows, mean in ((found[:50_000], 1), (found[50_000:], 4)):
+        assert rows.mean() == pytest.approx(mean, abs=0.03) and rows.var() == pytest.approx(mean, rel=0.04)
